@@ -1,0 +1,68 @@
+"""Registered queries of the training-data operators."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ravelin.llm.leximin import leximin_rank
+from ravelin.llm.splitting import sized_items, split_oversized
+
+#: Which way each score of a candidate counts.
+SCORES = {"rrf_score": "large", "rerank_score": "large", "dense_rank": "small", "bm25_rank": "small"}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best candidates of each query."""
+    return leximin_rank(_table(spark, sf_dir, "retrieval_candidates"), "query_id", "chunk_id", SCORES, k=3).select("query_id", "chunk_id")
+
+
+def p1_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of each query in its place."""
+    ranked = leximin_rank(_table(spark, sf_dir, "retrieval_candidates"), "query_id", "chunk_id", SCORES)
+    return ranked.select("query_id", "chunk_id", F.col("place").cast("long").alias("place"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that had to be cut."""
+    pieces = split_oversized(sized_items(spark, sf_dir))
+    return pieces.filter("piece_no = 1").select("item_kind", "item_id").distinct()
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every oversized item."""
+    return split_oversized(sized_items(spark, sf_dir)).drop("piece_text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p1_found, p1_order, p6_found, p6_pieces)
+}
+
+_MARKS = """
+rows_ AS (SELECT query_id, chunk_id, max(rrf_score) a, max(rerank_score) b, max(-dense_rank) c, max(-bm25_rank) d
+  FROM retrieval_candidates GROUP BY query_id, chunk_id),
+long_ AS (SELECT query_id, chunk_id, 1 k, a::DOUBLE v FROM rows_ UNION ALL SELECT query_id, chunk_id, 2, b FROM rows_
+  UNION ALL SELECT query_id, chunk_id, 3, c FROM rows_ UNION ALL SELECT query_id, chunk_id, 4, d FROM rows_),
+mark AS (SELECT query_id, chunk_id, CASE WHEN count(v) OVER w = 0 THEN 1.0 WHEN v IS NULL THEN 0.0 WHEN count(*) OVER w = 1 THEN 1.0
+  ELSE (rank() OVER o - 1 + round(cume_dist() OVER o * count(*) OVER w) - 1) / 2.0 / (count(*) OVER w - 1) END m
+  FROM long_ WINDOW w AS (PARTITION BY query_id, k), o AS (PARTITION BY query_id, k ORDER BY v NULLS FIRST)),
+vec AS (SELECT query_id, chunk_id, list_sort(list(m)) v FROM mark GROUP BY query_id, chunk_id),
+placed AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, chunk_id) AS place FROM vec)
+"""
+_OVERSIZED = """
+docs AS (SELECT DISTINCT doc_id, full_text FROM parsed_documents),
+items AS (SELECT 'document' item_kind, doc_id item_id, length(full_text) n FROM docs
+  UNION ALL SELECT 'parent_window', parent_window_id, length(substring(full_text, char_start + 1, char_end - char_start))
+  FROM parent_windows JOIN docs USING (doc_id)
+  UNION ALL SELECT 'chunk', chunk_id, length(chunk_text) FROM chunks)
+"""
+ORACLE_SQL: dict[str, str] = {
+    "p1_found": f"WITH {_MARKS} SELECT query_id, chunk_id FROM placed WHERE place <= 3",
+    "p1_order": f"WITH {_MARKS} SELECT query_id, chunk_id, place FROM placed",
+    "p6_found": f"WITH {_OVERSIZED} SELECT DISTINCT item_kind, item_id FROM items JOIN size_limits USING (item_kind) WHERE ceil(n / 4.0) > max_tokens",
+}
