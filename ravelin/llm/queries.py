@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ravelin.llm.history import refuse_repetitions
 from ravelin.llm.leximin import leximin_rank
 from ravelin.llm.splitting import sized_items, split_oversized
 
@@ -28,6 +29,12 @@ def p1_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("query_id", "chunk_id", F.col("place").cast("long").alias("place"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed documents that repeat something their knowledge base accepted earlier."""
+    chunks = _table(spark, sf_dir, "chunks").select(F.col("metadata.doc_id").alias("doc_id"), "embed_text")
+    return refuse_repetitions(_table(spark, sf_dir, "parsed_documents"), chunks)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that had to be cut."""
     pieces = split_oversized(sized_items(spark, sf_dir))
@@ -40,7 +47,7 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_order, p6_found, p6_pieces)
+    f.__name__: f for f in (p1_found, p1_order, p3_found, p6_found, p6_pieces)
 }
 
 _MARKS = """
