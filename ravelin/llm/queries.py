@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ravelin.llm.forest import all_neighbours, mutual_neighbours
 from ravelin.llm.history import refuse_repetitions
 from ravelin.llm.leximin import leximin_rank
 from ravelin.llm.splitting import sized_items, split_oversized
@@ -35,6 +36,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refuse_repetitions(_table(spark, sf_dir, "parsed_documents"), chunks)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of texts that are among each other's five most similar."""
+    return mutual_neighbours(_table(spark, sf_dir, "embedded_chunks"), _table(spark, sf_dir, "chunks"))
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar other texts of every text."""
+    return all_neighbours(_table(spark, sf_dir, "embedded_chunks"), _table(spark, sf_dir, "chunks"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that had to be cut."""
     pieces = split_oversized(sized_items(spark, sf_dir))
@@ -47,7 +58,7 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_order, p3_found, p6_found, p6_pieces)
+    f.__name__: f for f in (p1_found, p1_order, p3_found, p4_found, p4_neighbours, p6_found, p6_pieces)
 }
 
 _MARKS = """
