@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ravelin.llm.forest import all_neighbours, mutual_neighbours
 from ravelin.llm.history import refuse_repetitions
 from ravelin.llm.leximin import leximin_rank
+from ravelin.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
 from ravelin.llm.splitting import sized_items, split_oversized
 
 #: Which way each score of a candidate counts.
@@ -46,6 +47,21 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_neighbours(_table(spark, sf_dir, "embedded_chunks"), _table(spark, sf_dir, "chunks"))
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "parsed_documents").select(F.lit("document").alias("record_kind"), F.col("doc_id").alias("id"), F.col("full_text").alias("text"))
+    return docs.unionByName(_table(spark, sf_dir, "chunks").select(F.lit("chunk").alias("record_kind"), F.col("chunk_id").alias("id"), F.col("chunk_text").alias("text")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and of chunks with half of their three-word sequences in common."""
+    return near_duplicate_pairs(_records(spark, sf_dir), words=3, threshold=0.5)
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and chunk with its class of near copies (five words, 0.8) and its number of links."""
+    return near_duplicate_classes(_records(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that had to be cut."""
     pieces = split_oversized(sized_items(spark, sf_dir))
@@ -58,7 +74,7 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_order, p3_found, p4_found, p4_neighbours, p6_found, p6_pieces)
+    f.__name__: f for f in (p1_found, p1_order, p3_found, p4_found, p4_neighbours, p5_found, p5_classes, p6_found, p6_pieces)
 }
 
 _MARKS = """
