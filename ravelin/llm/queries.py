@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ravelin.llm.forest import all_neighbours, mutual_neighbours
 from ravelin.llm.history import refuse_repetitions
 from ravelin.llm.leximin import leximin_rank
+from ravelin.llm.mixing import mix
 from ravelin.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
+from ravelin.llm.packing import fill_report, oversized, pack
 from ravelin.llm.splitting import sized_items, split_oversized
 
 #: Which way each score of a candidate counts.
@@ -73,8 +75,42 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(sized_items(spark, sf_dir)).drop("piece_text")
 
 
+def _capacity(spark: SparkSession, sf_dir: str) -> int:
+    return _table(spark, sf_dir, "size_limits").filter("item_kind = 'container'").first().max_tokens
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its container."""
+    return pack(_table(spark, sf_dir, "documents"), _capacity(spark, sf_dir))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents larger than a container."""
+    return oversized(p7_containers(spark, sf_dir))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return fill_report(p7_containers(spark, sf_dir), _capacity(spark, sf_dir))
+
+
+def p8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used in the mix."""
+    return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reached share of every source."""
+    return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that cannot reach their share."""
+    return p8_shares(spark, sf_dir).filter("not reachable").select("source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_order, p3_found, p4_found, p4_neighbours, p5_found, p5_classes, p6_found, p6_pieces)
+    f.__name__: f for f in (p1_found, p1_order, p3_found, p4_found, p4_neighbours, p5_found, p5_classes, p6_found, p6_pieces, p7_found, p7_containers, p7_fill, p8_found, p8_copies, p8_shares)
 }
 
 _MARKS = """
