@@ -13,35 +13,45 @@ from ravelin.llm.tokens import TOKENIZER, token_counts
 from ravelin.session import cut
 
 BLOCK_ITEMS = 4096
+HEAVY = 64
 EPSILON = 1e-9
 
 
-def flight(share: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def flight(share: np.ndarray, size: np.ndarray, rng: np.random.Generator, heavy: int = HEAVY) -> np.ndarray:
     """Move inclusion probabilities until at most two are fractional, keeping their sum and their sum weighted by ``size``.
 
     Of three open items a vector in the null space of the two constraints is followed, forwards
-    or backwards with the chances that keep every expectation, until one of them is 0 or 1.
+    or backwards with the chances that keep every expectation, until one of them is 0 or 1. The
+    first ``heavy`` items (the largest, as the rows come sorted) are settled in pairs before, by
+    the weighted sum alone: beside smaller ones they would stay open to the end.
     """
     p = share.astype(float).copy()
-    active: list[int] = []
-    todo = iter(np.flatnonzero((p > EPSILON) & (p < 1 - EPSILON)))
-    while True:
-        while len(active) < 3:
-            k = next(todo, None)
-            if k is None:
-                return np.where(p < EPSILON, 0.0, np.where(p > 1 - EPSILON, 1.0, p))
-            active.append(k)
-        a, b, c = active
-        u = np.array([size[b] - size[c], size[c] - size[a], size[a] - size[b]], float)
-        if not u.any():
-            u = np.array([1.0, -1.0, 0.0])
-        q = p[active]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            up = np.where(u > 0, (1 - q) / u, np.where(u < 0, -q / u, np.inf)).min()
-            down = np.where(u > 0, q / u, np.where(u < 0, (q - 1) / u, np.inf)).min()
-        q = q + up * u if rng.random() < down / (up + down) else q - down * u
-        p[active] = q
-        active = [k for k in active if EPSILON < p[k] < 1 - EPSILON]
+    size = size.astype(float)
+
+    def settle(items: np.ndarray, width: int) -> None:
+        active: list[int] = []
+        todo = iter(items)
+        while True:
+            while len(active) < width:
+                k = next(todo, None)
+                if k is None:
+                    return
+                if EPSILON < p[k] < 1 - EPSILON:
+                    active.append(k)
+            s = size[active]
+            u = np.array([s[1], -s[0]]) if width == 2 else np.array([s[1] - s[2], s[2] - s[0], s[0] - s[1]])
+            if not u.any():
+                u = np.array([1.0, -1.0, 0.0][:width])
+            q = p[active]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                up = np.where(u > 0, (1 - q) / u, np.where(u < 0, -q / u, np.inf)).min()
+                down = np.where(u > 0, q / u, np.where(u < 0, (q - 1) / u, np.inf)).min()
+            p[active] = q + up * u if rng.random() < down / (up + down) else q - down * u
+            active = [k for k in active if EPSILON < p[k] < 1 - EPSILON]
+
+    settle(np.arange(min(heavy, len(p))), 2)
+    settle(np.arange(len(p)), 3)
+    return np.where(p < EPSILON, 0.0, np.where(p > 1 - EPSILON, 1.0, p))
 
 
 def landing(share: np.ndarray, size: np.ndarray, owed: float) -> np.ndarray:
