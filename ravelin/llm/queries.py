@@ -12,6 +12,7 @@ from ravelin.llm.leximin import leximin_rank
 from ravelin.llm.mixing import mix
 from ravelin.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
 from ravelin.llm.packing import fill_report, oversized, pack
+from ravelin.llm.scanned import scan_defects, scan_paragraphs
 from ravelin.llm.splitting import sized_items, split_oversized
 
 #: Which way each score of a candidate counts.
@@ -33,6 +34,16 @@ def p1_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("query_id", "chunk_id", F.col("place").cast("long").alias("place"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Furniture, broken words and misread words of scanned documents."""
+    return scan_defects(_table(spark, sf_dir, "parsed_documents"))
+
+
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanned documents as continuous paragraphs."""
+    return scan_paragraphs(_table(spark, sf_dir, "parsed_documents"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed documents that repeat something their knowledge base accepted earlier."""
     chunks = _table(spark, sf_dir, "chunks").select(F.col("metadata.doc_id").alias("doc_id"), "embed_text")
@@ -110,7 +121,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_order, p3_found, p4_found, p4_neighbours, p5_found, p5_classes, p6_found, p6_pieces, p7_found, p7_containers, p7_fill, p8_found, p8_copies, p8_shares)
+    f.__name__: f for f in (p1_found, p1_order, p2_found, p2_paragraphs, p3_found, p4_found, p4_neighbours, p5_found, p5_classes, p6_found, p6_pieces, p7_found, p7_containers, p7_fill, p8_found, p8_copies, p8_shares)
 }
 
 _MARKS = """
