@@ -13,6 +13,7 @@ from ravelin.llm.mixing import mix
 from ravelin.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
 from ravelin.llm.packing import fill_report, oversized, pack
 from ravelin.llm.scanned import scan_defects, scan_paragraphs
+from ravelin.llm.sentences import split_sentences
 from ravelin.llm.splitting import sized_items, split_oversized
 
 #: Which way each score of a candidate counts.
@@ -120,8 +121,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_shares(spark, sf_dir).filter("not reachable").select("source")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of every document."""
+    return split_sentences(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_order, p2_found, p2_paragraphs, p3_found, p4_found, p4_neighbours, p5_found, p5_classes, p6_found, p6_pieces, p7_found, p7_containers, p7_fill, p8_found, p8_copies, p8_shares)
+    f.__name__: f for f in (p1_found, p1_order, p2_found, p2_paragraphs, p3_found, p4_found, p4_neighbours, p5_found, p5_classes, p6_found, p6_pieces, p7_found, p7_containers, p7_fill, p8_found, p8_copies, p8_shares, p9_found)
 }
 
 _MARKS = """
