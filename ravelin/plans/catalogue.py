@@ -4,7 +4,137 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from ravelin.functions import text as T
+from ravelin.operators import dense, fusion, lexical
+
+#: The questions the retrieval queries ask.
+QUESTIONS = ["annual inspection of the hydraulic pump", "which department approves the invoice", "notes on the ceramic warranty", "report of the laboratory"]
+QUERY_VECTORS = 4
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def tokenize_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.postings(_docs(spark, sf_dir), "doc_id", "text")
+
+
+def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    stats = lexical.term_stats(lexical.postings(docs, "doc_id", "text"), lexical.corpus_stats(docs, "text"))
+    return stats.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.bm25(QUESTIONS[:1], _docs(spark, sf_dir), "doc_id", "text", 10).select("doc_id", "score", "rank")
+
+
+def bm25_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.bm25(QUESTIONS, _docs(spark, sf_dir), "doc_id", "text", 20).select("q_ord", "doc_id", "score", "rank")
+
+
+def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embedded_chunks").filter("dense_vector is not null").select("chunk_id", "dense_vector")
+    unit = vectors.withColumn("u", T.l2_normalise(F.col("dense_vector")))
+    return unit.select("chunk_id", F.round(T.norm(F.col("dense_vector")), 5).alias("norm"), F.round(T.norm(F.col("u")), 5).alias("unit_norm"))
+
+
+def embedding_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embedded_chunks")
+    return rows.groupBy(T.valid_vector(F.col("dense_vector"), 64).alias("valid"), F.coalesce(F.size("sparse_vector") == 0, F.lit(True)).alias("no_sparse")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _query_vectors(spark: SparkSession, sf_dir: str, n: int) -> dict[int, list[float]]:
+    rows = _table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < n).select("vec_id", "embedding").limit(n).collect()  # n rows by key
+    return {int(r.vec_id): list(r.embedding) for r in rows}
+
+
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = dense.dense_topk(_query_vectors(spark, sf_dir, 1), _table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
+    return hits.select("vec_id", "score", "rank")
+
+
+def dense_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = dense.dense_topk(_query_vectors(spark, sf_dir, QUERY_VECTORS), _table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20)
+    return hits.select(F.col("q_ord").cast("int").alias("q_ord"), "vec_id", "score", "rank")
+
+
+def _hits(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    close = dense.dense_topk(_query_vectors(spark, sf_dir, n), _table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20)
+    words = lexical.bm25(QUESTIONS[:n], _docs(spark, sf_dir), "doc_id", "text", 20)
+    text = F.element_at(F.array(*[F.lit(q) for q in QUESTIONS]), F.col("q_ord").cast("int") + 1)
+    close = close.select(F.col("q_ord").cast("int").alias("q_ord"), text.alias("query"), F.lit(0).alias("src_ord"), F.lit("dense").alias("source"), F.col("vec_id").alias("id"), "rank")
+    return close.unionByName(words.select("q_ord", text.alias("query"), F.lit(1).alias("src_ord"), F.lit("bm25").alias("source"), F.col("doc_id").alias("id"), "rank"))
+
+
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.rrf(_hits(spark, sf_dir, 1), "id", 15).fillna(0, ["dense_rank", "bm25_rank"]).select("id", "rrf_score", "dense_rank", "bm25_rank", "place")
+
+
+def rrf_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = fusion.rrf(_hits(spark, sf_dir, len(QUESTIONS)), "id", 50)
+    return fused.fillna(0, ["dense_rank", "bm25_rank"]).select("id", "rrf_score", "dense_rank", "bm25_rank", F.size("matched_queries").alias("n_queries"), F.array_join("retrieval_sources", ",").alias("sources"), "place")
+
+
+def hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused ids with their documents: few ids first, then the join."""
+    fused = fusion.rrf(_hits(spark, sf_dir, 1), "id", 15).select("id", "place")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "title", "source", F.sha2("text", 256).alias("text_hash"))
+    return docs.join(F.broadcast(fused), docs.doc_id == fused.id).select("doc_id", "title", "source", "text_hash", "place")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (
+        tokenize_tf, bm25_term_stats, bm25_topk, bm25_multi_query, l2_normalize, embedding_validation, dense_topk, dense_multi_query, rrf_fusion, rrf_multi_query, hydrate,
+    )
+}
+
+_TOKENS = "tok AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS ts FROM documents)"
+_TF = f"{_TOKENS}, tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM tok) GROUP BY ALL)"
+_IDF = f"""{_TF}, st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tok),
+raw AS (SELECT term, count(*) AS df, ln((SELECT n FROM st) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM tf GROUP BY term),
+idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw)"""
+_ASKED = ", ".join(f"({n}, '{q}')" for n, q in enumerate(QUESTIONS))
+_BM25 = f"""{_IDF}, asked AS (SELECT * FROM (VALUES {_ASKED}) v(q_ord, query)),
+qt AS (SELECT q_ord, unnest(list_filter(string_split_regex(lower(query), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM asked),
+sc AS (SELECT q_ord, doc_id, round(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(ts) / (SELECT avgdl FROM st)))), 6) AS score
+  FROM qt JOIN idf USING (term) JOIN tf USING (term) JOIN tok USING (doc_id) GROUP BY q_ord, doc_id),
+lex AS (SELECT *, row_number() OVER (PARTITION BY q_ord ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0)"""
+_DENSE = """qv AS (SELECT vec_id AS q_ord, embedding AS q FROM embeddings WHERE vec_id < 4),
+dsc AS (SELECT q_ord, vec_id, round(list_sum(list_transform(list_zip(embedding, q), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) AS score
+  FROM embeddings, qv),
+den AS (SELECT *, row_number() OVER (PARTITION BY q_ord ORDER BY score DESC, vec_id) AS rank FROM dsc)"""
+
+
+def _fused_sql(n: int, k: int) -> str:
+    return f"""{_BM25}, {_DENSE},
+hits AS (SELECT q_ord, 0 AS src, 'dense' AS source, vec_id AS id, rank FROM den WHERE rank <= 20 AND q_ord < {n}
+  UNION ALL SELECT q_ord, 1, 'bm25', doc_id, rank FROM lex WHERE rank <= 20 AND q_ord < {n}),
+fused AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf_score, min(CASE WHEN src = 0 THEN rank END)::INT AS dense_rank,
+  min(CASE WHEN src = 1 THEN rank END)::INT AS bm25_rank, count(DISTINCT q_ord)::INT AS n_queries, min(q_ord * 1000000 + src * 100000 + rank) AS first,
+  string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM hits GROUP BY id),
+placed AS (SELECT *, row_number() OVER (ORDER BY rrf_score DESC, first) AS place FROM fused QUALIFY place <= {k})"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "tokenize_tf": f"WITH {_TF} SELECT doc_id, term, tf FROM tf",
+    "bm25_term_stats": f"WITH {_IDF} SELECT term, df, round(idf, 6) AS idf FROM idf",
+    "bm25_topk": f"WITH {_BM25} SELECT doc_id, score, rank FROM lex WHERE q_ord = 0 AND rank <= 10",
+    "bm25_multi_query": f"WITH {_BM25} SELECT q_ord, doc_id, score, rank FROM lex WHERE rank <= 20",
+    "l2_normalize": """WITH v AS (SELECT chunk_id, dense_vector::DOUBLE[] AS v,
+  sqrt(coalesce(list_sum(list_transform(dense_vector::DOUBLE[], lambda x: x * x)), 0)) AS n FROM embedded_chunks WHERE dense_vector IS NOT NULL)
+SELECT chunk_id, round(n, 5) AS norm, CASE WHEN n = 0 THEN 0.0 ELSE 1.0 END AS unit_norm FROM v""",
+    "embedding_validation": "SELECT coalesce(len(dense_vector) = 64, false) AS valid, coalesce(cardinality(sparse_vector) = 0, true) AS no_sparse, count(*) AS n FROM embedded_chunks GROUP BY ALL",
+    "dense_topk": f"WITH {_DENSE} SELECT vec_id, score, rank FROM den WHERE q_ord = 0 AND rank <= 10",
+    "dense_multi_query": f"WITH {_DENSE} SELECT q_ord::INT AS q_ord, vec_id, score, rank FROM den WHERE rank <= 20",
+    "rrf_fusion": f"WITH {_fused_sql(1, 15)} SELECT id, rrf_score, coalesce(dense_rank, 0) AS dense_rank, coalesce(bm25_rank, 0) AS bm25_rank, place FROM placed",
+    "rrf_multi_query": f"WITH {_fused_sql(4, 50)} SELECT id, rrf_score, coalesce(dense_rank, 0) AS dense_rank, coalesce(bm25_rank, 0) AS bm25_rank, n_queries, sources, place FROM placed",
+    "hydrate": f"WITH {_fused_sql(1, 15)} SELECT doc_id, title, source, sha256(text) AS text_hash, place FROM placed JOIN documents ON id = doc_id",
+}
