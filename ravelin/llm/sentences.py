@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 SENTENCE = "doc_id long, sent_start int, sent_end int"
-SAMPLE_DOCUMENTS = 4000
+SAMPLE_DOCUMENTS = 2000
 SAMPLE_LONGEST = 20_000
 LONGEST_QUOTE = 5000
 COUNT_SLOTS = 1 << 18
@@ -31,9 +31,12 @@ ORDINAL_BEFORE = frozenset("am im vom zum beim den der dem des das die zur bis a
 #: Marks that open and close a quotation or bracket.
 PAIRS = {"(": ")", "（": "）", "[": "]", "【": "】", "«": "»", "「": "」", "『": "』", "“": "”", "„": "“", "《": "》"}
 CLOSERS = "".join(sorted({*PAIRS.values(), '"', "”"}))
+MARKS = re.compile("[" + re.escape("".join({*PAIRS, *PAIRS.values(), '"'})) + "]")
 WIDE = "。！？｡"
 MARKER = re.compile(r"^\s*(?:[-*•–·▪]\s+|\(?\d{1,3}[.)]\s+|\(?[a-zA-Z][)]\s+|[一二三四五六七八九十]+、)(?=\S)")
 CANDIDATE = re.compile(r"(?:[.!?…۔؟।॥。！？｡]|(?<=[Ͱ-Ͽἀ-῿]);)+")
+GLUED = re.compile(r"[^\W\d_A-ZÀ-Þ]\.([^\W\d_a-zß-ÿ]\w*)$")
+BLANK = re.compile(r"\n\s*\n")
 TOKEN = re.compile(r"[^\s\"“”„«»「」『』()（）\[\]]+")
 
 
@@ -58,7 +61,8 @@ def matched(text: str) -> dict[int, int]:
     """Positions of opening marks with those of their closing ones; marks without a partner are left out."""
     stack: list[tuple[str, int]] = []
     out: dict[int, int] = {}
-    for i, c in enumerate(text):
+    for m in MARKS.finditer(text):
+        i, c = m.start(), m.group()
         if c == '"':
             if stack and stack[-1][0] == '"':
                 out[stack.pop()[1]] = i
@@ -135,6 +139,8 @@ def candidates(text: str) -> list[Candidate]:
         head = text[max(0, mark_at - 60) : mark_at].split()
         tokens = TOKEN.findall(head[-1]) if head else []
         left = tokens[-1] if tokens else ""
+        if (run := GLUED.search(left)):
+            left = run.group(1)
         before = head[-2] if len(head) > 1 else ""
         rest = text[end : end + 120]
         stripped = rest.lstrip()
@@ -309,7 +315,15 @@ def train(texts: list[str], counts: Counts, epochs: int = 8, rate: float = 0.15,
     Boundaries: the ends of paragraphs, each with the beginning of the next one as what comes
     after, and the sure ones inside. Non-boundaries: the sure ones.
     """
-    rows, labels = [], []
+    seen: Counter[tuple[tuple, int]] = Counter()
+    kept: dict[tuple, list[int]] = {}
+
+    def add(c: Candidate, label: int) -> None:
+        key = (c.mark, c.left, context(c), c.after, c.spaced, c.closed)
+        if key not in kept:
+            kept[key] = features(c, counts)
+        seen[key, label] += 1
+
     for text in texts:
         blocks = [text[a:b] for a, b, whole in structure(text) if not whole]
         for one, following in zip(blocks, blocks[1:]):
@@ -318,25 +332,23 @@ def train(texts: list[str], counts: Counts, epochs: int = 8, rate: float = 0.15,
             size = len(one.strip())
             for c in candidates(joined):
                 if c.end == size and joined[size - 1] in ".!?…؟।;。！？" + CLOSERS:
-                    rows.append(features(c, counts))
-                    labels.append(1)
+                    add(c, 1)
         for block in blocks:
             for c in candidates(block):
                 if (label := reliable(c, counts)) is not None:
-                    rows.append(features(c, counts))
-                    labels.append(label)
+                    add(c, label)
     weights = np.zeros(WEIGHTS)
-    if rows:
-        x, y, power = np.array(rows), np.array(labels, float), np.full(WEIGHTS, 1e-3)
+    if seen:
+        # Equal candidates are one weighted row.
+        x, y = np.array([kept[key] for key, _ in seen]), np.array([label for _, label in seen], float)
+        times, power = np.array(list(seen.values()), float), np.full(WEIGHTS, 1e-3)
         rng = np.random.default_rng(3)
         for _ in range(epochs):
             order = rng.permutation(len(y))
-            for at in range(0, len(y), 256):
-                pick = order[at : at + 256]
+            for at in range(0, len(y), 512):
+                pick = order[at : at + 512]
                 p = 1 / (1 + np.exp(-weights[x[pick]].sum(axis=1)))
-                grad = np.zeros(WEIGHTS)
-                np.add.at(grad, x[pick].ravel(), np.repeat(p - y[pick], x.shape[1]))
-                grad += decay * weights
+                grad = np.bincount(x[pick].ravel(), np.repeat((p - y[pick]) * np.minimum(times[pick], 20), x.shape[1]), WEIGHTS) + decay * weights
                 power += grad**2
                 weights -= rate * grad / np.sqrt(power)
     return Model(weights, counts)
@@ -363,28 +375,34 @@ def boundary_counts(documents: DataFrame) -> Counts:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros(COUNT_SLOTS, np.int64)
         for batch in batches:
-            seen: Counter[tuple[str, str]] = Counter()
+            words: Counter[str] = Counter()
+            first: Counter[str] = Counter()
+            last: Counter[str] = Counter()
             for text in batch.text:
                 if not text:
                     continue
-                for block in re.split(r"\n\s*\n", text):
-                    tokens = [t for w in block.split() for t in TOKEN.findall(w)]
-                    if not tokens:
-                        continue
-                    seen["s", tokens[0].rstrip(".,;:!?")] += 1
-                    for t in tokens:
-                        bare = t.rstrip(".,;:!?…")
-                        seen["w", bare] += 1
-                        low = bare if len(bare) == 1 and bare.isupper() else bare.lower()
-                        if low != bare:
-                            seen["w", low] += 1
-                        if t.endswith("."):
-                            seen["p", low] += 1
-                    if tokens[-1].endswith("."):
-                        last = tokens[-1].rstrip(".")
-                        seen["e", last if len(last) == 1 and last.isupper() else last.lower()] += 1
-            for (kind, token), n in seen.items():
-                table[_slot(kind, token)] += n
+                for block in BLANK.split(text):
+                    parts = block.split()
+                    if parts:
+                        words.update(parts)
+                        first[parts[0]] += 1
+                        last[parts[-1]] += 1
+            for word, n in words.items():
+                for token in TOKEN.findall(word):
+                    bare = token.rstrip(".,;:!?…")
+                    low = bare if len(bare) == 1 and bare.isupper() else bare.lower()
+                    table[_slot("w", bare)] += n
+                    if low != bare:
+                        table[_slot("w", low)] += n
+                    if token.endswith("."):
+                        table[_slot("p", low)] += n
+            for word, n in first.items():
+                if tokens := TOKEN.findall(word):
+                    table[_slot("s", tokens[0].rstrip(".,;:!?"))] += n
+            for word, n in last.items():
+                if (tokens := TOKEN.findall(word)) and tokens[-1].endswith("."):
+                    bare = tokens[-1].rstrip(".")
+                    table[_slot("e", bare if len(bare) == 1 and bare.isupper() else bare.lower())] += n
         at = np.flatnonzero(table)
         yield pd.DataFrame({"slot": at, "n": table[at]})
 
