@@ -28,15 +28,17 @@ def rrf(hits: DataFrame, key: str, k: int) -> DataFrame:
     return top.withColumn("place", place).drop("parts", "first")
 
 
-def rerank(candidates: DataFrame, score: str, order: str, k: int) -> DataFrame:
-    """The k best by ``score`` with their ``rerank_rank``; ties keep ``order``, null scores come last."""
-    top = candidates.orderBy(F.col(score).desc_nulls_last(), order).limit(k)
-    return top.withColumn("rerank_rank", F.row_number().over(W.orderBy(F.col(score).desc_nulls_last(), order)))
+def rerank(candidates: DataFrame, score: str, order: str, k: int, group: str | None = None) -> DataFrame:
+    """The k best by ``score`` with their ``rerank_rank``, of each ``group`` if named; ties keep ``order``, null scores come last."""
+    by = W.partitionBy(*([group] if group else [])).orderBy(F.col(score).desc_nulls_last(), order)
+    top = candidates if group else candidates.orderBy(F.col(score).desc_nulls_last(), order).limit(k)
+    return top.withColumn("rerank_rank", F.row_number().over(by)).filter(F.col("rerank_rank") <= k)
 
 
-def by_parent(candidates: DataFrame) -> DataFrame:
+def by_parent(candidates: DataFrame, group: str | None = None) -> DataFrame:
     """One row per parent window of reranked candidates: chunks in rank order, best scores, united queries and sources."""
-    return candidates.groupBy("parent_window_id").agg(
+    keys = [group] if group else []
+    return candidates.groupBy(*keys, "parent_window_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rerank_rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("source_chunks"),
         F.max(F.coalesce("rerank_score", F.lit(float("-inf")))).alias("best_rerank_score"),
         F.max("rrf_score").alias("best_rrf_score"),
@@ -47,20 +49,22 @@ def by_parent(candidates: DataFrame) -> DataFrame:
     )
 
 
-def contexts(grouped: DataFrame, lookup: DataFrame, documents: DataFrame, most: int) -> DataFrame:
+def contexts(grouped: DataFrame, lookup: DataFrame, documents: DataFrame, most: int, group: str | None = None) -> DataFrame:
     """The ``most`` best parents with their text; the limit comes before the text is resolved, ranks are numbered after.
 
     Parents that cannot be resolved (the sentinel ``none``, an unknown window or document) are
-    dropped, so fewer may remain. The text is joined to at most ``most`` rows.
+    dropped, so fewer may remain. Window ids and document ids are looked up once, however often
+    they are repeated.
     """
-    best = grouped.orderBy(F.col("best_rerank_score").desc(), "first").limit(most)
-    spans = lookup.select("parent_window_id", F.col("doc_id").alias("span_doc"), "char_start", "char_end").dropDuplicates(["parent_window_id"])
-    found = spans.join(F.broadcast(best), "parent_window_id")
-    texts = documents.select(F.col("doc_id").alias("span_doc"), "full_text").join(F.broadcast(found.select("span_doc").distinct()), "span_doc").dropDuplicates(["span_doc"])
-    resolved = texts.join(F.broadcast(found), "span_doc").withColumn("parent_text", F.substring("full_text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")))
-    ranked = F.row_number().over(W.orderBy(F.col("best_rerank_score").desc(), "first"))  # ``most`` rows
-    return resolved.withColumn("rank", ranked).select(
-        "rank", "parent_window_id", "doc_id", "parent_text", "source_chunks", "best_rerank_score", "best_rrf_score", "matched_queries", "retrieval_sources"
+    keys = [group] if group else []
+    by = W.partitionBy(*keys).orderBy(F.col("best_rerank_score").desc(), "first")
+    best = grouped.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= most).drop("_n")
+    spans = lookup.groupBy("parent_window_id").agg(F.min(F.struct("doc_id", "char_start", "char_end")).alias("s")).select("parent_window_id", F.col("s.doc_id").alias("span_doc"), "s.char_start", "s.char_end")
+    found = best.filter("parent_window_id <> 'none'").join(spans, "parent_window_id")
+    wanted = documents.select(F.col("doc_id").alias("span_doc"), "full_text").join(found.select("span_doc").distinct(), "span_doc", "left_semi").groupBy("span_doc").agg(F.max("full_text").alias("full_text"))
+    resolved = found.join(wanted, "span_doc").withColumn("parent_text", F.substring("full_text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")))
+    return resolved.filter("parent_text is not null").withColumn("rank", F.row_number().over(by)).select(
+        *keys, "rank", "parent_window_id", "doc_id", "parent_text", "source_chunks", "best_rerank_score", "best_rrf_score", "matched_queries", "retrieval_sources"
     )
 
 
