@@ -53,8 +53,9 @@ def overlap_bounds(sizes: Column, cap: int, overlap: int = OVERLAP) -> Column:
 
 def split_long(piece: Column, limit: int, target: int) -> Column:
     """The piece, or if above ``limit`` characters its words packed to ``target``; words above it are sliced."""
+    part = min(WORD_SLICE, target)
     words = F.flatten(F.transform(F.regexp_extract_all(piece, F.lit(r"\s*\S+\s*$|\s*\S+"), 0), lambda w: F.when(
-        F.length(w) > target, F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / WORD_SLICE).cast("int")), lambda k: F.substring(w, k * WORD_SLICE + 1, F.lit(WORD_SLICE)))
+        F.length(w) > target, F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / part).cast("int")), lambda k: F.substring(w, k * part + 1, F.lit(part)))
     ).otherwise(F.array(w))))
     packed = F.transform(fold_bounds(F.transform(words, F.length), target), lambda r: F.array_join(F.slice(words, r["a"] + 1, r["b"] - r["a"]), ""))
     return F.when(F.length(piece) > limit, packed).otherwise(F.array(piece))
