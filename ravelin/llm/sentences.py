@@ -36,6 +36,7 @@ WIDE = "。！？｡"
 MARKER = re.compile(r"^\s*(?:[-*•–·▪]\s+|\(?\d{1,3}[.)]\s+|\(?[a-zA-Z][)]\s+|[一二三四五六七八九十]+、)(?=\S)")
 CANDIDATE = re.compile(r"(?:[.!?…۔؟।॥。！？｡]|(?<=[Ͱ-Ͽἀ-῿]);)+")
 GLUED = re.compile(r"[^\W\d_A-ZÀ-Þ]\.([^\W\d_a-zß-ÿ]\w*)$")
+LOWER = re.compile(r"\s+[a-zß-öø-ÿα-ωάέήίόύώа-яё](?![A-Z])")
 BLANK = re.compile(r"\n\s*\n")
 TOKEN = re.compile(r"[^\s\"“”„«»「」『』()（）\[\]]+")
 
@@ -105,8 +106,12 @@ class Candidate:
     closed: str
 
 
-def candidates(text: str) -> list[Candidate]:
-    """Places where a sentence of running text may end, none inside a quotation or bracket."""
+def candidates(text: str, sure: bool = True) -> list[Candidate]:
+    """Places where a sentence of running text may end, none inside a quotation or bracket.
+
+    Without ``sure``, places that a word in small letters follows are left out: they are sure
+    non-boundaries, which only training needs.
+    """
     pairs = matched(text)
     closing = {b: a for a, b in pairs.items()}
     outer: list[tuple[int, int]] = []
@@ -156,6 +161,8 @@ def candidates(text: str) -> list[Candidate]:
         nxt = text[end : end + 1]
         if not nxt:
             continue
+        if not sure and nxt.isspace() and LOWER.match(text, end):
+            continue
         plain = mark == "."
         if not (nxt.isspace() or nxt in CLOSERS or any(w in mark for w in WIDE + "।")):
             if nxt in ",;:)-'’/@_" or nxt.isdigit() or nxt.islower() or (plain and not (nxt.isupper() and at > 1 and (text[at - 1].islower() and text[at - 2] != "." or text[at - 1].isdigit() and text[end + 1 : end + 2].islower()))):
@@ -358,7 +365,7 @@ def sentences(text: str, model: Model) -> list[tuple[int, int]]:
     """Spans of the sentences of a text, without white space around them; they cover everything else."""
     out = []
     for start, end, whole in structure(text):
-        cuts = [] if whole else [start + c.end for c in candidates(text[start:end]) if model.probability(c) > 0.5]
+        cuts = [] if whole else [start + c.end for c in candidates(text[start:end], sure=False) if model.probability(c) > 0.5]
         at = start
         for cut_at in [*cuts, end]:
             piece = text[at:cut_at]
