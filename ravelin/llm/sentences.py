@@ -32,7 +32,9 @@ ORDINAL_BEFORE = frozenset("am im vom zum beim den der dem des das die zur bis a
 PAIRS = {"(": ")", "（": "）", "[": "]", "【": "】", "«": "»", "「": "」", "『": "』", "“": "”", "„": "“", "《": "》"}
 CLOSERS = "".join(sorted({*PAIRS.values(), '"', "”"}))
 MARKS = re.compile("[" + re.escape("".join({*PAIRS, *PAIRS.values(), '"'})) + "]")
+ASKING = frozenset("?؟？" + CLOSERS)
 WIDE = "。！？｡"
+WIDE_MARKS, OPEN_ENDED = frozenset(WIDE), frozenset(WIDE + "।")
 MARKER = re.compile(r"^\s*(?:[-*•–·▪]\s+|\(?\d{1,3}[.)]\s+|\(?[a-zA-Z][)]\s+|[一二三四五六七八九十]+、)(?=\S)")
 CANDIDATE = re.compile(r"(?:[.!?…۔؟।॥。！？｡]|(?<=[Ͱ-Ͽἀ-῿]);)+")
 GLUED = re.compile(r"[^\W\d_A-ZÀ-Þ]\.([^\W\d_a-zß-ÿ]\w*)$")
@@ -95,7 +97,7 @@ def shape(token: str) -> str:
     return _script(c)
 
 
-@dataclass
+@dataclass(slots=True)
 class Candidate:
     end: int
     mark: str
@@ -164,7 +166,7 @@ def candidates(text: str, sure: bool = True) -> list[Candidate]:
         if not sure and nxt.isspace() and LOWER.match(text, end):
             continue
         plain = mark == "."
-        if not (nxt.isspace() or nxt in CLOSERS or any(w in mark for w in WIDE + "।")):
+        if not (nxt.isspace() or nxt in CLOSERS) and OPEN_ENDED.isdisjoint(mark):
             if nxt in ",;:)-'’/@_" or nxt.isdigit() or nxt.islower() or (plain and not (nxt.isupper() and at > 1 and (text[at - 1].islower() and text[at - 2] != "." or text[at - 1].isdigit() and text[end + 1 : end + 2].islower()))):
                 continue
             if set(mark) <= {"…"}:
@@ -172,7 +174,7 @@ def candidates(text: str, sure: bool = True) -> list[Candidate]:
             word = (text[max(0, at - 80) : at].split() or [""])[-1] + text[at : at + 80].split()[0]
             if plain and re.search(r"[@/_]", word):
                 continue
-        put(at, "wide" if any(w in mark for w in WIDE) else "ellipsis" if mark in ("…", "...", "....") or set(mark) == {"…"} else mark[-1], end)
+        put(at, mark if mark == "." else "wide" if not WIDE_MARKS.isdisjoint(mark) else "ellipsis" if mark in ("…", "...", "....") or set(mark) == {"…"} else mark[-1], end)
     for m in re.finditer(r"(?<=[฀-๿])[ \n]+(?=[^\W\d])", text):
         put(m.start(), "gap", m.start())
     return [found[k] for k in sorted(found)]
@@ -197,10 +199,12 @@ def structure(text: str) -> list[tuple[int, int, bool]]:
             item = bool(MARKER.match(line)) and (n == 0 or kind in ("item", "heading") or ended)
             full = wrapped and bool(below) and len(line.rstrip()) + 1 + len(below.split()[0]) > width - 1
             first = bare[:1]
+            small = first.islower() and not bare[1:2].isupper()
+            head = 1 if any(_script(c) == "wide" for c in bare[:3]) else len(bare.split()[0]) if bare else 0
             open_end = bare.rstrip(CLOSERS)[-1:] not in ".!?…,;؟।:。！？、，—" and bare[-1:] not in ".!?,;:。！？"
             thai = bool(bare) and _script(bare[-1]) == "thai"
-            heading = bool(below) and (n == 0 or kind == "heading") and not item and open_end and not full and len(bare) < 90 and not below[:1].islower() and bool(first) and (not thai or " " not in bare) and not re.search(r"[.!?]\s+\w", bare) and not (re.search(r"[。！？।؟]", bare))
-            if n and (item or kind == "heading" or (kind == "item" and not (above and not item and bare[:1].islower()) and not (wrapped and len(above) + 1 + len(bare.split()[0] if bare else "") > width))):
+            heading = bool(below) and (n == 0 or kind == "heading") and not item and open_end and not full and len(bare) < 90 and not (below[:1].islower() and not below[1:2].isupper()) and bool(first) and (not thai or " " not in bare) and not re.search(r"[.!?]\s+\w", bare) and not (re.search(r"[。！？।؟]", bare))
+            if n and (item or kind == "heading" or (kind == "item" and not (above and not item and small) and not (wrapped and len(above) + 1 + head > width))):
                 out.append((start, lines[n - 1][0] + len(lines[n - 1][1]), kind is not None))
                 start, kind = pos, None
             if item:
@@ -224,6 +228,16 @@ class Counts:
     """How often words end and begin paragraphs, stand before a period, and stand anywhere; in fixed space."""
 
     table: np.ndarray
+    classes: dict[str, tuple] = field(default_factory=dict)
+
+    def key(self, c: Candidate) -> tuple:
+        """All that the features of a candidate depend on; of the word behind it only its classes."""
+        after = self.classes.get(c.after)
+        if after is None:
+            if len(self.classes) > 300_000:
+                self.classes.clear()
+            after = self.classes[c.after] = (shape(c.after), self.starts(c.after), _script(c.after[0]) if c.after else "")
+        return c.mark, c.left, context(c), after, c.spaced, c.closed
 
     def of(self, kind: str, token: str) -> int:
         return int(self.table[_slot(kind, token)])
@@ -244,11 +258,13 @@ class Counts:
 
 def context(c: Candidate) -> str:
     """What the word before the last one says: an abbreviation, a question that the last word answers, an ordinal's article."""
-    if shape(c.left) == "digit" and c.before.lower() in ORDINAL_BEFORE:
-        return "ordinal"
-    if c.before and c.before.rstrip(CLOSERS)[-1:] in ("?", "؟", "？") and c.left.isalpha() and (c.left.lower() not in LEADING or c.left.lower() == "no"):
+    before, left = c.before, c.left
+    if left[:1].isdigit():
+        if before.lower() in ORDINAL_BEFORE:
+            return "ordinal"
+    elif before and before[-1] in ASKING and before.rstrip(CLOSERS)[-1:] in ("?", "؟", "？") and left.isalpha() and (left.lower() not in LEADING or left.lower() == "no"):
         return "answer"
-    return "chain" if c.before.endswith(".") else "plain"
+    return "chain" if before.endswith(".") else "plain"
 
 
 def features(c: Candidate, counts: Counts) -> list[int]:
@@ -290,6 +306,8 @@ def reliable(c: Candidate, counts: Counts) -> int | None:
         return 0
     if after == "digit" and counts.ends(c.left) == "never" and counts.dotted(c.left) == "mostly":
         return 0
+    if c.left and _script(c.left[-1]) == "nagari" and after == "nagari":
+        return 0  # the script has a full stop of its own
     if left == "digit" and c.before.lower() in ORDINAL_BEFORE:
         return 0
     if left == "letter" and c.before.endswith("."):
@@ -308,7 +326,7 @@ class Model:
     known: dict[tuple, float] = field(default_factory=dict)
 
     def probability(self, c: Candidate) -> float:
-        key = (c.mark, c.left, context(c), c.after, c.spaced, c.closed)
+        key = self.counts.key(c)
         if key not in self.known:
             if len(self.known) > 300_000:
                 self.known.clear()
@@ -326,7 +344,7 @@ def train(texts: list[str], counts: Counts, epochs: int = 8, rate: float = 0.15,
     kept: dict[tuple, list[int]] = {}
 
     def add(c: Candidate, label: int) -> None:
-        key = (c.mark, c.left, context(c), c.after, c.spaced, c.closed)
+        key = counts.key(c)
         if key not in kept:
             kept[key] = features(c, counts)
         seen[key, label] += 1
