@@ -86,6 +86,7 @@ def probes(strings: DataFrame, lengths: list[int], tau: int) -> DataFrame:
             for x in lengths if abs(x - own) <= tau for n, _, start, size in probe_bounds(own, x, tau)
         ]
         parts.append(F.when(F.length("s") == own, F.array(*posts)))
+    parts = parts or [F.array().cast("array<struct<length:int,n:int,segment:string>>")]
     return strings.select("scope", "s", F.explode(F.coalesce(*parts)).alias("p")).select("scope", "p.length", "p.n", "p.segment", "s")
 
 
