@@ -1 +1 @@
-"""See the package docstring."""
+"""Scalar functions as Catalyst expressions, and interfaces for models."""

@@ -1 +1 @@
-"""See the package docstring."""
+"""Operators over DataFrames: retrieval, fusion, segmentation, layout, knowledge base."""

@@ -1 +1 @@
-"""See the package docstring."""
+"""Files and tables as sources and sinks."""

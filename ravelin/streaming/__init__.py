@@ -1 +1 @@
-"""See the package docstring."""
+"""Structured Streaming around the batch operators."""
