@@ -67,10 +67,10 @@ def plan(counted: DataFrame, targets: DataFrame) -> DataFrame:
     share of them. Sums are made with map-side combine, a row per source.
     """
     held = counted.filter("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
-    whole = held.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("whole"))
+    whole = held.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("whole")).first().whole
     wanted = targets.select(F.col("source").alias("name"), F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats")
-    out = wanted.join(held, "source", "left").crossJoin(F.broadcast(whole)).fillna(0, ["tokens", "documents"])
-    out = out.withColumn("quota", F.col("target_share") * F.col("whole")).withColumn("reachable", F.col("tokens") * F.col("max_repeats") >= F.col("quota"))
+    out = wanted.join(held, "source", "left").fillna(0, ["tokens", "documents"])
+    out = out.withColumn("quota", F.col("target_share") * F.lit(float(whole))).withColumn("reachable", F.col("tokens") * F.col("max_repeats") >= F.col("quota"))
     return out.withColumn("rate", F.when(F.col("tokens") > 0, F.least(F.col("max_repeats").cast("double"), F.col("quota") / F.col("tokens"))).otherwise(0.0))
 
 
@@ -139,7 +139,7 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: i
         .filter("copies > 0")
     )
     got = copies.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("reached_tokens"))
-    mixed = F.broadcast(got.agg(F.sum("reached_tokens").alias("mixed")))
-    report = planned.join(got, "source", "left").fillna(0, ["reached_tokens"]).crossJoin(mixed)
-    share = F.when(F.col("mixed") > 0, F.col("reached_tokens") / F.col("mixed")).otherwise(0.0)
+    mixed = got.agg(F.sum("reached_tokens").alias("mixed")).first().mixed or 0
+    report = planned.join(got, "source", "left").fillna(0, ["reached_tokens"])
+    share = F.col("reached_tokens") / F.lit(float(mixed)) if mixed else F.lit(0.0)
     return copies, report.select(F.col("name").alias("source"), "target_share", "tokens", "quota", "reachable", "reached_tokens", share.alias("reached_share"))
