@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ravelin.llm.tokens import TOKENIZER, token_counts
 from ravelin.session import cut
 
 BLOCK_ITEMS = 4096
 HEAVY = 64
+LENT = 14
 EPSILON = 1e-9
 
 
@@ -55,9 +55,17 @@ def flight(share: np.ndarray, size: np.ndarray, rng: np.random.Generator, heavy:
 
 
 def landing(share: np.ndarray, size: np.ndarray, owed: float) -> np.ndarray:
-    """0 or 1 for the few items that are left, so that their size comes nearest to ``owed``."""
-    choices = np.array(list(product((0, 1), repeat=len(share)))).reshape(-1, len(share))
-    return choices[np.argmin(np.abs(choices @ size - owed))] if len(share) else share
+    """0 or 1 for the items that are left open and the settled ones lent to the landing.
+
+    Their size comes nearest to ``owed``; a settled item that changes costs a hundredth of the
+    mean size, so few do.
+    """
+    if not len(share):
+        return share
+    choices = (np.arange(1 << len(share))[:, None] >> np.arange(len(share)) & 1).astype(float)
+    settled = (share == 0) | (share == 1)
+    changed = (np.abs(choices - share) * settled).sum(axis=1)
+    return choices[np.argmin(np.abs(choices @ size - owed) + 0.01 * size.mean() * changed)]
 
 
 def plan(counted: DataFrame, targets: DataFrame) -> DataFrame:
@@ -90,7 +98,9 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: i
     document of a source is used ``floor(rate)`` times, and once more with the chance of the
     rest; who is, is decided by the cube method: in blocks of a source the probabilities move
     through the null space of the token total and the document total until two at most are left
-    open, these are gathered into new blocks, and the last of a source land nearest its quota.
+    open, these are gathered into new blocks, and the last of a source, with ``LENT`` settled ones (half of
+    them the largest),
+    land nearest its quota.
     A source of any size is many blocks; rounds shrink the open items by thousands.
 
     Report: ``source, target_share, tokens, quota, reachable, reached_tokens, reached_share``. A
@@ -126,14 +136,20 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: i
     done = spark.createDataFrame([], "doc_id long, source string, n_tokens long, share double")
     for part in settled:
         done = done.unionByName(part)
-    reached = done.groupBy("source").agg(F.sum(F.col("share") * F.col("n_tokens")).alias("got"))
-    rest = open_.join(owed.join(reached, "source", "left").select("source", (F.col("owed") - F.coalesce("got", F.lit(0.0))).alias("owed")), "source")
+    done = cut(done)
+    by_hash, by_size = W.partitionBy("source").orderBy(F.xxhash64("doc_id", F.lit(seed))), W.partitionBy("source").orderBy(F.desc("n_tokens"), "doc_id")
+    lent = [done.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= LENT // 2).drop("n") for w in (by_hash, by_size)]
+    lent = lent[0].unionByName(lent[1]).distinct()
+    last = cut(open_.unionByName(lent))
+    kept = done.join(last.select("doc_id"), "doc_id", "left_anti")
+    reached = kept.groupBy("source").agg(F.sum(F.col("share") * F.col("n_tokens")).alias("got"))
+    rest = last.join(owed.join(reached, "source", "left").select("source", (F.col("owed") - F.coalesce("got", F.lit(0.0))).alias("owed")), "source")
 
     def land(rows: pd.DataFrame) -> pd.DataFrame:
         return rows.assign(share=landing(rows.share.to_numpy(), rows.n_tokens.to_numpy(), float(rows.owed.iloc[0])).astype(float))[["doc_id", "source", "n_tokens", "share"]]
 
     landed = rest.groupBy("source").applyInPandas(land, "doc_id long, source string, n_tokens long, share double")
-    extra = done.unionByName(landed).select("doc_id", F.col("share").alias("more"))
+    extra = kept.unionByName(landed).select("doc_id", F.col("share").alias("more"))
     copies = cut(
         used.join(extra, "doc_id", "left").select("doc_id", "source", "n_tokens", (F.col("base") + F.coalesce("more", F.lit(0.0))).cast("int").alias("copies"))
         .filter("copies > 0")
