@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -146,7 +147,7 @@ def candidates(text: str, sure: bool = True) -> list[Candidate]:
         head = text[max(0, mark_at - 60) : mark_at].split()
         tokens = TOKEN.findall(head[-1]) if head else []
         left = tokens[-1] if tokens else ""
-        if (run := GLUED.search(left)):
+        if "." in left and (run := GLUED.search(left)):
             left = run.group(1)
         before = head[-2] if len(head) > 1 else ""
         rest = text[end : end + 120]
@@ -154,8 +155,8 @@ def candidates(text: str, sure: bool = True) -> list[Candidate]:
         token = TOKEN.match(stripped)
         after = token.group() if token else stripped[:1]
         # Scripts without spaces have clauses for tokens; what counts of those is the character at the boundary.
-        left = left[-1:] if left and _script(left[-1]) == "wide" else left
-        after = after[:1] if after and _script(after[0]) == "wide" else after
+        left = left[-1:] if left and left[-1] > "⿿" and _script(left[-1]) == "wide" else left
+        after = after[:1] if after and after[0] > "⿿" and _script(after[0]) == "wide" else after
         found[end] = Candidate(end, mark, left.lower() if not (len(left) == 1 and left.isupper()) else left, before, after, rest[:1].isspace(), closed)
 
     for m in CANDIDATE.finditer(text):
@@ -455,9 +456,16 @@ def split_sentences(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMEN
     chosen = rows.filter(F.length("text") <= SAMPLE_LONGEST).orderBy(F.xxhash64("doc_id"), "text").limit(sample_documents).select("text").collect()
     model = rows.sparkSession.sparkContext.broadcast(train([unicodedata.normalize("NFC", r.text) for r in chosen], counts))
 
-    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(d, a, b) for d, t in zip(batch.doc_id, batch.text) for a, b in sentences(t, model.value)]
-            yield pd.DataFrame(found, columns=["doc_id", "sent_start", "sent_end"])
-
-    return rows.mapInPandas(spans, SENTENCE).distinct()
+            ids: list[int] = []
+            starts: list[int] = []
+            ends: list[int] = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for a, b in sentences(text, model.value):
+                    ids.append(doc)
+                    starts.append(a)
+                    ends.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "sent_start", "sent_end"])
+
+    return rows.mapInArrow(spans, SENTENCE).distinct()
