@@ -37,7 +37,7 @@ def embed_text(title: Column, path: Column, chunk: Column) -> Column:
 
 def bm25_tokens(c: Column) -> Column:
     """Runs of a-z and 0-9 of the lower-case text; every other character separates."""
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), "")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -50,7 +50,8 @@ def norm(v: Column) -> Column:
 
 def l2_normalise(v: Column) -> Column:
     """Divided by the norm; the zero vector stays."""
-    return F.when(norm(v) == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / norm(v)))
+    # The norm is bound by an outer array of one, so that it is not computed again for every component.
+    return F.transform(F.array(norm(v)), lambda n: F.when(n == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / n)))[0]
 
 
 def valid_vector(v: Column, dim: int) -> Column:
