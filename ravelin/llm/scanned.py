@@ -42,6 +42,13 @@ WORDS = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 INTO: dict[str, list[str]] = {}
 for _right, _seen in CONFUSIONS:
     INTO.setdefault(_seen, []).append(_right)
+#: The strokes of characters. Both sides of every confusion have the same ones, so a word has those of all that it may be read as.
+STROKE_SETS = {"i": "ilftr1|7", "ii": "nuhbvy68ﬁﬂﬀ", "iii": "mﬃﬄ", "iiii": "w", "o": "ocea034", "oi": "d", "io": "k", "g": "gq9", "s": "s5", "z": "z2"}
+STROKES = {ord(c): made for made, chars in STROKE_SETS.items() for c in chars}
+#: Scanned texts that are read together with the part of the lexicon they need.
+BLOCK = 128
+#: Level from which a word may be a piece of two that were run together.
+PIECE_LEVEL = 7
 
 
 def is_scan(text: Column) -> Column:
@@ -49,6 +56,19 @@ def is_scan(text: Column) -> Column:
     return ~text.rlike(rf"[^\n]{{{WIDEST + 1}}}") & text.rlike(r"[^\n]{25,}\n+[^\n]+\n+[^\n]+\n")
 
 
+def strokes(word: str) -> str:
+    return word.translate(STROKES)
+
+
+def strokes_of(c: Column) -> Column:
+    """``strokes`` of a column."""
+    c = F.translate(c, "".join(STROKE_SETS.values()), "".join(chars[0] * len(chars) for chars in STROKE_SETS.values()))
+    for made, chars in STROKE_SETS.items():
+        if len(made) > 1:
+            c = F.replace(c, F.lit(chars[0]), F.lit(made))
+    return c
+
+
 def _slots(word: str) -> list[int]:
     h = xxhash.xxh3_64_intdigest(word)
     return [(h + k * ((h >> 29) | 1)) % SLOTS for k in range(HASHES)]
@@ -56,7 +76,7 @@ def _slots(word: str) -> list[int]:
 
 @dataclass
 class Lexicon:
-    """Word frequencies in fixed space: the level (binary logarithm of the count, plus 1) in HASHES slots of a table; letter trigrams likewise."""
+    """Word frequencies of a small vocabulary in fixed space: the level (binary logarithm of the count, plus 1) in HASHES slots of a table; letter trigrams likewise."""
 
     levels: np.ndarray
     trigrams: np.ndarray
@@ -70,6 +90,10 @@ class Lexicon:
             found = self._known[word] = int(min(self.levels[s] for s in _slots(word)))
         return found
 
+    def near(self, word: str, most: int) -> Iterator[tuple[str, int]]:
+        """Known words that ``word`` may stand for, with the number of confusions (1 to ``most``)."""
+        return ((other, cost) for other, cost in _variants(word, most).items() if cost and self.level(other))
+
     def likelihood(self, word: str) -> float:
         """Mean log count of the word's letter trigrams."""
         framed = f"^{word}$"
@@ -79,6 +103,22 @@ class Lexicon:
         return {"levels": self.levels, "trigrams": self.trigrams, "_known": {}}
 
 
+class Excerpt(Lexicon):
+    """The words of a lexicon that have the strokes some texts ask for, each with its count."""
+
+    def __init__(self, counts: dict[str, int], trigrams: np.ndarray):
+        self.counts, self.trigrams, self.alike = counts, trigrams, {}
+        for word in counts:
+            self.alike.setdefault(strokes(word), []).append(word)
+
+    def level(self, word: str) -> int:
+        return min(self.counts.get(word, 0).bit_length(), 60)
+
+    def near(self, word: str, most: int) -> Iterator[tuple[str, int]]:
+        others = sorted(self.alike.get(strokes(word), ()), key=lambda w: (-self.counts[w], w))
+        return ((other, cost) for other in others if (cost := confusions(word, other)) and cost <= most)
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """``(word, n)`` over all texts, counted in the tasks before they are shuffled."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,28 +136,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def learn(texts: DataFrame) -> Lexicon:
-    """The lexicon of texts that were not scanned.
+def learn(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """The lexicon of texts that were not scanned: ``(word, n, strokes)`` of every word, and ``TRIGRAMS`` counts of letter trigrams.
 
-    All texts and words are counted. What leaves the executors has a fixed bound: ``SLOTS``
-    levels and ``TRIGRAMS`` counts. Should the words need more than an eighth of the slots, the rarest
-    are left out until they don't.
+    All words are kept, as a table; only the counts of trigrams, which have a fixed size, leave the executors.
     """
-    counted = cut(word_counts(texts))
-    by_level = sorted((int(r.level), r["count"]) for r in counted.groupBy(F.floor(F.log2("n")).alias("level")).count().collect())
-    kept, least = 0, 0
-    for level, n in reversed(by_level):
-        if (kept + n) * HASHES > SLOTS // 8:
-            least = level + 1
-            break
-        kept += n
-    words = counted.filter(F.col("n") >= 2**least)
-
-    def slot_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            level = np.minimum(np.log2(batch.n.to_numpy()).astype(int) + 1, 60)
-            pairs = [_slots(w) for w in batch.word]
-            yield pd.DataFrame({"slot": [s for p in pairs for s in p], "level": np.repeat(level, HASHES)})
+    words = cut(word_counts(texts).withColumn("strokes", strokes_of(F.col("word"))))
 
     def trigram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(TRIGRAMS, np.int64)
@@ -129,12 +153,25 @@ def learn(texts: DataFrame) -> Lexicon:
         at = np.flatnonzero(counts)
         yield pd.DataFrame({"slot": at, "n": counts[at]})
 
-    levels, trigrams = np.zeros(SLOTS, np.uint8), np.zeros(TRIGRAMS, np.int64)
-    slots = words.mapInPandas(slot_rows, "slot int, level int").groupBy("slot").agg(F.max("level").cast("byte").alias("level")).toPandas()
-    levels[slots.slot.to_numpy()] = slots.level.to_numpy()
-    grams = words.mapInPandas(trigram_rows, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    trigrams = np.zeros(TRIGRAMS, np.int64)
+    grams = words.select("word").mapInPandas(trigram_rows, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     trigrams[grams.slot.to_numpy()] = grams.n.to_numpy()
-    return Lexicon(levels, trigrams)
+    return words, trigrams
+
+
+def confusions(seen: str, right: str) -> int | None:
+    """The least number of confusions by which ``right`` is read as ``seen``; None if it cannot be."""
+    at: list[dict[int, int]] = [{} for _ in range(len(seen) + 1)]
+    at[0][0] = 0
+    for i in range(len(seen)):
+        for j, cost in at[i].items():
+            steps = [(1, 1, cost)] if right[j : j + 1] == seen[i] else []
+            for size in (1, 2):
+                steps += [(size, len(r), cost + 1) for r in INTO.get(seen[i : i + size], ()) if i + size <= len(seen) and right.startswith(r, j)]
+            for size, width, total in steps:
+                if at[i + size].get(j + width, total + 1) > total:
+                    at[i + size][j + width] = total
+    return at[-1].get(len(right))
 
 
 def _variants(word: str, most: int = 3, beam: int = 400) -> dict[str, int]:
@@ -193,9 +230,9 @@ class Decoder:
         if len(word) < 3 and not (odd and any(c.isalpha() for c in word)):
             return word
         best, score = word, 0
-        for other, cost in _variants(word, 3 if len(word) > 5 else 2 if len(word) > 3 else 1).items():
-            if cost and len(other) > 1 and (level := self.lexicon.level(other)):
-                value = level - 5 * cost + 14
+        for other, cost in self.lexicon.near(word, 3 if len(word) > 5 else 2 if len(word) > 3 else 1):
+            if len(other) > 1:
+                value = self.lexicon.level(other) - 5 * cost + 14
                 if value > score:
                     best, score = other, value
         if score > 0:
@@ -231,7 +268,33 @@ class Decoder:
             return [word]
         cuts = [(min(self.lexicon.level(word[:k]), self.lexicon.level(word[k:])), k) for k in range(3, len(word) - 2)]
         level, k = max(cuts)
-        return [word[:k], word[k:]] if level >= 7 else [word]
+        return [word[:k], word[k:]] if level >= PIECE_LEVEL else [word]
+
+
+class Asks:
+    """Stands for a decoder and notes the words that one may look up: ``near`` with all they may stand for, ``pieces`` as they are."""
+
+    def __init__(self, pieces: bool):
+        self.near, self.pieces_too, self.exact = set(), pieces, set()
+
+    def _note(self, word: str) -> None:
+        if word not in self.near:
+            self.near.update((word, *re.split(r"[-./@_:]", word), *word.split("-")))
+
+    def token(self, core: str) -> str:
+        self._note(core.lower())
+        return core.lower()
+
+    def joined(self, left: str, right: str) -> str:
+        for word in (left + right, f"{left}-{right}", left, right):
+            self._note(word)
+        return left + right
+
+    def pieces(self, word: str) -> list[str]:
+        if self.pieces_too and len(word) >= 7 and word.isalpha():
+            for k in range(3, len(word) - 2):
+                self.exact.update((word[:k], word[k:]))
+        return [word]
 
 
 def _fold(line: str) -> str:
@@ -327,10 +390,9 @@ def _cased(like: str, word: str) -> str:
     return word[:1].upper() + word[1:] if like[:1].isupper() else word
 
 
-def repair(text: str, name: str, decoder: Decoder) -> tuple[list[tuple[int, str, str]], list[str]]:
-    """Findings ``(line, kind, repaired)`` and the repaired paragraphs of one scanned text."""
+def _read(text: str, gone: set[int], decoder: Decoder | Asks) -> tuple[list[tuple[int, str, str]], list[tuple[int, str]], list[tuple[int, str]]]:
+    """Findings, body lines and ``(body line, word)`` of a text without the lines that are ``gone``."""
     lines = text.split("\n")
-    gone = furniture_lines(lines, name)
     findings = [(n, "furniture", "") for n in sorted(gone)]
     body, gap = [], 0
     for n, line in enumerate(lines):
@@ -339,7 +401,6 @@ def repair(text: str, name: str, decoder: Decoder) -> tuple[list[tuple[int, str,
         elif line.strip():
             body.append((n - gap, line.strip()))
     numbers = [n for n, line in enumerate(lines) if n not in gone and line.strip()]
-    width = max((len(line) for _, line in body), default=0)
     words: list[tuple[int, str]] = []
     held: tuple[int, str] | None = None
     for k, (_, line) in enumerate(body):
@@ -369,6 +430,13 @@ def repair(text: str, name: str, decoder: Decoder) -> tuple[list[tuple[int, str,
             elif low and not core[:1].isupper():
                 core = " ".join(decoder.pieces(core))
             words.append((k, head + core + tail))
+    return findings, body, words
+
+
+def repair(text: str, name: str, decoder: Decoder, gone: set[int] | None = None) -> tuple[list[tuple[int, str, str]], list[str]]:
+    """Findings ``(line, kind, repaired)`` and the repaired paragraphs of one scanned text."""
+    findings, body, words = _read(text, furniture_lines(text.split("\n"), name) if gone is None else gone, decoder)
+    width = max((len(line) for _, line in body), default=0)
     by_line: dict[int, list[str]] = {}
     for k, w in words:
         by_line.setdefault(k, []).append(w)
@@ -383,20 +451,43 @@ def _scans(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _repaired(documents: DataFrame, schema: str, findings: bool) -> DataFrame:
+    """The scans in blocks, each read with the words of the lexicon that it may look up."""
     scans, clean = _scans(documents)
-    lexicon = documents.sparkSession.sparkContext.broadcast(learn(clean))
+    words, counts = learn(clean)
+    trigrams = documents.sparkSession.sparkContext.broadcast(counts)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = Decoder(lexicon.value)
-        columns = [c.split()[0] for c in schema.split(", ")]
+    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for doc, text, name in zip(batch.doc_id, batch.text, batch.name):
-                found, parts = repair(text, name or "", decoder)
-                out += [(doc, *f) for f in found] if findings else [(doc, n, p) for n, p in enumerate(parts)]
-            yield pd.DataFrame(out, columns=columns)
+            gone = [sorted(furniture_lines(t.split("\n"), n or "")) for t, n in zip(batch.text, batch.name)]
+            yield pd.DataFrame({"doc_id": batch.doc_id, "text": batch.text, "gone": gone})
 
-    return scans.mapInPandas(rows, schema)
+    def asks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block, part in batch.groupby("block"):
+                asked = Asks(pieces=not findings)
+                for text, gone in zip(part.text, part.gone):
+                    _read(text, set(gone), asked)
+                near, exact = sorted(asked.near), sorted(asked.exact - asked.near)
+                yield pd.DataFrame({"block": block, "word": near + exact, "exact": [False] * len(near) + [True] * len(exact)})
+
+    def rows(texts: pd.DataFrame, excerpt: pd.DataFrame) -> pd.DataFrame:
+        decoder = Decoder(Excerpt(dict(zip(excerpt.word, excerpt.n.tolist())), trigrams.value))
+        out = []
+        for doc, text, gone in zip(texts.doc_id, texts.text, texts.gone):
+            if findings:
+                out += [(doc, *f) for f in _read(text, set(gone), decoder)[0]]
+            else:
+                out += [(doc, n, p) for n, p in enumerate(repair(text, "", decoder, set(gone))[1])]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    found = cut(scans.mapInPandas(pages, "doc_id string, text string, gone array<int>"))
+    blocks = -(-found.count() // BLOCK) or 1
+    texts = found.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    asked = cut(texts.select("block", "text", "gone").mapInPandas(asks, "block int, word string, exact boolean"))
+    near = asked.filter("not exact").select("block", strokes_of(F.col("word")).alias("strokes")).distinct().join(words, "strokes")
+    exact = asked.filter("exact").select("block", "word").distinct().join(words.filter(F.col("n") >= 2 ** (PIECE_LEVEL - 1)), "word")
+    excerpts = near.select("block", "word", "n").unionByName(exact.select("block", "word", "n"))
+    return texts.groupBy("block").cogroup(excerpts.groupBy("block")).applyInPandas(rows, schema)
 
 
 def scan_defects(documents: DataFrame) -> DataFrame:

@@ -47,6 +47,21 @@ def test_words_run_together_are_split():
     assert decoder.read("cerarnic") == "ceramic" and decoder.joined("inspec", "tion") == "inspection" and decoder.token("2O15") == "2015" and decoder.token("13B") == "138" and decoder.token("1b") == "16"
 
 
+def test_confusions_keep_the_strokes(spark):
+    assert all(P.strokes(right) == P.strokes(seen) for right, seen in P.CONFUSIONS)
+    words = ["cornmittee", "w0rking", "oﬃce|k7", "naïve-4d", "", *(w for pair in P.CONFUSIONS for w in pair)]
+    assert [r.s for r in spark.createDataFrame([(w,) for w in words], "w string").select(P.strokes_of(F.col("w")).alias("s")).collect()] == [P.strokes(w) for w in words]
+    assert P.confusions("cornmittcc", "committee") == 3 and P.confusions("pump", "pump") == 0 and P.confusions("pump", "pomp") is None
+
+
+def test_rare_words_stay_in_a_large_lexicon(spark):
+    many = [" ".join(f"x{n}q" for n in range(k, k + 5000)) for k in range(0, 265_000, 5000)]
+    frame = docs(spark, [("clean", CLEAN * 30, "x.txt"), ("rare", "The quillwort was photographed by a lepidopterist. It stands in the garden of the old house near the river and in no other text that we have read so far.", "r.txt"), *((f"m{n}", t, "m.txt") for n, t in enumerate(many)), ("page", PAGE.replace("qucry", "qui1lwort").replace("Secu-\nrity", "lepidop-\nterist"), "narrow_pump_and_invoice_12.pdf")])
+    got = {(r.line_no, r.kind, r.repaired) for r in P.scan_defects(frame).collect()}
+    assert {(6, "misread", "quillwort"), (1, "hyphen", "lepidopterist"), (3, "misread", "scanned")} <= got
+    assert P.learn(frame.filter("doc_id != 'page'").select(F.col("full_text").alias("text")))[0].filter("n = 1").count() > 265_000
+
+
 EXPECTED = {
     "Dr. Branof closes at 6 p.m. The gasket failed at 10.30 a.m. and again.": ["Dr. Branof closes at 6 p.m.", "The gasket failed at 10.30 a.m. and again."],
     'The label reads: "Do not touch it!" Nobody did. "It is late. We go," said the clerk.': ['The label reads: "Do not touch it!"', "Nobody did.", '"It is late. We go," said the clerk.'],
