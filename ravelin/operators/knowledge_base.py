@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ravelin.functions.text import strip, text_hash
-from ravelin.operators.lexical import postings
+from ravelin.operators.lexical import lengths, postings
 from ravelin.operators.ranking import spread_row_number
 from ravelin.session import cut
 
@@ -63,12 +63,21 @@ def assign_ids(records: DataFrame, existing: DataFrame, order: list[str]) -> Dat
     return numbered.join(F.broadcast(top)).withColumn("global_chunk_id", F.col("top") + F.col("n")).drop("top", "n")
 
 
-def alignment(vectors: DataFrame, posts: DataFrame, records: DataFrame) -> DataFrame:
-    """One row: the three counts, and whether all are the same with unique ids."""
+def alignment(vectors: DataFrame, posts: DataFrame, records: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """One row: the three counts, and whether all are the same with unique ids.
+
+    With ``sizes`` (``global_chunk_id, dl``; 0 for a text without tokens) the lexical count is
+    that of its rows, and the postings must hold just those that have tokens.
+    """
     v = vectors.agg(F.count(F.lit(1)).alias("n_vectors"), F.countDistinct("global_chunk_id").alias("n_ids"))
     p = posts.agg(F.countDistinct("global_chunk_id").alias("n_bm25"))
     r = records.agg(F.count(F.lit(1)).alias("n_records"))
-    return v.join(p).join(r).withColumn("aligned", (F.col("n_vectors") == F.col("n_records")) & (F.col("n_bm25") == F.col("n_records")) & (F.col("n_ids") == F.col("n_records")))
+    posted = F.lit(True)
+    if sizes is not None:
+        p = p.withColumnRenamed("n_bm25", "n_posted").join(sizes.agg(F.countDistinct("global_chunk_id").alias("n_bm25"), F.count_if(F.col("dl") > 0).alias("n_worded")))
+        posted = F.col("n_posted") == F.col("n_worded")
+    counts = v.join(p).join(r).withColumn("aligned", posted & (F.col("n_vectors") == F.col("n_records")) & (F.col("n_bm25") == F.col("n_records")) & (F.col("n_ids") == F.col("n_records")))
+    return counts.drop("n_posted", "n_worded")
 
 
 def manifest_stats(manifest: DataFrame) -> DataFrame:
@@ -109,12 +118,12 @@ class KnowledgeBase:
         mine = kept.join(fresh.select("kb_id", "doc_id"), "doc_id")
         empty = self.spark.createDataFrame([], "global_chunk_id long")
         numbered = cut(assign_ids(mine, empty if records is None else records, ["kb_id", "doc_id", "chunk_id"]))
-        posts = cut(postings(numbered, "global_chunk_id", "chunk_text"))
+        posts, sizes = cut(postings(numbered, "global_chunk_id", "chunk_text")), lengths(numbered, "global_chunk_id", "chunk_text")
         staged = {
             "records": numbered.drop("dense_vector"), "vectors": numbered.select("kb_id", "global_chunk_id", "dense_vector"),
-            "postings": posts, "doc_len": posts.groupBy("global_chunk_id").agg(F.sum("tf").alias("dl")), "manifest": fresh.withColumn("indexed_at", F.current_timestamp()),
+            "postings": posts, "doc_len": sizes.withColumn("dl", F.col("dl").cast("long")), "manifest": fresh.withColumn("indexed_at", F.current_timestamp()),
         }
-        checked = alignment(numbered, posts, numbered).withColumn("n_documents", F.lit(fresh.count()))
+        checked = alignment(numbered, posts, numbered, sizes).withColumn("n_documents", F.lit(fresh.count()))
         if not checked.first().aligned and numbered.limit(1).count():
             raise ValueError("vectors, postings and records do not match; nothing was added")
         for name, table in staged.items():

@@ -88,6 +88,24 @@ def test_stream_is_idempotent(spark, tmp_path):
     assert n == 7 and spark.read.parquet(f"{base}/manifest").count() == 8
 
 
+def test_texts_without_latin_letters_are_indexed(spark, tmp_path):
+    source, base = tmp_path / "in", str(tmp_path / "kb")
+    source.mkdir()
+    folder(source)
+    (source / "zh.txt").write_text("财务部问目录在哪里。文件很长。" * 9)
+    (source / "marks.txt").write_text("— … ! ? " * 30)
+    ingest_stream(spark, file_stream(spark, str(source)), base, "kb_001", str(tmp_path / "cp")).awaitTermination()
+    store = kb.KnowledgeBase(spark, base)
+    records, sizes = store.read("records"), store.read("doc_len")
+    found = records.join(sizes, "global_chunk_id").groupBy("original_filename").agg(F.sum("dl").alias("dl")).collect()
+    assert {r.original_filename for r in found if r.dl == 0} == {"zh.txt", "marks.txt"} and len(found) >= 7
+    assert sizes.count() == records.count() == store.read("vectors").count()
+    posts = store.read("postings").groupBy("global_chunk_id").agg(F.sum("tf").alias("n"))
+    assert sizes.join(posts, "global_chunk_id", "left").filter("dl <> coalesce(n, 0)").count() == 0
+    assert kb.alignment(records, store.read("postings"), records, sizes).first().aligned
+    assert not kb.alignment(records, store.read("postings").limit(1), records, sizes).first().aligned
+
+
 def test_cache_encodes_each_text_once(spark):
     chunks = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("d", "  "), ("e", None)], "chunk_id string, embed_text string")
     cache = spark.createDataFrame([(None, None)], "embed_text_hash string, dense_vector array<float>").limit(0)
