@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -124,3 +125,26 @@ def test_many_copies_are_a_star_and_classes_hold_all(spark):
 def test_near_duplicates_of_nothing(spark):
     frame = spark.createDataFrame([], "record_kind string, id string, text string")
     assert N.near_duplicate_pairs(frame, 3, 0.5).count() == 0 and N.near_duplicate_classes(frame).count() == 0
+
+
+def test_no_link_at_the_threshold_is_lost(spark):
+    rows, expected = [], set()
+    for n in range(400):
+        words = [f"w{n}x{k}" for k in range(8)]
+        rows += [("chunk", f"a{n:03}", " ".join(words[:5])), ("chunk", f"b{n:03}", " ".join(words[:7] if n % 2 else [*words[:4], words[7]]))]
+        rows += [("chunk", f"c{n:03}", " ".join([*words[:4], "the", "end", "of", "it"]))]
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for _, i, t in rows}
+    for n in range(400):
+        group = [f"{c}{n:03}" for c in "abc"]
+        expected |= {(x, y) for x in group for y in group if x < y and 2 * len(sets[x] & sets[y]) >= len(sets[x] | sets[y])}
+    assert len(expected) == 400
+    got = N.near_duplicate_pairs(spark.createDataFrame(rows, "record_kind string, id string, text string"), 3, 0.5).collect()
+    assert {(r.id_a, r.id_b) for r in got} == expected
+
+
+def test_unfinished_classes_are_an_error(spark):
+    chain = [("chunk", f"d{n:02}", " ".join(f"w{k}" for k in range(2 * n, 2 * n + 9))) for n in range(24)]
+    frame = spark.createDataFrame(chain, "record_kind string, id string, text string")
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        N.near_duplicate_classes(frame, 3, 0.5, rounds=1)
+    assert N.near_duplicate_classes(frame, 3, 0.5).select("class_id").distinct().count() == 1
