@@ -53,7 +53,7 @@ def pack(docs: DataFrame, capacity: int, apart: Sequence[tuple[str, str]] = (),
 
     ``docs``: ``doc_id, text, source``. A document above ``capacity`` tokens is cut into full
     containers and a rest; every other stays whole. Copies of one text never share a container,
-    nor do sources in a pair of ``apart``. Items are spread evenly over shards of about
+    the rests of cut ones included, nor do sources in a pair of ``apart``. Items are spread evenly over shards of about
     ``shard_items``, so a hot source or cluster is spread too; a shard packs its own containers,
     and only its last few are less than full.
 
@@ -64,9 +64,9 @@ def pack(docs: DataFrame, capacity: int, apart: Sequence[tuple[str, str]] = (),
     counted = token_counts(docs, tokenizer).groupBy("doc_id").agg(F.max(F.struct("n_tokens", "cluster", "source")).alias("d")).select("doc_id", "d.*")
     last = F.greatest(F.lit(0), F.ceil(F.col("n_tokens") / capacity) - 1)
     items = counted.select(
-        "doc_id", "source", F.when(last == 0, F.col("cluster")).alias("cluster"), "n_tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece_no")
+        "doc_id", "source", "cluster", "n_tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece_no"), last.alias("last")
     ).select(
-        "doc_id", F.col("piece_no").cast("int").alias("piece_no"), "source", "cluster", (F.col("piece_no") * capacity).alias("token_start"),
+        "doc_id", F.col("piece_no").cast("int").alias("piece_no"), "source", F.when(F.col("piece_no") == F.col("last"), F.col("cluster")).alias("cluster"), (F.col("piece_no") * capacity).alias("token_start"),
         F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece_no") * capacity).alias("n_tokens"),
     )
     items = cut(items)

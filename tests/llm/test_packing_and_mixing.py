@@ -43,6 +43,14 @@ def test_every_document_is_packed(spark):
     assert B.pack(spark.createDataFrame([], DOC), 100).count() == 0
 
 
+def test_rests_of_copies_do_not_share_a_container(spark):
+    rows = [(n, "long " * 520, "a") for n in range(3)] + [(9, "word", "a")]
+    packed = B.pack(spark.createDataFrame(rows, DOC), 500).toPandas()
+    rests = packed[packed.piece_no == 1]
+    assert len(rests) == 3 and rests.n_tokens.max() < 100 and rests.container_id.nunique() == 3
+    assert (packed.groupby("container_id").n_tokens.sum() <= 500).all()
+
+
 def test_sources_kept_apart(spark):
     rows = [(n, "word " * 10, "a" if n % 2 else " B ") for n in range(40)]
     packed = B.pack(spark.createDataFrame(rows, DOC), 100, apart=[("a", "b")]).toPandas()
