@@ -362,11 +362,11 @@ def paragraphs(body: list[tuple[int, str]], width: int) -> list[list[int]]:
             price[k] += 6.0
     best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
     best[0] = 0.0
+    start, least = 0, 0.0  # the line that a paragraph up to k begins with at least cost, whatever its length
     for k in range(1, n + 1):
-        for j in range(max(0, k - 400), k):
-            cost = best[j] + 2.0 + (price[j] if j else 0.0) + 0.002 * (k - j)
-            if cost < best[k]:
-                best[k], back[k] = cost, j
+        best[k], back[k] = least + 2.0 + 0.002 * k, start
+        if (begun := best[k] + price[k] - 0.002 * k) < least - 1e-9:
+            start, least = k, begun
     out, k = [], n
     while k:
         out.append(list(range(back[k], k)))

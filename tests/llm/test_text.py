@@ -47,6 +47,11 @@ def test_words_run_together_are_split():
     assert decoder.read("cerarnic") == "ceramic" and decoder.joined("inspec", "tion") == "inspection" and decoder.token("2O15") == "2015" and decoder.token("13B") == "138" and decoder.token("1b") == "16"
 
 
+def test_a_paragraph_of_many_lines_stays_whole():
+    body = [(n, "and the pump was taken to the other hall by the men who") for n in range(1000)]
+    assert [len(p) for p in P.paragraphs(body, 60)] == [1000]
+
+
 def test_confusions_keep_the_strokes(spark):
     assert all(P.strokes(right) == P.strokes(seen) for right, seen in P.CONFUSIONS)
     words = ["cornmittee", "w0rking", "oﬃce|k7", "naïve-4d", "", *(w for pair in P.CONFUSIONS for w in pair)]
