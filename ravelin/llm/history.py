@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ravelin.session import cut, drop_path, scratch_path
 
 TAU = 1
 ORDER = ("batch_no", "arrival_no", "doc_id")
-INDEX_ROW = "scope string, length int, n int, segment string, s string, canon string"
+#: The most sets of a slice that may look for partners under one hash.
+MEETING = 256
+#: Table, columns (the first is the one its buckets are made by).
+TABLES = {"segments": "key long, s string, canon string", "posts": "key long, node long, n int, lead boolean", "nodes": "node long, keys array<long>"}
 
 
 def real_hash(column: Column) -> Column:
@@ -90,9 +95,19 @@ def probes(strings: DataFrame, lengths: list[int], tau: int) -> DataFrame:
     return strings.select("scope", "s", F.explode(F.coalesce(*parts)).alias("p")).select("scope", "p.length", "p.n", "p.segment", "s")
 
 
+def keyed(posts: DataFrame) -> DataFrame:
+    """Segment or probe rows ``(key, scope, s, ...)`` under the hash of their scope, length, position and segment."""
+    return posts.withColumn("key", F.xxhash64("scope", "length", "n", "segment")).drop("length", "n", "segment")
+
+
 def bounded_matches(batch: DataFrame, index: DataFrame, lengths: list[int], tau: int) -> DataFrame:
-    """Pairs ``(scope, s, t, canon)`` of a batch string and an indexed one within ``tau`` edits."""
-    found = probes(batch, lengths, tau).join(index.withColumnRenamed("s", "t"), ["scope", "length", "n", "segment"]).select("scope", "s", "t", "canon").distinct()
+    """Pairs ``(scope, s, t, canon)`` of a batch string and an indexed one within ``tau`` edits.
+
+    ``index``: ``key, s, canon`` (see ``keyed``; the key tells the scope). The probes are the side
+    that is hashed and moved; an index bucketed by ``key`` stays where it is.
+    """
+    asked = keyed(probes(batch, lengths, tau)).hint("shuffle_hash")
+    found = asked.join(index.select("key", F.col("s").alias("t"), "canon"), "key").select("scope", "s", "t", "canon").distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -102,41 +117,54 @@ def bounded_matches(batch: DataFrame, index: DataFrame, lengths: list[int], tau:
 
 
 class HistoryIndex:
-    """Everything accepted so far, as tables in ``path`` that batches are probed against and appended to.
+    """Everything accepted so far, as bucketed tables in ``path`` that batches are probed against and appended to.
 
     ``segments``: for each distinct string (a real content hash or a chunk's text hash, in its
     scope, which is the knowledge base and the kind) its ``tau + 1`` segments by length and
-    position. ``units``: each distinct set of chunk hashes of a scope. ``keys``: the earliest
-    accepted record of each content hash and each unit. A batch writes one folder per table,
-    named by the batch, so a repeated write replaces itself. A probe joins on the batch's own
-    substrings; what it shuffles of the history is the columns of the index, never its records.
+    position. ``nodes``: each distinct set of strings that a record is known by: its chunk hashes,
+    or its content hash alone. ``posts``: each node under each of its strings. All hold only what
+    accepted records brought and nothing twice. A probe moves the batch's own keys to the buckets;
+    the tables are read where they are, and only rows the batch meets go further, so that what is
+    shuffled, sorted and checked grows with the batch. Strings are keyed by 64-bit hashes.
     """
 
-    def __init__(self, spark: SparkSession, path: str, tau: int = TAU):
-        self.spark, self.path, self.tau, self.batches = spark, path, tau, []
+    def __init__(self, spark: SparkSession, path: str, tau: int = TAU, buckets: int | None = None):
+        self.spark, self.path, self.tau = spark, path, tau
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"history_{xxhash.xxh3_64_hexdigest(path)}"
+        for table, ddl in TABLES.items():
+            by = ddl.split()[0]
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name}_{table} ({ddl}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{path}/{table}'")
+        self.lengths = {r[0] for r in self._read("segments").select(F.length("s")).distinct().collect()}
+        self.filled, self.met = bool(self.lengths), None
+
+    def _read(self, table: str) -> DataFrame:
+        return self.spark.table(f"{self.name}_{table}")
 
-    def _read(self, table: str, ddl: str) -> DataFrame:
-        paths = [f"{self.path}/{table}/{b}" for b in self.batches]
-        return self.spark.read.schema(ddl).parquet(*paths) if paths else self.spark.createDataFrame([], ddl)
+    def _write(self, df: DataFrame, table: str) -> None:
+        columns = [c.split()[0] for c in TABLES[table].split(", ")]
+        df.select(*columns).repartition(self.buckets, columns[0]).write.insertInto(f"{self.name}_{table}")
 
-    def _write(self, df: DataFrame, table: str, batch: str) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{table}/{batch}")
+    def drop(self) -> None:
+        for table in TABLES:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{table}")
+        drop_path(self.spark, self.path)
 
     def _canonical(self, strings: DataFrame) -> DataFrame:
-        """Each distinct batch string with the one that stands for it: an indexed match's, else the smallest batch string within ``tau``."""
-        index = self._read("segments", INDEX_ROW)
-        known = [r[0] for r in index.select("length").distinct().collect()]
-        own = [r[0] for r in strings.select(F.length("s")).distinct().collect()]
-        old = bounded_matches(strings, index.select("scope", "length", "n", "segment", "s", "canon"), known, self.tau) if known else None
-        new = bounded_matches(strings, segments(strings, self.tau).withColumn("canon", F.col("s")), own, self.tau)
+        """Each distinct batch string with the one that stands for it: an indexed match's, else the smallest batch string within ``tau``; ``known`` if the very string is indexed."""
+        own = {r[0] for r in strings.select(F.length("s")).distinct().collect()}
+        new = bounded_matches(strings, keyed(segments(strings, self.tau)).withColumn("canon", F.col("s")), sorted(own), self.tau)
         near = new.groupBy("scope", "s").agg(F.min("canon").alias("mine"))
-        out = strings.join(near, ["scope", "s"], "left")
-        if old is None:
-            return out.select("scope", "s", F.least("s", F.coalesce("mine", "s")).alias("canon"))
-        best = old.groupBy("scope", "s").agg(F.min_by("canon", F.struct(F.col("s") != F.col("t"), F.col("canon"))).alias("theirs"))
-        return out.join(best, ["scope", "s"], "left").select("scope", "s", F.coalesce("theirs", F.least("s", F.coalesce("mine", "s"))).alias("canon"))
-
-    def take(self, batch: str, records: DataFrame, hashes: DataFrame) -> DataFrame:
+        out = strings.join(near, ["scope", "s"], "left").withColumn("mine", F.least("s", F.coalesce("mine", "s")))
+        known = self.lengths
+        self.lengths = known | own
+        if not known:
+            return out.select("scope", "s", F.col("mine").alias("canon"), F.lit(False).alias("known"))
+        old = bounded_matches(strings, self._read("segments"), sorted(known), self.tau)
+        best = old.groupBy("scope", "s").agg(F.min_by("canon", F.struct(F.col("s") != F.col("t"), F.col("canon"))).alias("theirs"), F.max(F.col("s") == F.col("t")).alias("known"))
+        return out.join(best, ["scope", "s"], "left").select("scope", "s", F.coalesce("theirs", "mine").alias("canon"), F.coalesce("known", F.lit(False)).alias("known"))
+
+    def take(self, records: DataFrame, hashes: DataFrame) -> DataFrame:
         """Accept or refuse the records of a batch; ``(doc_id, scope, accepted)``, appended to the index.
 
         ``records``: ``doc_id, scope, batch_no, arrival_no, content_hash``, one row each;
@@ -145,120 +173,160 @@ class HistoryIndex:
         the distinct hashes of whichever of the two has fewer. Hashes within ``tau`` edits are
         the same hash. Records without hashes match by content only. Nulls: a null scope is the
         scope of nulls; a record with a null doc_id is ignored, null hashes say nothing.
+
+        A batch is one slice unless a hash has more than ``MEETING`` sets that look for partners
+        under it: then the records up to there are settled and appended first, and the others,
+        of which the index now refuses nearly all, are probed again. No group is paired out.
         """
         recs = records.filter("doc_id is not null").select(
             "doc_id", F.coalesce("scope", F.lit("\0null")).alias("scope"), F.struct(*ORDER).alias("at"), real_hash(F.col("content_hash")).alias("bytes")
         )
-        recs = cut(recs)
         own = hashes.filter("hash is not null").join(recs.select("doc_id", "scope"), "doc_id").select("doc_id", "scope", F.lower("hash").alias("hash")).distinct()
         posted = cut(
             recs.filter("bytes is not null").select("doc_id", F.concat(F.lit("b/"), "scope").alias("scope"), F.col("bytes").alias("s"))
             .unionByName(own.select("doc_id", F.concat(F.lit("c/"), "scope").alias("scope"), F.col("hash").alias("s")))
         )
-        strings = cut(posted.select("scope", "s").distinct())
-        canon = cut(self._canonical(strings))
-        tokens = cut(posted.join(canon, ["scope", "s"]).select("doc_id", "scope", "canon").distinct())
-        by_bytes = tokens.filter("scope like 'b/%'").select("doc_id", F.concat_ws("|", "scope", "canon").alias("bkey"))
-        sets = tokens.filter("scope like 'c/%'").groupBy("doc_id", "scope").agg(F.array_sort(F.collect_set("canon")).alias("set"))
-        sets = sets.withColumn("unit", F.sha2(F.concat_ws("|", "scope", F.concat_ws(",", "set")), 256))
-        units = cut(sets.groupBy("scope", "unit").agg(F.first("set").alias("set")))
-        docs = cut(
-            recs.join(by_bytes, "doc_id", "left").join(sets.select("doc_id", "unit"), "doc_id", "left")
-            .select("doc_id", "scope", "at", "bkey", "unit")
-        )
-        links = cut(self._links(units))
-        status = self._resolve(docs, links)
-        self._append(batch, canon, units, status)
-        return status.select("doc_id", "scope", "accepted")
+        canon = cut(self._canonical(posted.select("scope", "s").distinct()))
+        sets = posted.join(canon, ["scope", "s"]).groupBy("doc_id", "scope").agg(F.array_sort(F.collect_set(F.xxhash64("scope", "canon"))).alias("keys"))
+        owns = cut(sets.join(recs.select("doc_id", "at"), "doc_id").select("doc_id", "at", F.xxhash64("scope", "keys").alias("node"), "keys"))
+        done = [recs.join(owns, "doc_id", "left_anti").select("doc_id", F.lit(True).alias("accepted"))]
+        left = owns
+        while True:
+            nodes = left.groupBy("node").agg(F.first("keys").alias("keys"))
+            posts = self._posts(nodes)
+            if self.met is not None:
+                refused = left.join(self._met(nodes, posts), "node", "left_semi").select("doc_id").distinct()
+                left = cut(left.join(refused, "doc_id", "left_anti"))
+            until = self._until(posts, left)
+            part = left if until is None else cut(left.filter(F.col("at") < F.lit(until)))
+            accepted = cut(self._resolve(part, cut(self._links(part, posts))).select("doc_id"))
+            self._append(canon, posted, posts, part, accepted)
+            done.append(accepted.withColumn("accepted", F.lit(True)))
+            if until is None:
+                break
+            left = cut(left.join(part.select("doc_id").distinct(), "doc_id", "left_anti"))
+        verdict = done[0]
+        for more in done[1:]:
+            verdict = verdict.unionByName(more)
+        return recs.select("doc_id", "scope").join(verdict, "doc_id", "left").select("doc_id", "scope", F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
-    def _links(self, units: DataFrame) -> DataFrame:
-        """Linked units ``(unit, other)`` in both directions, where at least one is of the batch.
+    def _posts(self, nodes: DataFrame) -> DataFrame:
+        """``(key, node, n, lead, df, b, nb, lb)``: batch nodes under their strings, with the indexed node met there, if any.
 
-        Every unit posts all its hashes; of the smaller unit of a pair, any ``floor(n / 2) + 1``
-        of its hashes must meet one of the larger, so only that many, its rarest, are joined.
+        Of the smaller node of a linked pair any ``floor(n / 2) + 1`` strings must meet one of the
+        larger; the rarest of them, counted over index and batch, are its ``lead``.
         """
-        old = self._read("units", "scope string, unit string, `set` array<string>").join(units.select("unit"), "unit", "left_anti").select("scope", "unit", "set")
-        every = units.select("*", F.lit(True).alias("new")).unionByName(old.select("*", F.lit(False).alias("new")))
-        posts = every.select("scope", "unit", "new", F.size("set").alias("n"), F.explode("set").alias("hash"))
-        common = posts.groupBy("scope", "hash").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-        posts = posts.join(common, ["scope", "hash"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
-        rarest = F.row_number().over(W.partitionBy("unit").orderBy("df", "hash"))
-        posts = cut(posts.withColumn("r", rarest).filter("df > 1").select("scope", "hash", "unit", "new", "n", "r"))
-        probe = posts.filter(F.col("r") <= F.floor(F.col("n") / 2) + 1).select("scope", "hash", F.col("unit").alias("a"), F.col("new").alias("na"), F.col("n").alias("sa"))
-        larger = posts.select("scope", "hash", F.col("unit").alias("b"), F.col("new").alias("nb"), F.col("n").alias("sb"))
-        pairs = probe.join(larger, ["scope", "hash"]).filter("a != b and sa <= sb and (na or nb)").select("a", "b").distinct()
-        sized = every.select("unit", "set")
-        checked = (
-            pairs.join(sized.select(F.col("unit").alias("a"), F.col("set").alias("x")), "a").join(sized.select(F.col("unit").alias("b"), F.col("set").alias("y")), "b")
-            .filter(2 * F.size(F.array_intersect("x", "y")) >= F.least(F.size("x"), F.size("y"))).select("a", "b")
-        )
-        return checked.select(F.col("a").alias("unit"), F.col("b").alias("other")).unionByName(checked.select(F.col("b").alias("unit"), F.col("a").alias("other"))).distinct()
-
-    def _resolve(self, docs: DataFrame, links: DataFrame) -> DataFrame:
-        """Greedy acceptance in order, in rounds over the records still open.
-
-        Only the earliest accepted record of a content hash or unit can matter to later ones, so
-        a round moves one row per key, never the pairs of a group of copies. A record with an
-        earlier accepted rival is refused; one without an earlier open rival is accepted.
+        posts = nodes.select("node", F.size("keys").alias("n"), F.explode("keys").alias("key"))
+        held = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).withColumn("all", F.col("df"))
+        self.met = None
+        if self.filled:
+            met = self._read("posts").join(held.select("key").hint("shuffle_hash"), "key").select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("lead").alias("lb"))
+            self.met = cut(met)
+            held = held.join(self.met.groupBy("key").agg(F.count(F.lit(1)).alias("old")), "key", "left").select("key", "df", (F.col("df") + F.coalesce("old", F.lit(0))).alias("all"))
+        rarest = F.row_number().over(W.partitionBy("node").orderBy("all", "key"))
+        return cut(posts.join(held, "key").withColumn("lead", rarest <= F.floor(F.col("n") / 2) + 1).select("key", "node", "n", "lead", "df"))
+
+    def _linked(self, pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+        """Of candidate pairs ``(a, b)`` those that share at least half of the strings of the smaller."""
+        sized = pairs.hint("shuffle_hash").join(right.select(F.col("node").alias("b"), F.col("keys").alias("y")), "b")
+        both = sized.join(left.select(F.col("node").alias("a"), F.col("keys").alias("x")), "a")
+        return both.filter(2 * F.size(F.array_intersect("x", "y")) >= F.least(F.size("x"), F.size("y"))).select("a", "b")
+
+    def _met(self, nodes: DataFrame, posts: DataFrame) -> DataFrame:
+        """Batch nodes linked to an indexed one: the lead of the smaller meets the other under a string."""
+        mine = posts.select("key", F.col("node").alias("a"), "n", "lead")
+        first = mine.filter("lead").join(self.met, "key").filter("n <= nb")
+        second = mine.join(self.met.filter("lb"), "key").filter("nb <= n")
+        pairs = first.select("a", "b").unionByName(second.select("a", "b")).distinct()
+        return self._linked(pairs, nodes, self._read("nodes")).select(F.col("a").alias("node")).distinct()
+
+    def _until(self, posts: DataFrame, left: DataFrame):
+        """The place from which on records wait, because too many before it meet under one string; None if none do."""
+        leads = posts.filter("lead and df > 1")
+        hot = leads.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > MEETING)
+        if not hot.limit(1).count():
+            return None
+        placed = leads.join(hot.select("key"), "key", "left_semi").join(left.groupBy("node").agg(F.min("at").alias("at")), "node")
+        ranked = placed.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("at"))).filter(F.col("r") <= MEETING + 1)
+        return ranked.filter(F.col("r") == MEETING + 1).agg(F.min("at").alias("at")).first().at
+
+    def _links(self, part: DataFrame, posts: DataFrame) -> DataFrame:
+        """Linked nodes of a slice, ``(node, other)`` in both directions."""
+        nodes = part.groupBy("node").agg(F.first("keys").alias("keys"))
+        here = posts.filter("df > 1").join(nodes.select("node"), "node", "left_semi")
+        small = here.filter("lead").select("key", F.col("node").alias("a"), F.col("n").alias("na"))
+        pairs = small.join(here.select("key", F.col("node").alias("b"), F.col("n").alias("nb")), "key").filter("a != b and na <= nb").select("a", "b").distinct()
+        found = self._linked(pairs, nodes, nodes)
+        return found.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(found.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct()
+
+    def _resolve(self, owns: DataFrame, links: DataFrame) -> DataFrame:
+        """Greedy acceptance in order, ``(doc_id)``, in rounds over the records still open.
+
+        Only the earliest accepted record of a node can matter to later ones, so a round moves one
+        row per node, never the pairs of a group of copies. A record with an earlier accepted rival
+        is refused; one without an earlier open rival is accepted.
         """
-        posts = docs.select("doc_id", "at", F.explode(F.array_compact(F.array("bkey", "unit"))).alias("key"))
-        watch = posts.unionByName(docs.filter("unit is not null").join(links, "unit").select("doc_id", "at", F.col("other").alias("key")))
-        posts, watch = cut(posts), cut(watch)
-        taken = self._read("keys", "key string, at struct<batch_no:int,arrival_no:bigint,doc_id:string>")
-        taken = taken.join(watch.select("key").distinct(), "key", "left_semi")
-        free = docs.join(watch.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(True).alias("accepted"))
-        open_, done = watch, [free]
-        accepted = taken.groupBy("key").agg(F.min("at").alias("first"))
+        shared = owns.groupBy("node").agg(F.count(F.lit(1)).alias("owners")).filter("owners > 1").select("node")
+        busy = owns.join(shared.unionByName(links.select("node")).distinct(), "node", "left_semi").select("doc_id").distinct()
+        posts = cut(owns.join(busy, "doc_id", "left_semi").select("doc_id", "at", "node"))
+        open_ = cut(posts.unionByName(posts.join(links, "node").select("doc_id", "at", F.col("other").alias("node"))))
+        done = owns.select("doc_id").distinct().join(busy, "doc_id", "left_anti")
+        accepted = self.spark.createDataFrame([], "node long, first struct<batch_no:int,arrival_no:bigint,doc_id:string>")
         while True:
-            waiting = open_.join(posts.select("doc_id", "key", "at").join(open_.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("key").agg(F.min("at").alias("ahead")), "key", "left")
-            state = waiting.join(accepted, "key", "left").groupBy("doc_id").agg(
+            ahead = posts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("node").agg(F.min("at").alias("ahead"))
+            state = open_.join(ahead, "node", "left").join(accepted, "node", "left").groupBy("doc_id").agg(
                 F.max(F.coalesce(F.col("first") < F.col("at"), F.lit(False))).alias("refused"),
                 F.max(F.coalesce(F.col("ahead") < F.col("at"), F.lit(False))).alias("blocked"),
             )
             state = cut(state.select("doc_id", F.when(F.col("refused"), False).when(~F.col("blocked"), True).alias("accepted")))
-            decided = state.filter("accepted is not null")
-            done.append(decided)
+            taken = state.filter("accepted").select("doc_id")
+            done = done.unionByName(taken)
+            if not state.filter("accepted is null").limit(1).count():
+                return done
             open_ = cut(open_.join(state.filter("accepted is null").select("doc_id"), "doc_id", "left_semi"))
-            if not open_.limit(1).count():
-                break
-            now = posts.join(decided.filter("accepted").select("doc_id"), "doc_id", "left_semi").select("key", F.col("at").alias("first"))
-            accepted = cut(accepted.unionByName(now).groupBy("key").agg(F.min("first").alias("first")))
-        verdict = done[0]
-        for more in done[1:]:
-            verdict = verdict.unionByName(more)
-        return cut(docs.join(verdict, "doc_id"))
-
-    def _append(self, batch: str, canon: DataFrame, units: DataFrame, status: DataFrame) -> None:
-        """Add what the accepted records bring: new segments, new units, earliest records of keys."""
-        kept = status.filter("accepted")
-        posts = kept.select("at", F.explode(F.array_compact(F.array("bkey", "unit"))).alias("key"))
-        self._write(segments(canon, self.tau).join(canon, ["scope", "s"]).select(*[c.split()[0] for c in INDEX_ROW.split(", ")]), "segments", batch)
-        self._write(units.join(kept.select("unit"), "unit", "left_semi").select("scope", "unit", "set"), "units", batch)
-        self._write(posts.groupBy("key").agg(F.min("at").alias("at")), "keys", batch)
-        self.batches.append(batch)
+            now = posts.join(taken, "doc_id", "left_semi").select("node", F.col("at").alias("first"))
+            accepted = cut(accepted.unionByName(now).groupBy("node").agg(F.min("first").alias("first")))
+
+    def _append(self, canon: DataFrame, posted: DataFrame, posts: DataFrame, part: DataFrame, accepted: DataFrame) -> None:
+        """Add what the accepted records bring: their nodes, the postings of these, the segments of new strings."""
+        nodes = part.join(accepted, "doc_id", "left_semi").groupBy("node").agg(F.first("keys").alias("keys"))
+        strings = posted.join(accepted, "doc_id", "left_semi").select("scope", "s").distinct()
+        fresh = canon.filter("not known").join(strings, ["scope", "s"], "left_semi")
+        rows = keyed(segments(fresh.select("scope", "s"), self.tau)).join(fresh.select("scope", "s", "canon"), ["scope", "s"])
+        tables = {"nodes": nodes, "posts": posts.join(nodes.select("node"), "node", "left_semi"), "segments": rows}
+        with ThreadPoolExecutor(len(tables)) as writers:  # three small jobs side by side
+            for written in [writers.submit(self._write, rows, table) for table, rows in tables.items()]:
+                written.result()
+        self.filled = True
 
 
 def refuse_repetitions(documents: DataFrame, chunks: DataFrame, tau: int = TAU) -> DataFrame:
-    """Records that are not accepted, ``(doc_id)``: batch 0 makes the history, the later ones are probed.
+    """Records that are not accepted, ``(doc_id)``: batch 0 makes the history, each later batch is probed and appended in turn.
 
     ``documents``: ``doc_id, kb_id, batch_no, arrival_no, content_hash``; ``chunks``: ``doc_id,
     embed_text``. A chunk's hash is the SHA-256 of its embed_text, so hashes that are null,
     misspelled or missing (chunks never embedded) are right as well. Repeated rows of a doc_id
-    are one record, at its earliest place. Rows with a null doc_id, batch_no or arrival_no sort
-    first or are ignored (null doc_id). Empty tables give an empty result.
+    are one record, at its earliest place. A null batch_no is batch 0, a null arrival_no sorts
+    first, rows with a null doc_id are ignored. Empty tables give an empty result.
     """
     spark = documents.sparkSession
     records = (
-        documents.select("doc_id", "kb_id", "batch_no", "arrival_no", "content_hash").groupBy("doc_id")
+        documents.select("doc_id", "kb_id", F.coalesce(F.col("batch_no").cast("int"), F.lit(0)).alias("batch_no"), "arrival_no", "content_hash").filter("doc_id is not null").groupBy("doc_id")
         .agg(F.min(F.struct("batch_no", "arrival_no", "kb_id")).alias("r"), F.max(real_hash(F.col("content_hash"))).alias("content_hash"))
-        .select("doc_id", F.col("r.kb_id").alias("scope"), F.col("r.batch_no").cast("int").alias("batch_no"), F.col("r.arrival_no").cast("long").alias("arrival_no"), "content_hash")
+        .select("doc_id", F.col("r.kb_id").alias("scope"), "r.batch_no", F.col("r.arrival_no").cast("long").alias("arrival_no"), "content_hash")
     )
-    records = cut(records)
-    hashes = cut(chunks.select("doc_id", F.sha2("embed_text", 256).alias("hash")).filter("hash is not null").distinct())
+    hashes = chunks.select("doc_id", F.sha2("embed_text", 256).alias("hash")).filter("hash is not null").distinct()
     path = scratch_path(spark, "history")
-    index = HistoryIndex(spark, path, tau)
-    first = index.take("history", records.filter("coalesce(batch_no, 0) = 0"), hashes)
-    later = index.take("arrivals", records.filter("coalesce(batch_no, 0) <> 0"), hashes)
-    refused = cut(first.unionByName(later).filter("not accepted").select("doc_id"))
+    staged = {"records": records, "hashes": hashes.join(records.select("doc_id", "batch_no"), "doc_id")}
+    for name, rows in staged.items():  # each batch by itself, as it would arrive
+        rows.withColumn("batch", F.col("batch_no")).repartition("batch", F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.partitionBy("batch").parquet(f"{path}/{name}")
+    records, hashes = (spark.read.schema(rows.schema.add("batch", "integer")).parquet(f"{path}/{name}") for name, rows in staged.items())
+    index = HistoryIndex(spark, f"{path}/index", tau)
+    refused = spark.createDataFrame([], "doc_id string")
+    for (batch,) in records.select("batch").distinct().orderBy("batch").collect():  # a row per batch
+        here = F.col("batch") == batch
+        refused = refused.unionByName(index.take(records.filter(here), hashes.filter(here)).filter("not accepted").select("doc_id"))
+    refused = cut(refused)
+    index.drop()
     drop_path(spark, path)
     return refused

@@ -35,7 +35,7 @@ def test_segment_index_loses_no_match(spark):
     words = ["".join(rng.choice("abc") for _ in range(rng.randint(5, 9))) for _ in range(90)]
     frame = spark.createDataFrame([("s", w) for w in sorted(set(words))], "scope string, s string")
     for tau in (0, 1, 2):
-        index = H.segments(frame, tau).withColumn("canon", F.col("s"))
+        index = H.keyed(H.segments(frame, tau)).withColumn("canon", F.col("s"))
         got = {(r.s, r.t) for r in H.bounded_matches(frame, index, [5, 6, 7, 8, 9], tau).collect()}
         assert got == {(a, b) for a in set(words) for b in set(words) if distance(a, b) <= tau}
 
@@ -79,6 +79,40 @@ def test_a_hash_with_one_wrong_digit_is_the_same(spark):
     assert got == {"b", "c"}
 
 
+def test_a_batch_costs_the_same_whatever_the_history(spark):
+    def moved():
+        return sum(e.totalShuffleWrite() for e in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+
+    def records(first, n, batch):
+        rows = [(f"r{k}", "k", batch, k, sha(f"bytes {k}")) for k in range(first, first + n)]
+        texts = [(f"r{k}", sha(f"text {k} {c}")) for k in range(first, first + n) for c in range(4)]
+        return spark.createDataFrame(rows, "doc_id string, scope string, batch_no int, arrival_no bigint, content_hash string"), spark.createDataFrame(texts, "doc_id string, hash string")
+
+    costs = []
+    for size in (600, 1200):
+        index = H.HistoryIndex(spark, H.scratch_path(spark, "history"))
+        assert index.take(*records(0, size, 0)).filter("accepted").count() == size
+        docs, texts = records(100_000, 40, 1)
+        docs = docs.unionByName(spark.createDataFrame([("again", "k", 1, 999_999, sha("bytes 7").upper())], docs.schema))
+        before = moved()
+        got = index.take(docs, texts)
+        assert {r.doc_id for r in got.filter("not accepted").collect()} == {"again"}
+        costs.append(moved() - before)
+        index.drop()
+    assert costs[1] <= 1.1 * costs[0]
+
+
+def test_a_hot_group_is_settled_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(H, "MEETING", 8)
+    docs, chunks, rng = [], [], random.Random(9)
+    for n in range(150):
+        docs.append((f"d{n:03}", "k", n // 60, n, None))
+        common = ["a", "b", "c"] if rng.random() < 0.6 else ["a"]
+        chunks += [(f"d{n:03}", t) for t in [*common, *(f"own {n} {k}" for k in range(rng.randint(1, 4)))]]
+    got = {r.doc_id for r in H.refuse_repetitions(spark.createDataFrame(docs, DOC), spark.createDataFrame(chunks, "doc_id string, embed_text string")).collect()}
+    assert got == reference(docs, chunks) and len(got) > 60
+
+
 def test_history_of_nothing(spark):
     assert H.refuse_repetitions(spark.createDataFrame([], DOC), spark.createDataFrame([], "doc_id string, embed_text string")).count() == 0
 
