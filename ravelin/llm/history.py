@@ -198,7 +198,7 @@ class HistoryIndex:
                 refused = left.join(self._met(nodes, posts), "node", "left_semi").select("doc_id").distinct()
                 left = cut(left.join(refused, "doc_id", "left_anti"))
             until = self._until(posts, left)
-            part = left if until is None else cut(left.filter(F.col("at") < F.lit(until)))
+            part = left if until is None else cut(left.filter(F.col("at") < until))
             accepted = cut(self._resolve(part, cut(self._links(part, posts))).select("doc_id"))
             self._append(canon, posted, posts, part, accepted)
             done.append(accepted.withColumn("accepted", F.lit(True)))
@@ -240,7 +240,7 @@ class HistoryIndex:
         pairs = first.select("a", "b").unionByName(second.select("a", "b")).distinct()
         return self._linked(pairs, nodes, self._read("nodes")).select(F.col("a").alias("node")).distinct()
 
-    def _until(self, posts: DataFrame, left: DataFrame):
+    def _until(self, posts: DataFrame, left: DataFrame) -> Column | None:
         """The place from which on records wait, because too many before it meet under one string; None if none do."""
         leads = posts.filter("lead and df > 1")
         hot = leads.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > MEETING)
@@ -248,7 +248,8 @@ class HistoryIndex:
             return None
         placed = leads.join(hot.select("key"), "key", "left_semi").join(left.groupBy("node").agg(F.min("at").alias("at")), "node")
         ranked = placed.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("at"))).filter(F.col("r") <= MEETING + 1)
-        return ranked.filter(F.col("r") == MEETING + 1).agg(F.min("at").alias("at")).first().at
+        at = ranked.filter(F.col("r") == MEETING + 1).agg(F.min("at").alias("at")).first().at
+        return at and F.struct(*[F.lit(value).cast(kind) for value, kind in zip(at, ("int", "long", "string"))])
 
     def _links(self, part: DataFrame, posts: DataFrame) -> DataFrame:
         """Linked nodes of a slice, ``(node, other)`` in both directions."""
