@@ -1,4 +1,4 @@
-"""Near-duplicate records by an inverted join on the rarest common word runs."""
+"""Near-duplicate records by an inverted join on the rarest common word runs, with counted collisions."""
 
 from __future__ import annotations
 
@@ -20,6 +20,13 @@ PAGE = 1 << 13
 #: Common shingles for which a pair has to be met once more.
 MEETING = 16
 EXPANDED = 64
+#: Texts of a list that are merged in one place; a longer list is spread over blocks of so many.
+LIST = 4096
+#: A posting as it travels: key, text, size on a scale of ``STEPS`` a power of e times 4 plus flags, share of the shingles from its place on.
+POSTING = np.dtype([("key", "<u4"), ("doc", "<i8"), ("size", "<u2"), ("rest", "u1")])
+STEPS = 750
+BUCKET_BYTES = 16 << 20
+CHUNK = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,54 +115,139 @@ def shingle_counts(texts: DataFrame) -> np.ndarray:
     return counts.ravel()
 
 
+def _log_size(n: np.ndarray | int) -> np.ndarray:
+    """Sizes on a scale of steps of about a thousandth, rounded down."""
+    return np.floor(np.log(n) * STEPS).astype(np.uint16)
+
+
+def _size(logs: np.ndarray) -> np.ndarray:
+    """The least size that has the place ``logs`` on the scale."""
+    return np.ceil(np.exp(logs / STEPS) - 1e-9)
+
+
+def spread(keys: np.ndarray, doc: int, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(key, position in keys, flags)`` of a text's postings, those of long lists spread over blocks.
+
+    A list that needs ``lists`` parts has a block for every two parts and for every part alone, each
+    with a key of its own; a text of part s is posted in the blocks that s belongs to. Flags: 1 for a
+    block of two parts, 2 for the second of them.
+    """
+    at = np.arange(len(keys))
+    plain = lists <= 1
+    out = [(keys[plain], at[plain], np.zeros(plain.sum(), np.uint16))]
+    for k in np.flatnonzero(~plain):
+        parts = int(lists[k])
+        mine, other = doc % parts, np.arange(parts)
+        low, high = np.minimum(mine, other).astype(np.uint64), np.maximum(mine, other).astype(np.uint64)
+        mixed = ((keys[k].astype(np.uint64) << np.uint64(32) | low << np.uint64(16)) + high + np.uint64(1)) * _MIX
+        out.append(((mixed >> np.uint64(32)).astype(np.uint32), np.full(parts, k), ((low != high) + 2 * ((low != high) & (high == mine))).astype(np.uint16)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def _postings(texts: DataFrame, threshold: float) -> DataFrame:
-    """``(key, doc, at)``: each text under the shingles of its prefix, with its size times 2^32 plus the shingle's place; a task posts a text once, however many copies it meets."""
-    counts = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts))
+    """``(bucket, packed)``: the postings of all texts under the shingles of their prefixes, packed by buckets of keys.
+
+    A task posts a text once, however many copies it meets. A list longer than ``LIST`` is spread
+    over blocks (see ``spread``), its length being that of its counter above the mean.
+    """
+    table = shingle_counts(texts)
+    counts = texts.sparkSession.sparkContext.broadcast(table)
+    total, mean = int(table.sum()), int(table.mean())
+    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * POSTING.itemsize // BUCKET_BYTES))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                docs, keys, places = [], [], []
-                for doc, raw, kind in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    if raw and doc not in seen:
-                        seen.add(doc)
-                        shingles = np.frombuffer(raw, np.uint32)
-                        posted, place = prefix(shingles, counts.value, threshold)
-                        keys.append(posted.astype(np.int64) | np.int64(xxhash.xxh3_64_intdigest(kind or "") >> 33 << 32))
-                        docs.append(np.full(len(posted), doc, np.int64))
-                        places.append(place.astype(np.int64) | np.int64(len(shingles) << 32))
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                if docs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, docs, places)], names=["key", "doc", "at"])
-
-    return texts.select("doc", "shingles", "record_kind").mapInArrow(rows, "key long, doc long, at long")
+            packed = []
+            for doc, raw, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if not raw or doc in seen:
+                    continue
+                seen.add(doc)
+                shingles = np.frombuffer(raw, np.uint32)
+                n = len(shingles)
+                posted, place = prefix(shingles, counts.value, threshold)
+                long = 1 + np.maximum(0, counts.value[posted % COUNTERS].astype(np.int64) - mean) // LIST
+                keys, at, flags = spread(posted ^ np.uint32(xxhash.xxh32_intdigest(kind or "")), doc, np.minimum(long, 1 << 16))
+                own = np.empty(len(keys), POSTING)
+                own["key"], own["doc"], own["size"] = keys, doc, _log_size(n) << 2 | flags
+                own["rest"] = np.ceil((n - place[at]) * (255 / n))
+                packed.append(own)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            if packed:
+                every = np.concatenate(packed)
+                bucket = ((every["key"] * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)
+                order = np.argsort(bucket, kind="stable")
+                every, bucket = every[order], bucket[order]
+                starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                parts = np.split(every, starts[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), _binary([x.tobytes() for x in parts])], names=["bucket", "packed"])
+
+    posts = texts.select("doc", "shingles", "record_kind").mapInArrow(rows, "bucket int, packed binary")
+    return posts.repartitionById(buckets, F.col("bucket"))
+
+
+def meetings(posts: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(a, b, met, needed)``: pairs of texts that meet in the lists of a bucket, how often, and how often they must in all.
+
+    A list is ordered by size, so that each text is merged with those of a size alike and skips
+    the others; meetings under a shingle with too few behind it are left out.
+    """
+    posts = np.unique(posts)  # copies were posted by several tasks
+    size = (posts["size"] >> 2).astype(np.int64)
+    order = np.lexsort((size, posts["key"]))
+    posts, size = posts[order], size[order]
+    docs, flags = posts["doc"], posts["size"] & 3
+    place = posts["key"].astype(np.int64) << 16 | size
+    reach = np.searchsorted(place, place + int(np.ceil(-np.log(threshold) * STEPS)) + 1, "right")
+    reach = np.minimum(reach, np.searchsorted(posts["key"], posts["key"], "right"))
+    many = reach - np.arange(len(posts)) - 1
+    least_size, rest = _size(size), posts["rest"]
+    names, code = np.unique(docs, return_inverse=True)
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(posts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        left = np.repeat(np.arange(at, stop), many[at:stop])
+        right = left + 1 + np.arange(len(left)) - np.repeat(ends[at:stop] - many[at:stop] - (ends[at - 1] if at else 0), many[at:stop])
+        at = stop
+        least = np.ceil((least_size[left] + least_size[right]) * (threshold / (1 + threshold)) - 1e-6)
+        times = np.floor(least / MEETING) + 1
+        over = np.minimum(rest[left] * _above(size[left]), rest[right] * _above(size[right])) / 255
+        apart = (flags[left] & 1 == 0) | (flags[left] != flags[right])
+        good = (code[left] != code[right]) & apart & (over > least - times - 1e-6)
+        left, right, times = left[good], right[good], times[good]
+        low, high = np.minimum(code[left], code[right]), np.maximum(code[left], code[right])
+        pair, first, met = np.unique(low * np.int64(len(names)) + high, return_index=True, return_counts=True)
+        yield names[pair // len(names)], names[pair % len(names)], met.astype(np.int32), times[first].astype(np.int32)
+
+
+def _above(logs: np.ndarray) -> np.ndarray:
+    """A size not below any that has the place ``logs`` on the scale."""
+    return np.exp((logs + 1) / STEPS)
 
 
 def similar_texts(texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``(a, b, similarity)`` of different texts (``record_kind, doc, shingles``) of one kind at or above ``threshold``.
 
-    No pair is lost. Similar texts share ``least`` shingles, the first ``1 + least // MEETING`` of
-    them in their prefixes (see ``prefix``), under which both are posted. The join skips meetings
-    of texts whose sizes are too unlike, or under a shingle that has too few after it to be one of
-    these; the meetings of a pair are counted, and a pair with enough of them is a candidate. The
-    exact share of common shingles decides. The join is a plain equi-join on the shingle, so a
-    list that many texts share is split by adaptive execution.
+    The coordinates of a text are its word runs, ordered by how rare they are in all texts. No pair
+    is lost: similar texts share ``least`` runs, the first ``1 + least // MEETING`` of them in their
+    prefixes (see ``prefix``), under which both are posted. The lists are merged bucket by bucket
+    (see ``meetings``), the collisions of a pair are counted, and a pair with enough of them is a
+    candidate; its exact share of common runs decides. Long lists are split into even blocks.
     """
-    posts = _postings(texts, threshold).repartition("key").dropDuplicates(["key", "doc"])
-    size_place = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(2**32 - 1).cast("int")
-    left = posts.select("key", F.col("doc").alias("a"), *(x.alias(n) for x, n in zip(size_place, ("na", "pa"))))
-    right = posts.select("key", F.col("doc").alias("b"), *(x.alias(n) for x, n in zip(size_place, ("nb", "pb"))))
-    least = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
-    times = F.floor(least / MEETING) + 1
-    left_over = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    alike = (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (left_over > least - times)
-    met = left.join(right, "key").filter((F.col("a") < F.col("b")) & alike).select("a", "b", (F.lit(1.0) / times).alias("part"))
-    pairs = cut(met.groupBy("a", "b").agg(F.sum("part").alias("parts")).filter("parts > 1 - 1e-6").select("a", "b"))
-    sets = texts.filter(F.length("shingles") > 0).groupBy("doc").agg(F.first("shingles").alias("shingles"))
-    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
+    posts = _postings(texts, threshold)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = b"".join(x for batch in batches for x in batch.column(1).to_pylist())
+        for columns in meetings(np.frombuffer(packed, POSTING), threshold) if packed else ():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "met", "needed"])
+
+    met = posts.mapInArrow(merged, "a long, b long, met int, needed int")
+    pairs = cut(met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("needed").alias("needed")).filter("met >= needed").select("a", "b"))
+    sets = texts.filter(F.length("shingles") > 0).groupBy("doc").agg(F.first("shingles").alias("shingles"), F.first("record_kind").alias("kind"))
+    left, right = (sets.select(F.col("doc").alias(d), F.col("shingles").alias(x), F.col("kind").alias(k)) for d, x, k in (("a", "x", "kx"), ("b", "y", "ky")))
+    both = pairs.join(left, "a").join(right, "b").filter(F.col("kx").eqNullSafe(F.col("ky")))
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
