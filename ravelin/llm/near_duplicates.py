@@ -101,12 +101,13 @@ def shingle_counts(texts: DataFrame) -> np.ndarray:
                     np.add.at(counts, np.frombuffer(raw, np.uint32) % COUNTERS, 1)
         if counts.any():
             parts = counts.reshape(-1, PAGE)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), _binary([x.tobytes() for x in parts])], names=["page", "counts"])
+            narrow = [x.astype(np.uint8 if x.max() < 1 << 8 else np.uint16 if x.max() < 1 << 16 else np.uint32) for x in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), _binary([x.tobytes() for x in narrow])], names=["page", "counts"])
 
     def total(rows: pd.DataFrame) -> pd.DataFrame:
         added = np.zeros(PAGE, np.uint64)
         for raw in rows.counts:
-            added += np.frombuffer(raw, np.uint32)
+            added += np.frombuffer(raw, f"<u{len(raw) // PAGE}")
         return pd.DataFrame({"page": rows.page.iloc[:1], "counts": [np.minimum(added, 2**32 - 1).astype(np.uint32).tobytes()]})
 
     counts = np.zeros((COUNTERS // PAGE, PAGE), np.uint32)
@@ -243,7 +244,7 @@ def similar_texts(texts: DataFrame, threshold: float) -> DataFrame:
         for columns in meetings(np.frombuffer(packed, POSTING), threshold) if packed else ():
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "met", "needed"])
 
-    met = posts.mapInArrow(merged, "a long, b long, met int, needed int")
+    met = posts.mapInArrow(merged, "a long, b long, met int, needed int").repartition("a")  # meetings of one text travel side by side
     pairs = cut(met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("needed").alias("needed")).filter("met >= needed").select("a", "b"))
     sets = texts.filter(F.length("shingles") > 0).groupBy("doc").agg(F.first("shingles").alias("shingles"), F.first("record_kind").alias("kind"))
     left, right = (sets.select(F.col("doc").alias(d), F.col("shingles").alias(x), F.col("kind").alias(k)) for d, x, k in (("a", "x", "kx"), ("b", "y", "ky")))
