@@ -36,6 +36,21 @@ def test_recall_against_brute_force(spark):
     assert np.allclose(got.similarity, sims[got.vid, got.nid], atol=1e-3) and (got.groupby("vid").size() == 5).all()
 
 
+def test_results_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 256)
+    monkeypatch.setattr(V, "FULLEST", 300)
+    rng = np.random.default_rng(5)
+    vectors = np.concatenate([rng.standard_normal((1500, 8)), np.ones((700, 8)) + 1e-6 * rng.standard_normal((700, 8))]).astype(np.float32)
+    frame = rows(spark, vectors)
+    got = [V.forest_neighbours(frame.repartition(n), 5, trees=6, leaf=64).toPandas().sort_values(["vid", "nid"], ignore_index=True) for n in (1, 7)]
+    assert got[0].equals(got[1]) and (got[0].groupby("vid").size() == 5).all()
+    assert got[0].query("vid >= 1500").similarity.min() > 0.999
+
+
+def test_trees_grow_with_the_rows():
+    assert V.trees_for(1000) == 12 and V.trees_for(150_000) == 14 and 55 < V.trees_for(1_500_000) < 62
+
+
 def test_few_rows_copies_and_none(spark):
     few = V.forest_neighbours(rows(spark, np.eye(3, dtype=np.float32)), 5).collect()
     assert sorted((r.vid, r.nid) for r in few) == [(a, b) for a in range(3) for b in range(3) if a != b]
