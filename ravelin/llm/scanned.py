@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ravelin.session import cut
 
-SLOTS = 1 << 23
-HASHES = 4
 TRIGRAMS = 1 << 16
 WIDEST = 110
 FINDING = "doc_id string, line_no int, kind string, repaired string"
+#: Mean and deviation of the logarithm of a paragraph's characters where no text tells.
+USUAL = (5.8, 0.8)
 PARAGRAPH = "doc_id string, paragraph_no int, text string"
 
 #: What is printed, and what scanners read for it.
@@ -47,13 +47,14 @@ STROKE_SETS = {"i": "ilftr1|7", "ii": "nuhbvy68ﬁﬂﬀ", "iii": "mﬃﬄ", "ii
 STROKES = {ord(c): made for made, chars in STROKE_SETS.items() for c in chars}
 #: Scanned texts that are read together with the part of the lexicon they need.
 BLOCK = 128
-#: Level from which a word may be a piece of two that were run together.
-PIECE_LEVEL = 7
+#: Costs in bits: of a confusion, of dropping or adding a blank, of a word that nobody else writes beyond the rarest known one.
+CONFUSED, BLANK, UNKNOWN = 5.0, 6.0, 14.0
 
 
 def is_scan(text: Column) -> Column:
-    """Whether a text came from pages: several lines, all of them short (a text that was not scanned has its paragraphs whole)."""
-    return ~text.rlike(rf"[^\n]{{{WIDEST + 1}}}") & text.rlike(r"[^\n]{25,}\n+[^\n]+\n+[^\n]+\n")
+    """Whether a text came from pages: it has several lines and nine in ten are no wider than a page (a text that was not scanned has its paragraphs whole)."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    return (F.size(lines) > 1) & (10 * F.size(F.filter(lines, lambda x: F.length(x) <= WIDEST)) >= 9 * F.size(lines)) & text.rlike(r"[^\n]{25,}\n+[^\n]")
 
 
 def strokes(word: str) -> str:
@@ -69,55 +70,42 @@ def strokes_of(c: Column) -> Column:
     return c
 
 
-def _slots(word: str) -> list[int]:
-    h = xxhash.xxh3_64_intdigest(word)
-    return [(h + k * ((h >> 29) | 1)) % SLOTS for k in range(HASHES)]
+class Excerpt:
+    """The words of a lexicon that some texts ask for, each with its count, and the counts of letter trigrams.
 
+    ``total`` is the number of words in all texts; the cost of a word is its code length in bits.
+    """
 
-@dataclass
-class Lexicon:
-    """Word frequencies of a small vocabulary in fixed space: the level (binary logarithm of the count, plus 1) in HASHES slots of a table; letter trigrams likewise."""
-
-    levels: np.ndarray
-    trigrams: np.ndarray
-    _known: dict[str, int] = field(default_factory=dict)
-
-    def level(self, word: str) -> int:
-        found = self._known.get(word)
-        if found is None:
-            if len(self._known) > 500_000:
-                self._known.clear()
-            found = self._known[word] = int(min(self.levels[s] for s in _slots(word)))
-        return found
-
-    def near(self, word: str, most: int) -> Iterator[tuple[str, int]]:
-        """Known words that ``word`` may stand for, with the number of confusions (1 to ``most``)."""
-        return ((other, cost) for other, cost in _variants(word, most).items() if cost and self.level(other))
-
-    def likelihood(self, word: str) -> float:
-        """Mean log count of the word's letter trigrams."""
-        framed = f"^{word}$"
-        return float(np.mean([np.log1p(self.trigrams[xxhash.xxh3_64_intdigest(framed[k : k + 3]) % TRIGRAMS]) for k in range(len(framed) - 2)]))
-
-    def __getstate__(self):
-        return {"levels": self.levels, "trigrams": self.trigrams, "_known": {}}
-
-
-class Excerpt(Lexicon):
-    """The words of a lexicon that have the strokes some texts ask for, each with its count."""
-
-    def __init__(self, counts: dict[str, int], trigrams: np.ndarray):
-        self.counts, self.trigrams, self.alike = counts, trigrams, {}
+    def __init__(self, counts: dict[str, int], trigrams: np.ndarray, total: int):
+        self.counts, self.trigrams, self.alike = counts, np.log1p(trigrams), {}
+        self.bits = float(np.log2(max(total, 2)))
         for word in counts:
             self.alike.setdefault(strokes(word), []).append(word)
 
-    def level(self, word: str) -> int:
-        return min(self.counts.get(word, 0).bit_length(), 60)
+    def level(self, word: str) -> float:
+        """The binary logarithm of the count, plus 1; 0 for an unknown word."""
+        n = self.counts.get(word, 0)
+        return 1 + math.log2(n) if n else 0.0
 
     def near(self, word: str, most: int) -> Iterator[tuple[str, int]]:
+        """Known words that ``word`` may stand for, with the number of confusions (1 to ``most``), the commonest first."""
         others = sorted(self.alike.get(strokes(word), ()), key=lambda w: (-self.counts[w], w))
         return ((other, cost) for other in others if (cost := confusions(word, other)) and cost <= most)
 
+    def likeliest(self, choices: list[str]) -> str:
+        """The string with one of the characters of each choice whose letter trigrams are the commonest: the best path over pairs of characters."""
+        paths = {"^": (0.0, "")}
+        for options in [*choices, "$"]:
+            new: dict[str, tuple[float, str]] = {}
+            for pair, (score, made) in paths.items():
+                for c in options:
+                    value = score + (float(self.trigrams[xxhash.xxh3_64_intdigest(pair + c) % TRIGRAMS]) if len(pair) == 2 else 0.0)
+                    kept = new.get((pair + c)[-2:])
+                    if kept is None or value > kept[0]:
+                        new[(pair + c)[-2:]] = (value, made + c)
+            paths = new
+        return max(paths.values())[1][:-1]
+
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """``(word, n)`` over all texts, counted in the tasks before they are shuffled."""
@@ -174,31 +162,17 @@ def confusions(seen: str, right: str) -> int | None:
     return at[-1].get(len(right))
 
 
-def _variants(word: str, most: int = 3, beam: int = 400) -> dict[str, int]:
-    """Strings the word may have been read from, with the number of confusions."""
-    lattice: list[dict[str, int]] = [{} for _ in range(len(word) + 1)]
-    lattice[0][""] = 0
-    for at in range(len(word)):
-        for prefix, cost in sorted(lattice[at].items(), key=lambda x: x[1])[:beam]:
-            plain = prefix + word[at]
-            if lattice[at + 1].get(plain, 9) > cost:
-                lattice[at + 1][plain] = cost
-            if cost < most:
-                for size in (1, 2):
-                    for right in INTO.get(word[at : at + size], ()) if at + size <= len(word) else ():
-                        if lattice[at + size].get(prefix + right, 9) > cost + 1:
-                            lattice[at + size][prefix + right] = cost + 1
-    return lattice[-1]
-
-
 class Decoder:
     """Reads words out of the character stream of a page: kept, confused, hyphenated, split or merged."""
 
-    def __init__(self, lexicon: Lexicon):
-        self.lexicon, self._read = lexicon, {}
+    def __init__(self, lexicon: Excerpt):
+        self.lexicon, self._read, self._priced = lexicon, {}, {}
 
     def known(self, word: str) -> bool:
-        return self.lexicon.level(word) > 0
+        return word in self.lexicon.counts
+
+    def cost(self, word: str) -> float:
+        return self.lexicon.bits + (1 - self.lexicon.level(word) if self.known(word) else UNKNOWN)
 
     def number(self, token: str) -> str | None:
         """The number a token with digits and letters like digits stands for; case tells 8 (B) from 6 (b)."""
@@ -229,24 +203,19 @@ class Decoder:
             return "".join(p if len(p) < 3 or p.isdigit() else self.read(p) for p in re.split(r"([-./@_:])", word))
         if len(word) < 3 and not (odd and any(c.isalpha() for c in word)):
             return word
-        best, score = word, 0
-        for other, cost in self.lexicon.near(word, 3 if len(word) > 5 else 2 if len(word) > 3 else 1):
-            if len(other) > 1:
-                value = self.lexicon.level(other) - 5 * cost + 14
-                if value > score:
-                    best, score = other, value
-        if score > 0:
+        best, least = word, UNKNOWN
+        for other, confused in self.lexicon.near(word, max(1, len(word) // 2)):
+            if len(other) > 1 and (cost := CONFUSED * confused - self.lexicon.level(other)) < least:
+                best, least = other, cost
+        if best != word:
             return best
         if "-" in word.strip("-"):
             return "-".join(self.read(p) for p in word.split("-"))
         if odd and sum(c.isalpha() for c in word) >= 3 and not re.search(r"\d{2}", word):
             # A name nobody else writes, with a digit or bar among its letters: the likeliest letters.
-            swaps = {c: [r for r in INTO.get(c, ()) if len(r) == 1 and r.isalpha()] for c in word if not c.isalpha() and c not in "-'’"}
-            if all(swaps.values()):
-                options = [""]
-                for c in word:
-                    options = [o + r for o in options for r in (swaps[c] if c in swaps else (c,))][:64]
-                return max(options, key=self.lexicon.likelihood)
+            swaps = ["".join(r for r in INTO.get(c, ()) if len(r) == 1 and r.isalpha()) if not c.isalpha() and c not in "-'’" else c for c in word]
+            if all(swaps):
+                return self.lexicon.likeliest(swaps)
         return word
 
     def joined(self, left: str, right: str) -> str:
@@ -262,39 +231,88 @@ class Decoder:
             return f"{self.read(left)}-{self.read(right)}"
         return self.read(whole)
 
-    def pieces(self, word: str) -> list[str]:
-        """Two words that were run together, or the word alone."""
-        if len(word) < 7 or self.known(word) or not word.isalpha():
-            return [word]
-        cuts = [(min(self.lexicon.level(word[:k]), self.lexicon.level(word[k:])), k) for k in range(3, len(word) - 2)]
-        level, k = max(cuts)
-        return [word[:k], word[k:]] if level >= PIECE_LEVEL else [word]
-
-
-class Asks:
-    """Stands for a decoder and notes the words that one may look up: ``near`` with all they may stand for, ``pieces`` as they are."""
-
-    def __init__(self, pieces: bool):
-        self.near, self.pieces_too, self.exact = set(), pieces, set()
-
-    def _note(self, word: str) -> None:
-        if word not in self.near:
-            self.near.update((word, *re.split(r"[-./@_:]", word), *word.split("-")))
-
-    def token(self, core: str) -> str:
-        self._note(core.lower())
-        return core.lower()
-
-    def joined(self, left: str, right: str) -> str:
-        for word in (left + right, f"{left}-{right}", left, right):
-            self._note(word)
-        return left + right
+    def priced(self, core: str) -> tuple[float, tuple[str, ...]]:
+        """The cheapest words a token alone stands for: one, read with or without confusions, or two that were run together."""
+        found = self._priced.get(core)
+        if found is None:
+            if len(self._priced) > 300_000:
+                self._priced.clear()
+            word = self.token(core)
+            low = core.lower()
+            found = (0.0 if NUMERIC.match(word) or not word else self.cost(word) + (CONFUSED if word != low else 0.0), (word,))
+            if low.isalpha() and not self.known(low):
+                for k in range(2, len(low) - 1):
+                    if self.known(low[:k]) and self.known(low[k:]):
+                        found = min(found, (self.cost(low[:k]) + self.cost(low[k:]) + BLANK, (low[:k], low[k:])))
+            self._priced[core] = found
+        return found
 
-    def pieces(self, word: str) -> list[str]:
-        if self.pieces_too and len(word) >= 7 and word.isalpha():
-            for k in range(3, len(word) - 2):
-                self.exact.update((word[:k], word[k:]))
-        return [word]
+    def decode(self, tokens: list[Token]) -> list[tuple[int, int, str, tuple[str, ...]]]:
+        """The cheapest reading of a stream of tokens, ``(first, behind, kind, words)`` in order.
+
+        A lattice over the places between tokens: an arc reads one token (see ``priced``), two that
+        a blank tore apart, if their letters together are a known word and one of them alone is not,
+        or two that a hyphen at a line's end parts. The best path is found for the whole stream, so
+        that readings which overlap compete.
+        """
+        n = len(tokens)
+        best, back = [0.0] + [math.inf] * n, [None] * (n + 1)
+        for i, (_, _, core, tail, broken) in enumerate(tokens):
+            cost, words = self.priced(core)
+            if best[i] + cost + (2 * UNKNOWN if broken else 0.0) < best[i + 1]:
+                best[i + 1], back[i + 1] = best[i] + cost + (2 * UNKNOWN if broken else 0.0), (i, "word", words)
+            if i + 1 == n:
+                continue
+            _, head, right, _, _ = tokens[i + 1]
+            if broken:
+                if right and right[0].isalnum() and not head:
+                    whole = self.joined(core.lower(), right.lower())
+                    if best[i] + self.cost(whole) < best[i + 2]:
+                        best[i + 2], back[i + 2] = best[i] + self.cost(whole), (i, "hyphen", (whole,))
+            elif _torn(tokens[i], tokens[i + 1]):
+                whole = (core + right).lower()
+                if self.known(whole) and not (self.known(core.lower()) and self.known(right.lower())) and best[i] + self.cost(whole) + BLANK < best[i + 2]:
+                    best[i + 2], back[i + 2] = best[i] + self.cost(whole) + BLANK, (i, "merge", (whole,))
+        path, at = [], n
+        while at:
+            i, kind, words = back[at]
+            path.append((i, at, kind, words))
+            at = i
+        return path[::-1]
+
+
+#: Body line, marks before, letters, marks behind, whether a hyphen at the line's end was taken off.
+Token = tuple[int, str, str, str, bool]
+
+
+def _torn(left: Token, right: Token) -> bool:
+    """Whether two tokens may be one word that a blank tore apart: letters only, nothing between them, no name begins in the second."""
+    return not left[3] and not right[1] and left[2].isalpha() and right[2].isalpha() and right[2].islower()
+
+
+def asked_words(streams: Iterator[list[Token]]) -> tuple[set[str], set[str]]:
+    """The words a decoder may look up: with all they may stand for, and as they are."""
+    alone: set[str] = set()
+    parted: set[tuple[str, str]] = set()
+    torn: set[str] = set()
+    for tokens in streams:
+        for k, token in enumerate(tokens):
+            alone.add(token[2].lower())
+            if k + 1 < len(tokens):
+                if token[4]:
+                    parted.add((token[2].lower(), tokens[k + 1][2].lower()))
+                elif _torn(token, tokens[k + 1]):
+                    torn.add((token[2] + tokens[k + 1][2]).lower())
+    for left, right in parted:
+        alone.update((left + right, f"{left}-{right}", left, right))
+    near = set(alone)
+    for word in alone:
+        if not word.isalpha():
+            near.update((*re.split(r"[-./@_:]", word), *word.split("-")))
+        else:
+            for k in range(2, len(word) - 1):
+                torn.update((word[:k], word[k:]))
+    return near, torn - near
 
 
 def _fold(line: str) -> str:
@@ -335,9 +353,9 @@ def furniture_lines(lines: list[str], name: str) -> set[int]:
         fold = _fold(line)
         letters = [c for c in line if c.isalpha()]
         capitals = len(letters) > 3 and sum(c.isupper() for c in letters) > 0.8 * len(letters)
-        later = [m for m in filled[i + 1 :] if m not in out]
-        after = lines[later[0]].split()[0] if later else ""
-        blank = not later or any(not lines[m].strip() for m in range(n + 1, later[0]))
+        later = next((m for m in filled[i + 1 :] if m not in out), None)
+        after = lines[later].split()[0] if later is not None else ""
+        blank = later is None or any(not lines[m].strip() for m in range(n + 1, later))
         room = len(line) + 1 + len(after) < width - 2
         named = bool(title) and len(fold) > 3 and (fold == title or (len(title) > 8 and fold.endswith(title)))
         if named or capitals or (folds[fold] > 1 and len(fold) > 5 and len(line) < 0.9 * width + 4) or (room and not blank) or (i == 0 and room):
@@ -345,35 +363,52 @@ def furniture_lines(lines: list[str], name: str) -> set[int]:
     return out
 
 
-def paragraphs(body: list[tuple[int, str]], width: int) -> list[list[int]]:
-    """Indexes of the body lines by paragraph; boundaries that cost least, found by dynamic programming.
+def paragraphs(body: list[tuple[int, str]], width: int, usual: tuple[float, float] = USUAL) -> list[list[int]]:
+    """Indexes of the body lines by paragraph; boundaries that cost least in all, found by dynamic programming.
 
-    A boundary is cheap where lines were left blank, dear inside a sentence or a filled line; a
-    paragraph has a price of its own, so that weak hints do not add up to many short ones.
+    A boundary is cheap where lines were left blank or end a sentence short of the column; it is
+    not set inside a sentence that goes on. What a paragraph costs besides depends on its length:
+    half the squared distance of the logarithm of its characters from ``usual``, the mean and
+    deviation in texts whose paragraphs are known. So the same hints part a long run of lines and
+    leave a short one whole.
     """
     n = len(body)
-    price = np.zeros(n + 1)
+    edges, prices = [0], [0.0]
     for k in range(1, n):
         (before_no, before), (after_no, after) = body[k - 1], body[k]
-        ended = before.rstrip("\"'”’»)]")[-1:] in ".!?…:"
+        ended = before.rstrip("\"'”’»)]")[-1:] in ".!?…:。！？।"
         blank = after_no > before_no + 1
-        price[k] = (2.0 if not ended else -1.0) + (2.5 if after[:1].islower() else 0.0) + (-3.0 if blank and ended else 0.0) + (-2.0 if ended and len(before) < 0.6 * width else 0.0)
-        if before[-1:] in HYPHENS:
-            price[k] += 6.0
-    best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+        if before[-1:] in HYPHENS or after[:1].islower() or not (ended or blank):
+            continue
+        edges.append(k)
+        prices.append((-1.0 if ended else 2.0) + (-3.0 if blank and ended else -1.0 if blank else 0.0) + (-2.0 if ended and len(before) < 0.6 * width else 0.0) + 2.0)
+    edges.append(n)
+    if not n:
+        return []
+    starts = np.array(edges)
+    chars = np.cumsum([0, *(len(line) + 1 for _, line in body)])[starts]
+    price = np.array(prices)
+    best, back = np.full(len(edges), np.inf), np.zeros(len(edges), int)
     best[0] = 0.0
-    start, least = 0, 0.0  # the line that a paragraph up to k begins with at least cost, whatever its length
-    for k in range(1, n + 1):
-        best[k], back[k] = least + 2.0 + 0.002 * k, start
-        if (begun := best[k] + price[k] - 0.002 * k) < least - 1e-9:
-            start, least = k, begun
-    out, k = [], n
+    for k in range(1, len(edges)):
+        length = (np.log(chars[k] - chars[:k]) - usual[0]) / usual[1]
+        total = best[:k] + price[:k] + length**2 / 2
+        back[k] = int(np.argmin(total))
+        best[k] = total[back[k]]
+    out, k = [], len(edges) - 1
     while k:
-        out.append(list(range(back[k], k)))
+        out.append(list(range(edges[back[k]], edges[k])))
         k = back[k]
     return out[::-1]
 
 
+def paragraph_lengths(texts: DataFrame) -> tuple[float, float]:
+    """Mean and deviation of the logarithm of a paragraph's characters, over all paragraphs of texts that were not scanned."""
+    parts = texts.select(F.explode(F.split("text", r"\n\s*\n")).alias("p")).select(F.log(F.length(F.trim("p")).cast("double")).alias("l")).filter("l is not null")
+    r = parts.agg(F.avg("l").alias("mean"), F.stddev("l").alias("spread")).first()
+    return (r["mean"], max(r["spread"], 0.2)) if r["spread"] is not None and not math.isnan(r["spread"]) else USUAL
+
+
 EDGE = re.compile(r"^[\"'“”„‘’«»(\[{]*|[\"'“”‘’«»)\]}.,;:!?…]*$")
 
 
@@ -390,57 +425,59 @@ def _cased(like: str, word: str) -> str:
     return word[:1].upper() + word[1:] if like[:1].isupper() else word
 
 
-def _read(text: str, gone: set[int], decoder: Decoder | Asks) -> tuple[list[tuple[int, str, str]], list[tuple[int, str]], list[tuple[int, str]]]:
-    """Findings, body lines and ``(body line, word)`` of a text without the lines that are ``gone``."""
-    lines = text.split("\n")
-    findings = [(n, "furniture", "") for n in sorted(gone)]
-    body, gap = [], 0
-    for n, line in enumerate(lines):
+def stream(text: str, gone: set[int]) -> tuple[list[Token], list[tuple[int, str]], list[int]]:
+    """The tokens of a text without the lines that are ``gone``, its body lines (numbered without them) and their numbers in the text."""
+    body, numbers, gap = [], [], 0
+    for n, line in enumerate(text.split("\n")):
         if n in gone:
             gap += 1
         elif line.strip():
             body.append((n - gap, line.strip()))
-    numbers = [n for n, line in enumerate(lines) if n not in gone and line.strip()]
-    words: list[tuple[int, str]] = []
-    held: tuple[int, str] | None = None
+            numbers.append(n)
+    tokens: list[Token] = []
     for k, (_, line) in enumerate(body):
-        tokens = line.split()
-        if held is not None:
-            row, left = held
-            head, right, tail = _core(tokens[0])
-            front, core, _ = _core(left)
-            if right and right[0].isalnum() and not head:
-                whole = decoder.joined(core.lower(), right.lower())
-                findings.append((row, "hyphen", whole))
-                words.append((k - 1, front + _cased(core, whole) + tail))
-                tokens = tokens[1:]
-            else:
-                words.append((k - 1, left + "-"))
-            held = None
-        if tokens and len(tokens[-1]) > 1 and tokens[-1][-1] in HYPHENS and tokens[-1][-2].isalnum() and k + 1 < len(body):
-            held = (numbers[k], tokens[-1][:-1])
-            tokens = tokens[:-1]
-        for token in tokens:
-            head, core, tail = _core(token)
-            low = core.lower()
-            right = decoder.token(core)
-            if right != low:
-                findings.append((numbers[k], "misread", right))
-                core = _cased(core, right)
-            elif low and not core[:1].isupper():
-                core = " ".join(decoder.pieces(core))
-            words.append((k, head + core + tail))
+        raw = line.split()
+        broken = len(raw[-1]) > 1 and raw[-1][-1] in HYPHENS and raw[-1][-2].isalnum() and k + 1 < len(body)
+        if broken:
+            raw[-1] = raw[-1][:-1]
+        tokens += [(k, *_core(token), False) for token in raw[: len(raw) - broken]]
+        if broken:
+            tokens.append((k, *_core(raw[-1]), True))
+    return tokens, body, numbers
+
+
+def _read(text: str, gone: set[int], decoder: Decoder) -> tuple[list[tuple[int, str, str]], list[tuple[int, str]], list[tuple[int, str]]]:
+    """Findings, body lines and ``(body line, word)`` of a text without the lines that are ``gone``."""
+    tokens, body, numbers = stream(text, gone)
+    findings = [(n, "furniture", "") for n in sorted(gone)]
+    words: list[tuple[int, str]] = []
+    for first, behind, kind, made in decoder.decode(tokens):
+        k, head, core, _, broken = tokens[first]
+        tail = tokens[behind - 1][3]
+        if kind == "hyphen":
+            findings.append((numbers[k], "hyphen", made[0]))
+            words.append((k, head + _cased(core, made[0]) + tail))
+        elif kind == "merge":
+            words.append((k, head + _cased(core, made[0]) + tail))
+        else:
+            shown = core
+            if len(made) > 1:
+                shown = " ".join((_cased(core, made[0]), *made[1:]))
+            elif made[0] != core.lower():
+                findings.append((numbers[k], "misread", made[0]))
+                shown = _cased(core, made[0])
+            words.append((k, head + shown + tail + ("-" if broken else "")))
     return findings, body, words
 
 
-def repair(text: str, name: str, decoder: Decoder, gone: set[int] | None = None) -> tuple[list[tuple[int, str, str]], list[str]]:
+def repair(text: str, name: str, decoder: Decoder, gone: set[int] | None = None, usual: tuple[float, float] = USUAL) -> tuple[list[tuple[int, str, str]], list[str]]:
     """Findings ``(line, kind, repaired)`` and the repaired paragraphs of one scanned text."""
     findings, body, words = _read(text, furniture_lines(text.split("\n"), name) if gone is None else gone, decoder)
     width = max((len(line) for _, line in body), default=0)
     by_line: dict[int, list[str]] = {}
     for k, w in words:
         by_line.setdefault(k, []).append(w)
-    merged = [" ".join(w for k in part for w in by_line.get(k, ())) for part in paragraphs(body, width)]
+    merged = [" ".join(w for k in part for w in by_line.get(k, ())) for part in paragraphs(body, width, usual)]
     return findings, [m for m in merged if m]
 
 
@@ -455,6 +492,8 @@ def _repaired(documents: DataFrame, schema: str, findings: bool) -> DataFrame:
     scans, clean = _scans(documents)
     words, counts = learn(clean)
     trigrams = documents.sparkSession.sparkContext.broadcast(counts)
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    usual = USUAL if findings else paragraph_lengths(clean)
 
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -464,20 +503,17 @@ def _repaired(documents: DataFrame, schema: str, findings: bool) -> DataFrame:
     def asks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block, part in batch.groupby("block"):
-                asked = Asks(pieces=not findings)
-                for text, gone in zip(part.text, part.gone):
-                    _read(text, set(gone), asked)
-                near, exact = sorted(asked.near), sorted(asked.exact - asked.near)
-                yield pd.DataFrame({"block": block, "word": near + exact, "exact": [False] * len(near) + [True] * len(exact)})
+                near, exact = asked_words(stream(text, set(gone))[0] for text, gone in zip(part.text, part.gone))
+                yield pd.DataFrame({"block": block, "word": [*near, *exact], "exact": [False] * len(near) + [True] * len(exact)})
 
     def rows(texts: pd.DataFrame, excerpt: pd.DataFrame) -> pd.DataFrame:
-        decoder = Decoder(Excerpt(dict(zip(excerpt.word, excerpt.n.tolist())), trigrams.value))
+        decoder = Decoder(Excerpt(dict(zip(excerpt.word, excerpt.n.tolist())), trigrams.value, total))
         out = []
         for doc, text, gone in zip(texts.doc_id, texts.text, texts.gone):
             if findings:
                 out += [(doc, *f) for f in _read(text, set(gone), decoder)[0]]
             else:
-                out += [(doc, n, p) for n, p in enumerate(repair(text, "", decoder, set(gone))[1])]
+                out += [(doc, n, p) for n, p in enumerate(repair(text, "", decoder, set(gone), usual)[1])]
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     found = cut(scans.mapInPandas(pages, "doc_id string, text string, gone array<int>"))
@@ -485,7 +521,7 @@ def _repaired(documents: DataFrame, schema: str, findings: bool) -> DataFrame:
     texts = found.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     asked = cut(texts.select("block", "text", "gone").mapInPandas(asks, "block int, word string, exact boolean"))
     near = asked.filter("not exact").select("block", strokes_of(F.col("word")).alias("strokes")).distinct().join(words, "strokes")
-    exact = asked.filter("exact").select("block", "word").distinct().join(words.filter(F.col("n") >= 2 ** (PIECE_LEVEL - 1)), "word")
+    exact = asked.filter("exact").select("block", "word").distinct().join(words, "word")
     excerpts = near.select("block", "word", "n").unionByName(exact.select("block", "word", "n"))
     return texts.groupBy("block").cogroup(excerpts.groupBy("block")).applyInPandas(rows, schema)
 
@@ -494,9 +530,10 @@ def scan_defects(documents: DataFrame) -> DataFrame:
     """Defects of the scanned texts: ``(doc_id, line_no, kind, repaired)``, distinct.
 
     ``documents``: ``doc_id, full_text, original_filename``. Whether a text was scanned is read
-    from its lines. Furniture lines are set aside; the others are one stream in which words
-    broken at line and page ends are joined and each word the corpus does not know is read as
-    the likeliest known one its characters may stand for. Null and empty texts and null ids
+    from its lines. Furniture lines are set aside; the others are one stream, decoded as a whole
+    (see ``Decoder.decode``): words broken at line and page ends or torn by blanks are joined, words
+    run together are parted, and each word the corpus does not know is read as the likeliest known
+    one its characters may stand for. Null and empty texts and null ids
     give no rows; repeated rows of an id count once; an empty table gives an empty table.
     """
     return _repaired(documents, FINDING, True).distinct()

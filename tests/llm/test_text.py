@@ -37,14 +37,68 @@ def test_a_page_is_repaired(spark):
     assert {r.doc_id for r in P.scan_defects(frame).collect()} == {"page"} and P.scan_defects(frame.limit(0)).count() == 0
 
 
-def test_words_run_together_are_split():
-    words = {"ceramic": 9, "inspection": 9, "pump": 9}
-    lexicon = P.Lexicon(np.zeros(P.SLOTS, np.uint8), np.zeros(P.TRIGRAMS, np.int64))
-    for w, level in words.items():
-        lexicon.levels[P._slots(w)] = level
-    decoder = P.Decoder(lexicon)
-    assert decoder.pieces("ceramicinspection") == ["ceramic", "inspection"] and decoder.pieces("unknownword") == ["unknownword"]
-    assert decoder.read("cerarnic") == "ceramic" and decoder.joined("inspec", "tion") == "inspection" and decoder.token("2O15") == "2015" and decoder.token("13B") == "138" and decoder.token("1b") == "16"
+def decoder(**counts):
+    return P.Decoder(P.Excerpt(counts, np.zeros(P.TRIGRAMS, np.int64), 1 << 20))
+
+
+def test_words_are_decoded_across_blanks():
+    read = decoder(ceramic=300, inspection=300, pump=300, the=30000, of=30000, lantern=90)
+    assert read.priced("ceramicinspection")[1] == ("ceramic", "inspection") and read.priced("unknownword")[1] == ("unknownword",)
+    assert read.read("cerarnic") == "ceramic" and read.joined("inspec", "tion") == "inspection" and read.token("2O15") == "2015" and read.token("13B") == "138" and read.token("1b") == "16"
+    findings, _, words = P._read("The insp ection of the cer amic lan-\ntern ofthe purnp (ex ample) Lan Tern", set(), read)
+    assert " ".join(w for _, w in words).split() == ["The", "inspection", "of", "the", "ceramic", "lantern", "of", "the", "pump", "(ex", "ample)", "Lan", "Tern"]
+    assert findings == [(0, "hyphen", "lantern"), (1, "misread", "pump")]
+
+
+def test_a_word_with_many_misread_letters():
+    read = decoder(communication=4000, classification=4000)
+    assert read.read("cornrnunicotlon") == "communication" and read.read("c1oss1f1cat1on") == "classification"
+    grams = np.zeros(P.TRIGRAMS, np.int64)
+    framed = "^laialaiaialai$"
+    for k in range(len(framed) - 2):
+        grams[P.xxhash.xxh3_64_intdigest(framed[k : k + 3]) % P.TRIGRAMS] += 5
+    assert P.Decoder(P.Excerpt({}, grams, 9)).read("1a|a1a|a1a|a1") == "laialaiaialai"  # 2^7 choices of letters
+
+
+def wrapped(paragraph, width):
+    lines, line = [], ""
+    for word in paragraph.split():
+        if line and len(line) + 1 + len(word) > width:
+            lines.append(line)
+            line = word
+        else:
+            line = f"{line} {word}" if line else word
+    return [*lines, line]
+
+
+def boundaries(parts):
+    return {part[0] for part in parts if part[0]}
+
+
+def test_paragraphs_are_found_by_their_length_too():
+    """Wrapped paragraphs without blank lines: the program finds them better than any threshold on the same hints."""
+    rng = np.random.default_rng(4)
+    sentence = lambda: " ".join(rng.choice(["pump", "ceramic", "valve", "of", "the", "inspection", "a"], rng.integers(5, 14))).capitalize() + "."
+    right = found = true = plain_right = plain_found = 0
+    for _ in range(60):
+        body, starts = [], set()
+        for n in range(8):
+            starts.add(len(body))
+            body += [(len(body) + k, line) for k, line in enumerate(wrapped(" ".join(sentence() for _ in range(rng.integers(5, 8))), 60))]
+        starts -= {0}
+        got = boundaries(P.paragraphs(body, 60, (np.log(340), 0.25)))
+        plain = {k for k in range(1, len(body)) if body[k - 1][1].endswith(".") and len(body[k - 1][1]) < 36}
+        right, found, true = right + len(got & starts), found + len(got), true + len(starts)
+        plain_right, plain_found = plain_right + len(plain & starts), plain_found + len(plain)
+    f = lambda hit, made: 2 * hit / (made + true)
+    assert f(right, found) > f(plain_right, plain_found) + 0.1 and right / true > 0.7
+
+
+def test_a_scan_with_a_long_line_and_a_short_one(spark):
+    long = PAGE + "\n" + "x" * 300
+    frame = docs(spark, [("clean", CLEAN * 30, "x.txt"), ("long", long, None), ("short", "The pump was inspected by the secu-\nrity department.", None)])
+    got = {(r.doc_id, r.kind, r.repaired) for r in P.scan_defects(frame).collect()}
+    assert {("long", "misread", "working"), ("long", "hyphen", "low-cost"), ("short", "hyphen", "security")} <= got
 
 
 def test_a_paragraph_of_many_lines_stays_whole():
@@ -121,3 +175,16 @@ def test_sentences_cover_everything_but_space(spark):
     covered = "".join(text[a:b] for d, a, b in got if d == 1)
     assert covered.replace(" ", "") == text.replace(" ", "")
     assert S.split_sentences(frame.limit(0)).count() == 0
+
+
+def test_quotations_of_any_length():
+    inner = "It stops. " * 1200
+    text = f'The note says "{inner.strip()}" and no more. Then (a "loose mark and {inner.strip()}) it goes "on". Done.'
+    pairs = S.matched(text)
+    assert pairs[text.index('"')] > 11_000 and max(b - a for a, b in pairs.items()) > 11_000
+    assert S.matched('he said "one and then "two" and (three [four) five' + "[" * 50_000) == {23: 27, 33: 45}
+
+
+def test_composed_and_decomposed_letters_are_alike():
+    one, two = (S.candidates(t) for t in ("Le café. Été venu. Fin", "Le cafe\u0301. E\u0301te\u0301 venu. Fin"))
+    assert [(c.left, c.after) for c in one] == [(c.left, c.after) for c in two]
