@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 SENTENCE = "doc_id long, sent_start int, sent_end int"
 SAMPLE_DOCUMENTS = 2000
-SAMPLE_LONGEST = 20_000
-LONGEST_QUOTE = 5000
+SAMPLE_CHARACTERS = 20_000
 COUNT_SLOTS = 1 << 18
 WEIGHTS = 1 << 17
 
@@ -41,9 +40,17 @@ CANDIDATE = re.compile(r"(?:[.!?…۔؟।॥。！？｡]|(?<=[Ͱ-Ͽἀ-῿]);)
 GLUED = re.compile(r"[^\W\d_A-ZÀ-Þ]\.([^\W\d_a-zß-ÿ]\w*)$")
 LOWER = re.compile(r"\s+[a-zß-öø-ÿα-ωάέήίόύώа-яё](?![A-Z])")
 BLANK = re.compile(r"\n\s*\n")
+SOLID = re.compile(r"\S")
+#: Characters of the text beside a mark that its features are read from.
+WINDOW = 60
 TOKEN = re.compile(r"[^\s\"“”„«»「」『』()（）\[\]]+")
 
 
+def composed(token: str) -> str:
+    """The token with letters and accents in one, so that both ways of writing them have the same features."""
+    return token if token.isascii() else unicodedata.normalize("NFC", token)
+
+
 def _script(c: str) -> str:
     o = ord(c)
     if 0x0E00 <= o <= 0x0E7F:
@@ -62,23 +69,40 @@ def _script(c: str) -> str:
 
 
 def matched(text: str) -> dict[int, int]:
-    """Positions of opening marks with those of their closing ones; marks without a partner are left out."""
+    """Positions of opening marks with those of their closing ones; marks without a partner are left out.
+
+    A straight quotation mark opens or closes by the blanks beside it; one that can only open takes
+    the place of one still open, which so has no partner. A closing mark drops what stands open
+    inside its pair. Every mark is put on the stack and taken off once.
+    """
     stack: list[tuple[str, int]] = []
+    waiting: Counter[str] = Counter()
     out: dict[int, int] = {}
     for m in MARKS.finditer(text):
         i, c = m.start(), m.group()
         if c == '"':
+            after = text[i + 1 : i + 2]
+            opens = after and not after.isspace()
+            only = opens and (i == 0 or text[i - 1].isspace()) and after.isalnum()
             if stack and stack[-1][0] == '"':
-                out[stack.pop()[1]] = i
-            elif i + 1 < len(text) and not text[i + 1].isspace():
+                start = stack.pop()[1]
+                if only:
+                    stack.append(('"', i))
+                else:
+                    out[start] = i
+            elif opens:
                 stack.append(('"', i))
-            continue
-        at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == c), None)
-        if at is not None:
-            out[stack[at][1]] = i
-            del stack[at:]
+        elif waiting[c]:
+            while True:
+                closer, start = stack.pop()
+                if closer != '"':
+                    waiting[closer] -= 1
+                if closer == c:
+                    break
+            out[start] = i
         elif c in PAIRS:
             stack.append((PAIRS[c], i))
+            waiting[PAIRS[c]] += 1
     return out
 
 
@@ -119,7 +143,7 @@ def candidates(text: str, sure: bool = True) -> list[Candidate]:
     closing = {b: a for a, b in pairs.items()}
     outer: list[tuple[int, int]] = []
     for a, b in sorted(pairs.items()):
-        if b - a < LONGEST_QUOTE and (not outer or a > outer[-1][1]):
+        if not outer or a > outer[-1][1]:
             outer.append((a, b))
     starts = [a for a, _ in outer]
     size = len(text.rstrip())
@@ -144,20 +168,19 @@ def candidates(text: str, sure: bool = True) -> list[Candidate]:
         at = bisect_right(starts, mark_at) - 1
         if end >= size or (at >= 0 and outer[at][0] < mark_at < outer[at][1] and end <= outer[at][1]):
             return
-        head = text[max(0, mark_at - 60) : mark_at].split()
+        head = text[max(0, mark_at - WINDOW) : mark_at].split()
         tokens = TOKEN.findall(head[-1]) if head else []
         left = tokens[-1] if tokens else ""
         if "." in left and (run := GLUED.search(left)):
             left = run.group(1)
         before = head[-2] if len(head) > 1 else ""
-        rest = text[end : end + 120]
-        stripped = rest.lstrip()
-        token = TOKEN.match(stripped)
-        after = token.group() if token else stripped[:1]
+        begins = SOLID.search(text, end).start()
+        token = TOKEN.match(text, begins, begins + WINDOW)
+        after = token.group() if token else text[begins]
         # Scripts without spaces have clauses for tokens; what counts of those is the character at the boundary.
         left = left[-1:] if left and left[-1] > "⿿" and _script(left[-1]) == "wide" else left
         after = after[:1] if after and after[0] > "⿿" and _script(after[0]) == "wide" else after
-        found[end] = Candidate(end, mark, left.lower() if not (len(left) == 1 and left.isupper()) else left, before, after, rest[:1].isspace(), closed)
+        found[end] = Candidate(end, mark, composed(left.lower() if not (len(left) == 1 and left.isupper()) else left), before, composed(after), text[end].isspace(), closed)
 
     for m in CANDIDATE.finditer(text):
         at, end, mark = m.start(), m.end(), m.group()
@@ -414,7 +437,7 @@ def boundary_counts(documents: DataFrame) -> Counts:
                         first[parts[0]] += 1
                         last[parts[-1]] += 1
             for word, n in words.items():
-                for token in TOKEN.findall(word):
+                for token in TOKEN.findall(composed(word)):
                     bare = token.rstrip(".,;:!?…")
                     low = bare if len(bare) == 1 and bare.isupper() else bare.lower()
                     table[_slot("w", bare)] += n
@@ -423,10 +446,10 @@ def boundary_counts(documents: DataFrame) -> Counts:
                     if token.endswith("."):
                         table[_slot("p", low)] += n
             for word, n in first.items():
-                if tokens := TOKEN.findall(word):
+                if tokens := TOKEN.findall(composed(word)):
                     table[_slot("s", tokens[0].rstrip(".,;:!?"))] += n
             for word, n in last.items():
-                if (tokens := TOKEN.findall(word)) and tokens[-1].endswith("."):
+                if (tokens := TOKEN.findall(composed(word))) and tokens[-1].endswith("."):
                     bare = tokens[-1].rstrip(".")
                     table[_slot("e", bare if len(bare) == 1 and bare.isupper() else bare.lower())] += n
         at = np.flatnonzero(table)
@@ -438,7 +461,7 @@ def boundary_counts(documents: DataFrame) -> Counts:
     return Counts(table)
 
 
-def split_sentences(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
+def split_sentences(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, sample_characters: int = SAMPLE_CHARACTERS) -> DataFrame:
     """The sentences of every document, ``(doc_id, sent_start, sent_end)``, half-open spans of code points.
 
     ``documents``: ``doc_id, text``. Headings and list items are whole units; in running text
@@ -446,15 +469,15 @@ def split_sentences(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMEN
     maximum-entropy model of the words beside it, their case, length and script, and how often
     they end and begin paragraphs anywhere. The counts are of all documents; the model is fitted
     on the reliable boundaries of at most ``sample_documents`` of them, those with the least
-    hash of their id among the texts of at most ``SAMPLE_LONGEST`` characters.
+    hash of their id among the texts of at most ``sample_characters`` characters.
 
     Null, empty and blank texts and null ids give no rows; repeated rows give their sentences
     once. A text is one task's work. An empty table gives an empty table.
     """
     rows = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
     counts = boundary_counts(rows)
-    chosen = rows.filter(F.length("text") <= SAMPLE_LONGEST).orderBy(F.xxhash64("doc_id"), "text").limit(sample_documents).select("text").collect()
-    model = rows.sparkSession.sparkContext.broadcast(train([unicodedata.normalize("NFC", r.text) for r in chosen], counts))
+    chosen = rows.filter(F.length("text") <= sample_characters).orderBy(F.xxhash64("doc_id"), "text").limit(sample_documents).select("text").collect()
+    model = rows.sparkSession.sparkContext.broadcast(train([r.text for r in chosen], counts))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

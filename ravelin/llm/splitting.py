@@ -69,12 +69,13 @@ def split_text(text: str, max_tokens: int, overlap_tokens: int) -> list[tuple[in
     """Pieces ``(start, end, overlap)``; each, overlap included, is within ``max_tokens``.
 
     Without their overlaps the pieces follow each other and cover the text. An overlap is as long
-    as ``overlap_tokens`` allows and begins at a word if it holds one.
+    as ``overlap_tokens`` allows and begins at a word if it holds one. One of ``max_tokens`` or more
+    is taken as one token less, for a piece has to add something.
     """
     limit = max(1, max_tokens) * CHARS_PER_TOKEN
     if len(text) <= limit:
         return [(0, len(text), 0)] if text else []
-    overlap = min(max(0, overlap_tokens) * CHARS_PER_TOKEN, limit // 2)
+    overlap = min(max(0, overlap_tokens) * CHARS_PER_TOKEN, limit - CHARS_PER_TOKEN)
     room = limit - overlap
     bodies = merge_atoms(atoms(text, room), lambda a, b: b - a <= room)
     out = []

@@ -86,3 +86,14 @@ def test_split_oversized_defines_odd_rows(spark):
     first = sorted((r.piece_no, r.piece_text) for r in got if r.item_id == "a")
     assert len({n for n, _ in first}) == len(first) and all(r.token_count <= 10 for r in got if r.item_id != "k")
     assert split_oversized(frame.limit(0)).count() == 0
+
+
+def test_an_overlap_over_half_the_limit():
+    from ravelin.llm.splitting import split_text
+
+    text = "abcd " * 200
+    for most, lap in ((10, 8), (10, 10), (10, 30), (1, 1)):
+        pieces = split_text(text, most, lap)
+        assert all(b - a <= 4 * most for a, b, _ in pieces) and pieces[-1][1] == len(text)
+        assert all(after[0] + after[2] == before[1] for before, after in zip(pieces, pieces[1:]))
+        assert max(back for _, _, back in pieces) >= 4 * min(lap, most - 1) - 5
