@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -35,3 +36,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: materialises once, in storage that outlives any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of what finished steps left: shuffle files, broadcasts and checkpoints nobody holds are only dropped when the driver's garbage is collected, which a long loop cannot wait for."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
