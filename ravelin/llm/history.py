@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ravelin.session import cut, drop_path, scratch_path
+from ravelin.session import cut, drop_path, release, scratch_path
 
 TAU = 1
 ORDER = ("batch_no", "arrival_no", "doc_id")
 #: The most sets of a slice that may look for partners under one hash.
 MEETING = 256
+#: Lengths of the strings of an index, unless given: a SHA-256 in hex, and up to two digits lost or added.
+LENGTHS = (62, 63, 64, 65, 66)
 #: Table, columns (the first is the one its buckets are made by).
 TABLES = {"segments": "key long, s string, canon string", "posts": "key long, node long, n int, lead boolean", "nodes": "node long, keys array<long>"}
 
@@ -70,8 +72,8 @@ def within(a: str, b: str, tau: int) -> bool:
     return row.get(len(b), big) <= tau
 
 
-def segments(strings: DataFrame, tau: int) -> DataFrame:
-    """Index rows ``(scope, length, n, segment, s)`` of distinct ``(scope, s)``."""
+def segments(strings: DataFrame, tau: int, *more: str) -> DataFrame:
+    """Index rows ``(scope, length, n, segment, s)``, and the columns ``more``, of distinct ``(scope, s)``."""
     size = F.length("s")
     posts = []
     for n in range(tau + 1):
@@ -79,10 +81,10 @@ def segments(strings: DataFrame, tau: int) -> DataFrame:
         at = base * n + F.greatest(F.lit(0), F.lit(n) - (F.lit(tau + 1) - longer))
         width = base + F.when(F.lit(n) >= F.lit(tau + 1) - longer, 1).otherwise(0)
         posts.append(F.struct(F.lit(n).alias("n"), F.col("s").substr(at + 1, width).alias("segment")))
-    return strings.select("scope", size.alias("length"), "s", F.explode(F.array(*posts)).alias("p")).select("scope", "length", "p.n", "p.segment", "s")
+    return strings.select("scope", size.alias("length"), "s", *more, F.explode(F.array(*posts)).alias("p")).select("scope", "length", "p.n", "p.segment", "s", *more)
 
 
-def probes(strings: DataFrame, lengths: list[int], tau: int) -> DataFrame:
+def probes(strings: DataFrame, lengths: Sequence[int], tau: int) -> DataFrame:
     """Probe rows ``(scope, length, n, segment, s)`` of distinct ``(scope, s)`` for indexed ``lengths``."""
     parts = []
     for own in sorted({x + d for x in lengths for d in range(-tau, tau + 1)}):
@@ -100,15 +102,16 @@ def keyed(posts: DataFrame) -> DataFrame:
     return posts.withColumn("key", F.xxhash64("scope", "length", "n", "segment")).drop("length", "n", "segment")
 
 
-def bounded_matches(batch: DataFrame, index: DataFrame, lengths: list[int], tau: int) -> DataFrame:
-    """Pairs ``(scope, s, t, canon)`` of a batch string and an indexed one within ``tau`` edits.
+def matches(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """Candidates ``(scope, s, t, canon)``: keyed probes met with keyed segments ``(key, s, canon)``.
 
-    ``index``: ``key, s, canon`` (see ``keyed``; the key tells the scope). The probes are the side
-    that is hashed and moved; an index bucketed by ``key`` stays where it is.
+    The probes are the side that is hashed and moved; an index bucketed by ``key`` stays where it is.
     """
-    asked = keyed(probes(batch, lengths, tau)).hint("shuffle_hash")
-    found = asked.join(index.select("key", F.col("s").alias("t"), "canon"), "key").select("scope", "s", "t", "canon").distinct()
+    return asked.hint("shuffle_hash").join(index.select("key", F.col("s").alias("t"), "canon"), "key").select("scope", "s", "t", "canon")
 
+
+def verified(found: DataFrame, tau: int) -> DataFrame:
+    """The candidates whose strings ``s`` and ``t`` are within ``tau`` edits."""
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             yield rows[[within(a, b, tau) for a, b in zip(rows.s, rows.t)]]
@@ -128,15 +131,13 @@ class HistoryIndex:
     shuffled, sorted and checked grows with the batch. Strings are keyed by 64-bit hashes.
     """
 
-    def __init__(self, spark: SparkSession, path: str, tau: int = TAU, buckets: int | None = None):
-        self.spark, self.path, self.tau = spark, path, tau
+    def __init__(self, spark: SparkSession, path: str, tau: int = TAU, buckets: int | None = None, lengths: Sequence[int] = LENGTHS):
+        self.spark, self.path, self.tau, self.lengths = spark, path, tau, lengths
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"history_{xxhash.xxh3_64_hexdigest(path)}"
         for table, ddl in TABLES.items():
             by = ddl.split()[0]
             spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name}_{table} ({ddl}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{path}/{table}'")
-        self.lengths = {r[0] for r in self._read("segments").select(F.length("s")).distinct().collect()}
-        self.filled, self.met = bool(self.lengths), None
 
     def _read(self, table: str) -> DataFrame:
         return self.spark.table(f"{self.name}_{table}")
@@ -152,17 +153,11 @@ class HistoryIndex:
 
     def _canonical(self, strings: DataFrame) -> DataFrame:
         """Each distinct batch string with the one that stands for it: an indexed match's, else the smallest batch string within ``tau``; ``known`` if the very string is indexed."""
-        own = {r[0] for r in strings.select(F.length("s")).distinct().collect()}
-        new = bounded_matches(strings, keyed(segments(strings, self.tau)).withColumn("canon", F.col("s")), sorted(own), self.tau)
-        near = new.groupBy("scope", "s").agg(F.min("canon").alias("mine"))
-        out = strings.join(near, ["scope", "s"], "left").withColumn("mine", F.least("s", F.coalesce("mine", "s")))
-        known = self.lengths
-        self.lengths = known | own
-        if not known:
-            return out.select("scope", "s", F.col("mine").alias("canon"), F.lit(False).alias("known"))
-        old = bounded_matches(strings, self._read("segments"), sorted(known), self.tau)
-        best = old.groupBy("scope", "s").agg(F.min_by("canon", F.struct(F.col("s") != F.col("t"), F.col("canon"))).alias("theirs"), F.max(F.col("s") == F.col("t")).alias("known"))
-        return out.join(best, ["scope", "s"], "left").select("scope", "s", F.coalesce("theirs", "mine").alias("canon"), F.coalesce("known", F.lit(False)).alias("known"))
+        asked = keyed(probes(strings, self.lengths, self.tau))
+        own = matches(asked, keyed(segments(strings, self.tau)).withColumn("canon", F.col("s"))).withColumn("old", F.lit(False))
+        found = verified(own.unionByName(matches(asked, self._read("segments")).withColumn("old", F.lit(True))), self.tau)
+        best = F.min_by(F.when(F.col("old"), F.col("canon")), F.struct(~F.col("old"), F.col("s") != F.col("t"), F.col("canon")))
+        return found.groupBy("scope", "s").agg(F.coalesce(best, F.min("canon")).alias("canon"), F.max(F.col("old") & (F.col("s") == F.col("t"))).alias("known"))
 
     def take(self, records: DataFrame, hashes: DataFrame) -> DataFrame:
         """Accept or refuse the records of a batch; ``(doc_id, scope, accepted)``, appended to the index.
@@ -171,8 +166,9 @@ class HistoryIndex:
         ``hashes``: ``doc_id, hash``. Records are taken in their order; a record is refused if an
         earlier accepted one of its scope has its real content hash, or shares at least half of
         the distinct hashes of whichever of the two has fewer. Hashes within ``tau`` edits are
-        the same hash. Records without hashes match by content only. Nulls: a null scope is the
-        scope of nulls; a record with a null doc_id is ignored, null hashes say nothing.
+        the same hash; those of another length than ``lengths`` say nothing. Records without
+        hashes match by content only. Nulls: a null scope is the scope of nulls; a record with a
+        null doc_id is ignored, null hashes say nothing.
 
         A batch is one slice unless a hash has more than ``MEETING`` sets that look for partners
         under it: then the records up to there are settled and appended first, and the others,
@@ -181,124 +177,95 @@ class HistoryIndex:
         recs = records.filter("doc_id is not null").select(
             "doc_id", F.coalesce("scope", F.lit("\0null")).alias("scope"), F.struct(*ORDER).alias("at"), real_hash(F.col("content_hash")).alias("bytes")
         )
-        own = hashes.filter("hash is not null").join(recs.select("doc_id", "scope"), "doc_id").select("doc_id", "scope", F.lower("hash").alias("hash")).distinct()
-        posted = cut(
-            recs.filter("bytes is not null").select("doc_id", F.concat(F.lit("b/"), "scope").alias("scope"), F.col("bytes").alias("s"))
-            .unionByName(own.select("doc_id", F.concat(F.lit("c/"), "scope").alias("scope"), F.col("hash").alias("s")))
-        )
-        canon = cut(self._canonical(posted.select("scope", "s").distinct()))
-        sets = posted.join(canon, ["scope", "s"]).groupBy("doc_id", "scope").agg(F.array_sort(F.collect_set(F.xxhash64("scope", "canon"))).alias("keys"))
-        owns = cut(sets.join(recs.select("doc_id", "at"), "doc_id").select("doc_id", "at", F.xxhash64("scope", "keys").alias("node"), "keys"))
-        done = [recs.join(owns, "doc_id", "left_anti").select("doc_id", F.lit(True).alias("accepted"))]
-        left = owns
+        own = hashes.filter(F.length("hash").isin(*self.lengths)).join(recs.select("doc_id", "scope", "at"), "doc_id").select("doc_id", "at", F.concat(F.lit("c/"), "scope").alias("scope"), F.lower("hash").alias("s"))
+        posted = own.unionByName(recs.filter("bytes is not null").select("doc_id", "at", F.concat(F.lit("b/"), "scope").alias("scope"), F.col("bytes").alias("s")))
+        posted = cut(posted.join(self._canonical(posted.select("scope", "s").distinct()), ["scope", "s"]))
+        sets = posted.groupBy("doc_id", "scope", "at").agg(F.array_sort(F.collect_set(F.xxhash64("scope", "canon"))).alias("keys"))
+        left = owns = cut(sets.select("doc_id", "at", F.xxhash64("scope", "keys").alias("node"), "keys"))
+        accepted = recs.join(owns, "doc_id", "left_anti").select("doc_id")
         while True:
-            nodes = left.groupBy("node").agg(F.first("keys").alias("keys"))
-            posts = self._posts(nodes)
-            if self.met is not None:
-                refused = left.join(self._met(nodes, posts), "node", "left_semi").select("doc_id").distinct()
-                left = cut(left.join(refused, "doc_id", "left_anti"))
+            posts = self._posts(left)
             until = self._until(posts, left)
             part = left if until is None else cut(left.filter(F.col("at") < until))
-            accepted = cut(self._resolve(part, cut(self._links(part, posts))).select("doc_id"))
-            self._append(canon, posted, posts, part, accepted)
-            done.append(accepted.withColumn("accepted", F.lit(True)))
+            here = posts if until is None else posts.join(part.select("node").withColumn("old", F.lit(False)).distinct(), ["node", "old"], "left_semi").unionByName(posts.filter("old"))
+            taken = self._resolve(part, self._links(here, part))
+            self._append(posted, posts, part, taken)
+            accepted = accepted.unionByName(taken)
             if until is None:
-                break
+                return recs.select("doc_id", "scope").join(accepted.withColumn("accepted", F.lit(True)), "doc_id", "left").select("doc_id", "scope", F.coalesce("accepted", F.lit(False)).alias("accepted"))
             left = cut(left.join(part.select("doc_id").distinct(), "doc_id", "left_anti"))
-        verdict = done[0]
-        for more in done[1:]:
-            verdict = verdict.unionByName(more)
-        return recs.select("doc_id", "scope").join(verdict, "doc_id", "left").select("doc_id", "scope", F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
-    def _posts(self, nodes: DataFrame) -> DataFrame:
-        """``(key, node, n, lead, df, b, nb, lb)``: batch nodes under their strings, with the indexed node met there, if any.
+    def _posts(self, owns: DataFrame) -> DataFrame:
+        """``(key, node, n, lead, old, df)``: the batch's nodes under their strings, and what the index holds under the same.
 
         Of the smaller node of a linked pair any ``floor(n / 2) + 1`` strings must meet one of the
         larger; the rarest of them, counted over index and batch, are its ``lead``.
         """
-        posts = nodes.select("node", F.size("keys").alias("n"), F.explode("keys").alias("key"))
-        held = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).withColumn("all", F.col("df"))
-        self.met = None
-        if self.filled:
-            met = self._read("posts").join(held.select("key").hint("shuffle_hash"), "key").select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("lead").alias("lb"))
-            self.met = cut(met)
-            held = held.join(self.met.groupBy("key").agg(F.count(F.lit(1)).alias("old")), "key", "left").select("key", "df", (F.col("df") + F.coalesce("old", F.lit(0))).alias("all"))
-        rarest = F.row_number().over(W.partitionBy("node").orderBy("all", "key"))
-        return cut(posts.join(held, "key").withColumn("lead", rarest <= F.floor(F.col("n") / 2) + 1).select("key", "node", "n", "lead", "df"))
-
-    def _linked(self, pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-        """Of candidate pairs ``(a, b)`` those that share at least half of the strings of the smaller."""
-        sized = pairs.hint("shuffle_hash").join(right.select(F.col("node").alias("b"), F.col("keys").alias("y")), "b")
-        both = sized.join(left.select(F.col("node").alias("a"), F.col("keys").alias("x")), "a")
-        return both.filter(2 * F.size(F.array_intersect("x", "y")) >= F.least(F.size("x"), F.size("y"))).select("a", "b")
-
-    def _met(self, nodes: DataFrame, posts: DataFrame) -> DataFrame:
-        """Batch nodes linked to an indexed one: the lead of the smaller meets the other under a string."""
-        mine = posts.select("key", F.col("node").alias("a"), "n", "lead")
-        first = mine.filter("lead").join(self.met, "key").filter("n <= nb")
-        second = mine.join(self.met.filter("lb"), "key").filter("nb <= n")
-        pairs = first.select("a", "b").unionByName(second.select("a", "b")).distinct()
-        return self._linked(pairs, nodes, self._read("nodes")).select(F.col("a").alias("node")).distinct()
+        posts = owns.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.size("keys").alias("n"), F.explode("keys").alias("key"))
+        met = self._read("posts").join(posts.select("key").distinct().hint("shuffle_hash"), "key").select("key", "node", "n", "lead", F.lit(True).alias("old"))
+        both = posts.select("key", "node", "n", F.lit(False).alias("lead"), F.lit(False).alias("old")).unionByName(met)
+        both = both.join(both.groupBy("key").agg(F.count(F.lit(1)).alias("df")), "key")
+        rarest = F.row_number().over(W.partitionBy("node", "old").orderBy("df", "key"))
+        return cut(both.withColumn("lead", F.when(F.col("old"), F.col("lead")).otherwise(rarest <= F.floor(F.col("n") / 2) + 1)))
 
     def _until(self, posts: DataFrame, left: DataFrame) -> Column | None:
         """The place from which on records wait, because too many before it meet under one string; None if none do."""
-        leads = posts.filter("lead and df > 1")
+        leads = posts.filter("lead and not old and df > 1")
         hot = leads.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > MEETING)
-        if not hot.limit(1).count():
+        if hot.isEmpty():
             return None
         placed = leads.join(hot.select("key"), "key", "left_semi").join(left.groupBy("node").agg(F.min("at").alias("at")), "node")
         ranked = placed.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("at"))).filter(F.col("r") <= MEETING + 1)
         at = ranked.filter(F.col("r") == MEETING + 1).agg(F.min("at").alias("at")).first().at
-        return at and F.struct(*[F.lit(value).cast(kind) for value, kind in zip(at, ("int", "long", "string"))])
+        return F.struct(*[F.lit(value).cast(kind) for value, kind in zip(at, ("int", "long", "string"))])
 
-    def _links(self, part: DataFrame, posts: DataFrame) -> DataFrame:
-        """Linked nodes of a slice, ``(node, other)`` in both directions."""
-        nodes = part.groupBy("node").agg(F.first("keys").alias("keys"))
-        here = posts.filter("df > 1").join(nodes.select("node"), "node", "left_semi")
-        small = here.filter("lead").select("key", F.col("node").alias("a"), F.col("n").alias("na"))
-        pairs = small.join(here.select("key", F.col("node").alias("b"), F.col("n").alias("nb")), "key").filter("a != b and na <= nb").select("a", "b").distinct()
-        found = self._linked(pairs, nodes, nodes)
-        return found.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(found.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct()
+    def _links(self, posts: DataFrame, owns: DataFrame) -> DataFrame:
+        """Links ``(node, other, old)`` of the slice's nodes to each other, both ways, and to indexed ones.
+
+        The lead of the smaller meets the other under a string; the candidates share at least half
+        of the strings of the smaller, or are the same set.
+        """
+        shared = posts.filter("df > 1")
+        small = shared.filter("lead").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("old").alias("oa"))
+        met = small.join(shared.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("old").alias("ob")), "key").filter("na <= nb and not (oa and ob) and (a <> b or oa <> ob)")
+        mine, theirs = F.when(F.col("oa"), F.col("b")).otherwise(F.col("a")), F.when(F.col("oa"), F.col("a")).otherwise(F.col("b"))
+        pairs = cut(met.select(mine.alias("node"), theirs.alias("other"), (F.col("oa") | F.col("ob")).alias("old")).distinct())
+        nodes = owns.groupBy("node").agg(F.first("keys").alias("x"))
+        inside = pairs.filter("not old").join(nodes.withColumnsRenamed({"node": "other", "x": "y"}), "other")
+        sets = self._read("nodes").join(pairs.filter("old").select(F.col("other").alias("node")).distinct().hint("shuffle_hash"), "node").select(F.col("node").alias("other"), F.col("keys").alias("y"))
+        both = inside.unionByName(pairs.filter("old").join(sets, "other")).join(nodes, "node")
+        linked = both.filter(2 * F.size(F.array_intersect("x", "y")) >= F.least(F.size("x"), F.size("y"))).select("node", "other", "old")
+        ways = F.when(F.col("old"), F.array(F.struct("node", "other"))).otherwise(F.array(F.struct("node", "other"), F.struct(F.col("other").alias("node"), F.col("node").alias("other"))))
+        return linked.select("old", F.explode(ways).alias("w")).select("w.node", "w.other", "old")
 
     def _resolve(self, owns: DataFrame, links: DataFrame) -> DataFrame:
         """Greedy acceptance in order, ``(doc_id)``, in rounds over the records still open.
 
-        Only the earliest accepted record of a node can matter to later ones, so a round moves one
-        row per node, never the pairs of a group of copies. A record with an earlier accepted rival
-        is refused; one without an earlier open rival is accepted.
+        Only the earliest accepted record of a node can matter to later ones, so a round compares
+        each record with one place per node, never the pairs of a group of copies. A record with an
+        earlier accepted rival is refused; one without an earlier open rival is accepted.
         """
-        shared = owns.groupBy("node").agg(F.count(F.lit(1)).alias("owners")).filter("owners > 1").select("node")
-        busy = owns.join(shared.unionByName(links.select("node")).distinct(), "node", "left_semi").select("doc_id").distinct()
-        posts = cut(owns.join(busy, "doc_id", "left_semi").select("doc_id", "at", "node"))
-        open_ = cut(posts.unionByName(posts.join(links, "node").select("doc_id", "at", F.col("other").alias("node"))))
-        done = owns.select("doc_id").distinct().join(busy, "doc_id", "left_anti")
-        accepted = self.spark.createDataFrame([], "node long, first struct<batch_no:int,arrival_no:bigint,doc_id:string>")
+        watched = owns.select("doc_id", "at", "node", F.lit(True).alias("own"), F.lit(False).alias("hit"))
+        rivals = owns.select("doc_id", "at", "node").join(links, "node").select("doc_id", "at", F.col("other").alias("node"), F.lit(False).alias("own"), F.col("old").alias("hit"))
+        state = watched.unionByName(rivals).withColumn("accepted", F.lit(None).cast("boolean"))
+        first = lambda which: F.min(F.when(F.col("own") & which, F.col("at")))
         while True:
-            ahead = posts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("node").agg(F.min("at").alias("ahead"))
-            state = open_.join(ahead, "node", "left").join(accepted, "node", "left").groupBy("doc_id").agg(
-                F.max(F.coalesce(F.col("first") < F.col("at"), F.lit(False))).alias("refused"),
-                F.max(F.coalesce(F.col("ahead") < F.col("at"), F.lit(False))).alias("blocked"),
-            )
-            state = cut(state.select("doc_id", F.when(F.col("refused"), False).when(~F.col("blocked"), True).alias("accepted")))
-            taken = state.filter("accepted").select("doc_id")
-            done = done.unionByName(taken)
-            if not state.filter("accepted is null").limit(1).count():
-                return done
-            open_ = cut(open_.join(state.filter("accepted is null").select("doc_id"), "doc_id", "left_semi"))
-            now = posts.join(taken, "doc_id", "left_semi").select("node", F.col("at").alias("first"))
-            accepted = cut(accepted.unionByName(now).groupBy("node").agg(F.min("first").alias("first")))
-
-    def _append(self, canon: DataFrame, posted: DataFrame, posts: DataFrame, part: DataFrame, accepted: DataFrame) -> None:
+            places = state.groupBy("node").agg(first(F.col("accepted")).alias("taken"), first(F.col("accepted").isNull()).alias("ahead"))
+            judged = state.filter("accepted is null").join(places, "node").groupBy("doc_id").agg(
+                F.max(F.col("hit") | F.coalesce(F.col("taken") < F.col("at"), F.lit(False))).alias("refused"), F.max(F.coalesce(F.col("ahead") < F.col("at"), F.lit(False))).alias("blocked")
+            ).select("doc_id", F.when(F.col("refused"), False).when(~F.col("blocked"), True).alias("now"))
+            state = cut(state.join(judged, "doc_id", "left").withColumn("accepted", F.coalesce("accepted", "now")).drop("now"))
+            if state.filter("accepted is null").isEmpty():
+                return state.filter("accepted").select("doc_id").distinct()
+
+    def _append(self, posted: DataFrame, posts: DataFrame, part: DataFrame, accepted: DataFrame) -> None:
         """Add what the accepted records bring: their nodes, the postings of these, the segments of new strings."""
         nodes = part.join(accepted, "doc_id", "left_semi").groupBy("node").agg(F.first("keys").alias("keys"))
-        strings = posted.join(accepted, "doc_id", "left_semi").select("scope", "s").distinct()
-        fresh = canon.filter("not known").join(strings, ["scope", "s"], "left_semi")
-        rows = keyed(segments(fresh.select("scope", "s"), self.tau)).join(fresh.select("scope", "s", "canon"), ["scope", "s"])
-        tables = {"nodes": nodes, "posts": posts.join(nodes.select("node"), "node", "left_semi"), "segments": rows}
+        fresh = posted.filter("not known").join(accepted, "doc_id", "left_semi").groupBy("scope", "s").agg(F.first("canon").alias("canon"))
+        tables = {"nodes": nodes, "posts": posts.filter("not old").join(nodes.select("node"), "node", "left_semi"), "segments": keyed(segments(fresh, self.tau, "canon"))}
         with ThreadPoolExecutor(len(tables)) as writers:  # three small jobs side by side
             for written in [writers.submit(self._write, rows, table) for table, rows in tables.items()]:
                 written.result()
-        self.filled = True
 
 
 def refuse_repetitions(documents: DataFrame, chunks: DataFrame, tau: int = TAU) -> DataFrame:
@@ -326,7 +293,9 @@ def refuse_repetitions(documents: DataFrame, chunks: DataFrame, tau: int = TAU)
     refused = spark.createDataFrame([], "doc_id string")
     for (batch,) in records.select("batch").distinct().orderBy("batch").collect():  # a row per batch
         here = F.col("batch") == batch
-        refused = refused.unionByName(index.take(records.filter(here), hashes.filter(here)).filter("not accepted").select("doc_id"))
+        verdict = cut(index.take(records.filter(here), hashes.filter(here)).filter("not accepted").select("doc_id"))
+        refused = refused.unionByName(verdict)
+        release(spark)
     refused = cut(refused)
     index.drop()
     drop_path(spark, path)

@@ -36,7 +36,7 @@ def test_segment_index_loses_no_match(spark):
     frame = spark.createDataFrame([("s", w) for w in sorted(set(words))], "scope string, s string")
     for tau in (0, 1, 2):
         index = H.keyed(H.segments(frame, tau)).withColumn("canon", F.col("s"))
-        got = {(r.s, r.t) for r in H.bounded_matches(frame, index, [5, 6, 7, 8, 9], tau).collect()}
+        got = {(r.s, r.t) for r in H.verified(H.matches(H.keyed(H.probes(frame, [5, 6, 7, 8, 9], tau)), index), tau).collect()}
         assert got == {(a, b) for a in set(words) for b in set(words) if distance(a, b) <= tau}
 
 
