@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -22,6 +22,8 @@ class EngineConfig:
     chunk_tokens: int = 400
     overlap_sentences: int = 2
     dim: int = 64
+    top_k_dense: int = 20
+    top_k_bm25: int = 20
     top_k_rrf: int = 15
     top_k_rerank: int = 5
     max_contexts: int = 5
@@ -35,17 +37,14 @@ def hash_encoder(dim: int):
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            out = []
-            for text in texts:
-                v = np.zeros(dim, np.float32)
-                for word in (text or "").lower().split():
-                    h = 0
-                    for b in word.encode():
-                        h = (h * 1000003 ^ b) & 0xFFFFFFFF
-                    v[h % dim] += 1.0 if (h >> 16) & 1 else -1.0
-                n = float(np.linalg.norm(v))
-                out.append((v / n if n else v).tolist())
-            yield pd.Series(out)
+            words = [(text or "").lower().split() for text in texts]
+            rows = np.repeat(np.arange(len(words)), [len(w) for w in words])
+            vectors = np.zeros((len(words), dim), np.float32)
+            if len(rows):
+                hashes = pd.util.hash_array(np.array([w for part in words for w in part], object))
+                np.add.at(vectors, (rows, (hashes % np.uint64(dim)).astype(int)), np.where(hashes >> np.uint64(40) & np.uint64(1), 1.0, -1.0).astype(np.float32))
+            norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+            yield pd.Series(list(vectors / np.where(norms > 0, norms, 1)))
 
     return encode
 
@@ -56,6 +55,27 @@ def overlap_reranker(query: Column, chunk: Column) -> Column:
     return F.when(F.size(words) == 0, 0.0).otherwise(F.size(F.array_intersect(words, F.array_distinct(bm25_tokens(chunk)))) / F.size(words))
 
 
+class Reranker(Protocol):
+    """Columns in, a column out: the score of a chunk for a query."""
+
+    def __call__(self, query: Column, chunk: Column) -> Column: ...
+
+
+class Ocr(Protocol):
+    """Reads the text of a page's picture."""
+
+    def read(self, picture: bytes) -> str: ...
+
+
+def ocr_parser(pictures: Callable[[bytes], list[bytes]], ocr: Ocr) -> Callable[[bytes], dict]:
+    """A parser for ``sources.files.parse`` that renders a file to pictures of its pages and reads these."""
+    def parse(content: bytes) -> dict:
+        pages = pictures(content)
+        return {"full_text": "\n".join(ocr.read(p) for p in pages), "structure_tier": 3, "title_source": "none", "page_count": len(pages), "ocr_used": True, "parser_used": "ocr"}
+
+    return parse
+
+
 class Rewriter(Protocol):
     def rewrite(self, query: str) -> str: ...
 
@@ -79,7 +99,8 @@ class EchoModel:
     name = "echo"
 
     def answer(self, system: str, prompt: str) -> str:
-        return next((line for line in prompt.splitlines() if line.strip() and not line.startswith("[")), "")
+        blocks = system.split("\n\n", 1)[-1]
+        return next((line for line in blocks.splitlines() if line.strip() and not line.startswith("[")), "")
 
 
 RULES = "Answer from the documents below only. Name the document you rely on. If they do not hold the answer, say so."
@@ -97,7 +118,7 @@ def generate(query: str, blocks: list[str], sources: list[tuple[str, str]], mode
     system, prompt = prompt_for(query, blocks)
     for model in models:
         try:
-            return {"answer": model.answer(system, prompt + "\n" + "".join(blocks)), "sources": sources, "model_used": model.name}
+            return {"answer": model.answer(system, prompt), "sources": sources, "model_used": model.name}
         except Exception:  # noqa: BLE001 - the next model is asked
             continue
     return {"answer": REFUSAL, "sources": sources, "model_used": "none"}

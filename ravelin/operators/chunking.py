@@ -10,6 +10,7 @@ SEGMENT_TOKENS, PARENT_TOKENS, CHUNK_TOKENS, OVERLAP = 4000, 2500, 400, 2
 LONG_SENTENCE, LONG_PIECE, WORD_SLICE = 2000, 1500, 1000
 #: Fixed value: a piece up to the white space behind its end; leading blanks belong to the piece after them.
 PIECE = r"(?s)\s*(?:[.!?]+\s+|\S.*?(?:[.!?]+\s+|\n{2,}|\z))"
+FENCE = r"(?s)```(\w*)[^\S\n]*\n?(.*?)(?:```|\z)"
 CODE_UNIT = r"(?m)(?=^(?:def |class |function |const \w+ = \([^)]*\) =>))"
 
 
@@ -190,17 +191,23 @@ def code_blocks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
     A fence opens and the next one closes it; one that is never closed runs to the end. Texts
     without a fence are not searched.
     """
-    fence = r"(?s)```(\w*)[^\S\n]*\n?(.*?)(?:```|\z)"
     has = docs.filter(F.contains(F.col(text), F.lit("```")))
-    blocks = F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(fence), 1).alias("lang"), F.regexp_extract_all(F.col(text), F.lit(fence), 2).alias("body"))
+    blocks = F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(FENCE), 1).alias("lang"), F.regexp_extract_all(F.col(text), F.lit(FENCE), 2).alias("body"))
     units = has.select(key, F.posexplode(blocks).alias("block_no", "b")).select(key, "block_no", "b.lang", F.posexplode(F.split("b.body", CODE_UNIT)).alias("unit_no", "unit"))
     kept = units.filter(strip(F.col("unit")) != "")
     chunk = F.concat(F.lit("```"), F.col("lang"), F.lit("\n"), strip(F.col("unit")), F.lit("\n```"))
     chunks = kept.select(key, "block_no", "unit_no", chunk.alias("chunk_text")).withColumn("token_count", token_count(F.col("chunk_text")))
-    rest = docs.withColumn(text, F.when(F.contains(F.col(text), F.lit("```")), F.regexp_replace(F.col(text), fence, "")).otherwise(F.col(text)))
+    rest = docs.withColumn(text, F.when(F.contains(F.col(text), F.lit("```")), F.regexp_replace(F.col(text), FENCE, "")).otherwise(F.col(text)))
     return chunks, rest
 
 
+def without_code(docs: DataFrame, text: str) -> DataFrame:
+    """The texts with line ends in the place of fenced code, as many as it has characters, so that offsets stay."""
+    fences = F.transform(F.regexp_extract_all(F.col(text), F.lit(FENCE), 0), lambda x: F.repeat(F.lit("\n"), F.length(x)))
+    masked = F.array_join(F.zip_with(F.split(F.col(text), FENCE, -1), fences, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
+    return docs.withColumn(text, F.when(F.contains(F.col(text), F.lit("```")), masked).otherwise(F.col(text)))
+
+
 def heading_path(headings: Column) -> Column:
     """Of ``array<struct<level, text, char_offset>>`` in order: for each heading the texts of its open ancestors and itself."""
     begin = F.struct(F.array().cast("array<struct<level:int,text:string>>").alias("stack"), F.array().cast("array<array<string>>").alias("out"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 RRF_K = 60
 
 
-def rrf(hits: DataFrame, key: str, k: int) -> DataFrame:
+def rrf(hits: DataFrame, key: str, k: int, rrf_k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of ``(q_ord, query, src_ord, source, key, rank)``.
 
     ``(key, rrf_score, dense_rank, bm25_rank, matched_queries, retrieval_sources, place)``, the
@@ -15,7 +15,7 @@ def rrf(hits: DataFrame, key: str, k: int) -> DataFrame:
     that order, so the sum does not depend on the shuffle.
     """
     fused = hits.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("q_ord", "src_ord", (F.lit(1.0) / (RRF_K + F.col("rank"))).alias("c")))).alias("parts"),
+        F.sort_array(F.collect_list(F.struct("q_ord", "src_ord", (F.lit(1.0) / (rrf_k + F.col("rank"))).alias("c")))).alias("parts"),
         F.min(F.struct("q_ord", "src_ord", "rank")).alias("first"),
         F.min(F.when(F.col("source") == "dense", F.col("rank"))).alias("dense_rank"),
         F.min(F.when(F.col("source") == "bm25", F.col("rank"))).alias("bm25_rank"),

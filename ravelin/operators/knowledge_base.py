@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ravelin.functions.text import strip, text_hash
-from ravelin.operators.lexical import lengths, postings
+from ravelin.functions.text import bm25_tokens, strip, text_hash
+from ravelin.operators.lexical import index_postings
 from ravelin.operators.ranking import spread_row_number
 from ravelin.session import cut
 
@@ -35,7 +35,7 @@ def cache_misses(chunks: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def embed_chunks(chunks: DataFrame, cache: DataFrame, encode: Callable[[Column], Column], dim: int) -> tuple[DataFrame, DataFrame]:
-    """``(embedded, cache)``: every chunk with its own id and the vector of its text; only misses are encoded.
+    """``(embedded, fresh)``: every chunk with its own id and the vector of its text, and what the cache lacked; only that is encoded.
 
     ``cache``: ``embed_text_hash, dense_vector``. Vectors of another size are rejected, chunks
     without a vector left out.
@@ -43,7 +43,7 @@ def embed_chunks(chunks: DataFrame, cache: DataFrame, encode: Callable[[Column],
     fresh = cut(cache_misses(chunks, cache).select("embed_text_hash", encode(F.col("embed_text")).alias("dense_vector")).filter(F.size("dense_vector") == dim))
     merged = cache.select("embed_text_hash", "dense_vector").unionByName(fresh).dropDuplicates(["embed_text_hash"])
     hashed = chunks.withColumn("embed_text_hash", text_hash(F.col("embed_text")))
-    return hashed.join(merged, "embed_text_hash"), merged
+    return hashed.join(merged, "embed_text_hash"), fresh
 
 
 def retrieval_records(embedded: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,21 +63,16 @@ def assign_ids(records: DataFrame, existing: DataFrame, order: list[str]) -> Dat
     return numbered.join(F.broadcast(top)).withColumn("global_chunk_id", F.col("top") + F.col("n")).drop("top", "n")
 
 
-def alignment(vectors: DataFrame, posts: DataFrame, records: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """One row: the three counts, and whether all are the same with unique ids.
+def alignment(vectors: DataFrame, records: DataFrame, manifest: DataFrame) -> DataFrame:
+    """One row: how many vectors, records and chunks of the manifest (``n_chunks`` of its documents) there are, and whether all are the same with unique ids.
 
-    With ``sizes`` (``global_chunk_id, dl``; 0 for a text without tokens) the lexical count is
-    that of its rows, and the postings must hold just those that have tokens.
+    Whether a text has terms does not matter: one without any is a record with a length of 0.
     """
-    v = vectors.agg(F.count(F.lit(1)).alias("n_vectors"), F.countDistinct("global_chunk_id").alias("n_ids"))
-    p = posts.agg(F.countDistinct("global_chunk_id").alias("n_bm25"))
-    r = records.agg(F.count(F.lit(1)).alias("n_records"))
-    posted = F.lit(True)
-    if sizes is not None:
-        p = p.withColumnRenamed("n_bm25", "n_posted").join(sizes.agg(F.countDistinct("global_chunk_id").alias("n_bm25"), F.count_if(F.col("dl") > 0).alias("n_worded")))
-        posted = F.col("n_posted") == F.col("n_worded")
-    counts = v.join(p).join(r).withColumn("aligned", posted & (F.col("n_vectors") == F.col("n_records")) & (F.col("n_bm25") == F.col("n_records")) & (F.col("n_ids") == F.col("n_records")))
-    return counts.drop("n_posted", "n_worded")
+    v = vectors.agg(F.count(F.lit(1)).alias("n_vectors"))
+    r = records.agg(F.count(F.lit(1)).alias("n_records"), F.countDistinct("global_chunk_id").alias("n_ids"))
+    m = manifest.agg(F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_manifest"))
+    same = (F.col("n_vectors") == F.col("n_records")) & (F.col("n_manifest") == F.col("n_records")) & (F.col("n_ids") == F.col("n_records"))
+    return v.join(r).join(m).withColumn("aligned", same)  # one row each
 
 
 def manifest_stats(manifest: DataFrame) -> DataFrame:
@@ -86,10 +81,10 @@ def manifest_stats(manifest: DataFrame) -> DataFrame:
 
 
 class KnowledgeBase:
-    """Tables of one or many knowledge bases under ``path``, partitioned by ``kb_id``.
+    """Tables of one or many knowledge bases under ``path``, partitioned by ``batch`` and ``kb_id``.
 
-    Appending writes a staging folder per batch, checks the alignment of vectors, postings and
-    records there, and then adds it; a batch written twice replaces itself.
+    Appending writes a batch to a staging folder, checks there that vectors, records and manifest
+    match, and then moves it into place; a batch written twice replaces itself.
     """
 
     TABLES = ("records", "vectors", "postings", "doc_len", "manifest")
@@ -97,13 +92,45 @@ class KnowledgeBase:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def read(self, table: str) -> DataFrame | None:
-        base = f"{self.path}/{table}"
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(base)
-        if not folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+    def _folder(self, path: str):
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def read(self, table: str, kb_id: str | None = None, without: str | None = None) -> DataFrame | None:
+        """A table, of one knowledge base if named, without a batch if named; None if nothing was written yet."""
+        folder, system = self._folder(f"{self.path}/{table}")
+        if not system.exists(folder):
             return None
-        return self.spark.read.parquet(base)
+        rows = self.spark.read.parquet(f"{self.path}/{table}")
+        rows = rows if kb_id is None else rows.filter(F.col("kb_id") == kb_id)
+        return rows if without is None else rows.filter(F.col("batch") != without)
+
+    def fresh(self, documents: DataFrame, batch: str) -> DataFrame:
+        """One row per document that is new by id and hash to its knowledge base; of equal contents the first by id."""
+        known = self.read("manifest", without=batch)
+        new = documents if known is None else unseen(unseen(documents, known, ["kb_id", "doc_id"]), known.filter("content_hash is not null"), ["kb_id", "content_hash"])
+        return cut(first_by_hash(new, "content_hash", ["doc_id"], ["kb_id"]).dropDuplicates(["kb_id", "doc_id"]))
+
+    def put(self, batch: str, tables: dict[str, DataFrame], check: Callable[[dict[str, DataFrame]], None] = lambda staged: None) -> None:
+        """Write the tables of a batch beside, let them be checked as they were written, and move them into place."""
+        staging, staged = f"{self.path}/_staging/{batch}", {}
+        for name, table in tables.items():
+            keyed = [k for k in ("kb_id",) if k in table.columns]
+            table.write.mode("overwrite").partitionBy(*keyed).parquet(f"{staging}/{name}")
+            staged[name] = self.spark.read.schema(table.schema).parquet(f"{staging}/{name}")
+        try:
+            check(staged)
+            for name in tables:
+                source, system = self._folder(f"{staging}/{name}")
+                target, _ = self._folder(f"{self.path}/{name}/batch={batch}")
+                system.delete(target, True)
+                if not staged[name].isEmpty():
+                    system.mkdirs(target.getParent())
+                    if not system.rename(source, target):
+                        raise OSError(f"{source} could not be moved to {target}")
+        finally:
+            folder, system = self._folder(staging)
+            system.delete(folder, True)
 
     def append(self, batch: str, embedded: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
         """Index the documents that are new by id and hash; one row of counts.
@@ -111,23 +138,24 @@ class KnowledgeBase:
         ``embedded``: ``chunk_id, dense_vector, embed_text_hash``; ``documents``: ``kb_id, doc_id,
         content_hash, original_filename``.
         """
-        known, records = self.read("manifest"), self.read("records")
-        fresh = documents if known is None else unseen(unseen(documents, known, ["kb_id", "doc_id"]), known.filter("content_hash is not null"), ["kb_id", "content_hash"])
-        fresh = cut(first_by_hash(fresh, "content_hash", ["doc_id"], ["kb_id"]).dropDuplicates(["kb_id", "doc_id"]))
+        fresh, records = self.fresh(documents, batch), self.read("records", without=batch)
         kept, _ = retrieval_records(embedded, chunks)
         mine = kept.join(fresh.select("kb_id", "doc_id"), "doc_id")
         empty = self.spark.createDataFrame([], "global_chunk_id long")
         numbered = cut(assign_ids(mine, empty if records is None else records, ["kb_id", "doc_id", "chunk_id"]))
-        posts, sizes = cut(postings(numbered, "global_chunk_id", "chunk_text")), lengths(numbered, "global_chunk_id", "chunk_text")
-        staged = {
+        counted = numbered.groupBy("kb_id", "doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+        tables = {
             "records": numbered.drop("dense_vector"), "vectors": numbered.select("kb_id", "global_chunk_id", "dense_vector"),
-            "postings": posts, "doc_len": sizes.withColumn("dl", F.col("dl").cast("long")), "manifest": fresh.withColumn("indexed_at", F.current_timestamp()),
+            "postings": index_postings(numbered, ["kb_id", "global_chunk_id"], "chunk_text").sortWithinPartitions("term"),
+            "doc_len": numbered.select("kb_id", "global_chunk_id", F.size(bm25_tokens(F.col("chunk_text"))).cast("long").alias("dl")),
+            "manifest": fresh.join(counted, ["kb_id", "doc_id"], "left").fillna(0, ["n_chunks"]).withColumn("indexed_at", F.current_timestamp()),
         }
-        checked = alignment(numbered, posts, numbered, sizes).withColumn("n_documents", F.lit(fresh.count()))
-        if not checked.first().aligned and numbered.limit(1).count():
-            raise ValueError("vectors, postings and records do not match; nothing was added")
-        for name, table in staged.items():
-            keyed = "kb_id" in table.columns
-            writer = table.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            writer.partitionBy("batch", *(["kb_id"] if keyed else [])).parquet(f"{self.path}/{name}")
-        return checked
+        done = {}
+
+        def check(staged: dict[str, DataFrame]) -> None:
+            done["row"] = alignment(staged["vectors"], staged["records"], staged["manifest"]).withColumn("n_documents", F.lit(fresh.count())).first()
+            if not done["row"].aligned:
+                raise ValueError("vectors, records and manifest do not match; nothing was added")
+
+        self.put(batch, tables, check)
+        return self.spark.createDataFrame([done["row"]], "n_vectors long, n_records long, n_ids long, n_manifest long, aligned boolean, n_documents int")

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 #: Thresholds and weights of the heading score.
 ACCEPT, DEFAULT_SIZE, LEVEL_GAP = 4.0, 12.0, 1.5
-NUMBERED = r"^\s*(?:\d+(?:\.\d+)*[.)]?|[IVXLC]+\.|[A-Z]\.|(?i:chapter|section|part|appendix)\s+\w+)\s+\S"
-CAPTION = r"(?i)^\s*(?:(?:fig(?:ure|\.)?|table|tab\.)\s*\d|page\s+\d+(\s+of\s+\d+)?\s*$|\d+\s*$)"
+#: What a numbered heading begins with, and what is no heading (captions, page numbers, citations, separators).
+NUMBERED = r"(?iU)^(?:(?:chapter|appendix|section|part|annex)\s+[\dA-Z]|\d+(?:\.\d+)*\.?\s+\S)"
+CAPTION = r"(?iU)^(?:(?:figure|fig\.?|table|tbl\.?|chart|exhibit|plate|scheme)\s*\w|page\s+\d+|\d{1,4}$|(?:et\s+al|ibid|op\.?\s*cit)\b|[\W_]{3,}$)"
 
 
 def font_histogram(spans: DataFrame) -> DataFrame:
@@ -114,3 +115,34 @@ def heading_offsets(headings: DataFrame, page_texts: DataFrame) -> DataFrame:
     begin = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<struct<text:string,at:int>>").alias("out"))
     placed = both.select("doc", "page", "page_start", F.explode(F.aggregate("hs", begin, place, lambda s: s["out"])).alias("h"))
     return placed.select("doc", "page", F.col("h.text").alias("text"), (F.col("page_start") + F.col("h.at")).alias("char_offset"))
+
+
+def toc_headings(toc: DataFrame, page_texts: DataFrame) -> DataFrame:
+    """Headings of a table of contents ``(doc, ord, level, title, page)``: ``(doc, ord, level, text, char_offset)``.
+
+    A title stands where its page has it, else at the page's start; blank titles and pages that
+    are not there are left out. ``page_texts``: ``doc, page, text, page_start``.
+    """
+    listed = toc.select("doc", "ord", "level", F.trim("title").alias("title"), "page").filter("title <> ''")
+    placed = listed.join(page_texts.select("doc", "page", F.col("text").alias("body"), "page_start"), ["doc", "page"])
+    at = F.greatest(F.call_function("locate", F.col("title"), F.col("body")).cast("int") - 1, F.lit(0))
+    return placed.select("doc", "ord", "level", F.col("title").alias("text"), (F.col("page_start") + at).alias("char_offset"))
+
+
+def table_pages(pages: DataFrame) -> DataFrame:
+    """Pages that may hold a table: those with vector drawings, for a page without any has no borders."""
+    return pages.filter("coalesce(n_drawings, 0) > 0")
+
+
+def headings_of(spans: DataFrame, pages: DataFrame, tables: DataFrame, toc: DataFrame, page_texts: DataFrame) -> DataFrame:
+    """``(doc, structure_tier, headings)`` of paged documents: from the table of contents (tier 1), else from scored spans (tier 2)."""
+    listed = toc_headings(toc, page_texts).withColumn("tier", F.lit(1))
+    scored = heading_scores(spans.join(listed.select("doc").distinct(), "doc", "left_anti"), pages, tables).filter("accepted")
+    levels = heading_levels(scored.select("doc", "size"))
+    ord_ = F.row_number().over(W.partitionBy("doc", "page").orderBy("block", "line", "span_no"))
+    ranked = scored.withColumn("text", F.trim("text")).withColumn("ord", ord_).join(levels, ["doc", "size"])
+    levelled = ranked.groupBy("doc", "page", "text").agg(F.min_by("level", "ord").alias("level"))
+    found = heading_offsets(ranked, page_texts).join(levelled, ["doc", "page", "text"]).select("doc", F.lit(0).alias("ord"), "level", "text", "char_offset", F.lit(2).alias("tier"))
+    every = listed.select("doc", "ord", "level", "text", "char_offset", "tier").unionByName(found)
+    rows = F.sort_array(F.collect_list(F.struct(F.col("char_offset").cast("int").alias("char_offset"), "ord", F.col("level").cast("int").alias("level"), "text")))
+    return every.groupBy("doc").agg(F.max("tier").alias("structure_tier"), F.transform(rows, lambda h: F.struct(h["level"].alias("level"), h["text"].alias("text"), h["char_offset"].alias("char_offset"))).alias("headings"))

@@ -241,7 +241,9 @@ def index_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alignment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _indexed(spark, sf_dir)
-    return kb.alignment(records, lexical.postings(records, "global_chunk_id", "chunk_text"), records)
+    vectors = _table(spark, sf_dir, "embedded_chunks").filter(T.valid_vector(F.col("dense_vector"), 64)).select("chunk_id").distinct()
+    vectors = vectors.join(_table(spark, sf_dir, "chunks").select("chunk_id"), "chunk_id", "left_semi")
+    return kb.alignment(vectors, records, records.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks")))
 
 
 def orphan_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,7 +414,10 @@ SELECT query_id, parent_window_id, string_agg(chunk_id, ',' ORDER BY rerank_rank
 SELECT query_id, number, parent_window_id, used FROM used WHERE used <= 8000""",
     "manifest_stats": "SELECT kb_id, count(DISTINCT doc_id) AS total_documents, count(DISTINCT lower(content_hash)) AS total_hashes FROM kb_manifest GROUP BY kb_id",
     "index_records": f"WITH {_INDEXED} SELECT row_number() OVER (ORDER BY doc_id, chunk_id) - 1 AS global_chunk_id, chunk_id, doc_id, chunk_type FROM rec",
-    "alignment_check": f"WITH {_INDEXED} SELECT count(*) AS n_vectors, count(DISTINCT chunk_id) AS n_ids, count(*) FILTER (WHERE regexp_matches(lower(chunk_text), '[a-z0-9]')) AS n_bm25, count(*) AS n_records, n_bm25 = count(*) AS aligned FROM rec",
+    "alignment_check": f"""WITH {_INDEXED}, v AS (SELECT count(DISTINCT chunk_id) AS n FROM embedded_chunks WHERE len(dense_vector) = 64 AND chunk_id IN (SELECT chunk_id FROM chunks)),
+m AS (SELECT sum(n_chunks)::BIGINT AS n FROM (SELECT doc_id, count(*) AS n_chunks FROM rec GROUP BY doc_id))
+SELECT (SELECT n FROM v) AS n_vectors, count(*) AS n_records, count(DISTINCT chunk_id) AS n_ids, (SELECT n FROM m) AS n_manifest,
+  count(*) = (SELECT n FROM v) AND count(*) = (SELECT n FROM m) AND count(*) = count(DISTINCT chunk_id) AS aligned FROM rec""",
     "orphan_embeddings": "SELECT DISTINCT chunk_id FROM embedded_chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks)",
     "text_features": """SELECT doc_id, ceil(length(text) / 4.0)::INT AS tokens, sha256(text) AS hash, length(text) < 100 AS low,
   sha256(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), chr(10)), '^\\s+|\\s+$', '', 'g')) AS clean_hash,

@@ -26,7 +26,12 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def scan(spark: SparkSession, paths: list[str], pattern: str | None = None) -> DataFrame:
-    """Files below the paths: ``path, modificationTime, length, content``."""
+    """Files below the paths: ``path, modificationTime, length, content``; paths that do not exist give none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = [(p, jvm.org.apache.hadoop.fs.Path(p)) for p in paths]
+    paths = [p for p, path in found if path.getFileSystem(conf).globStatus(path)]
+    if not paths:
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(paths)
 
@@ -56,13 +61,17 @@ def unzip(content: bytes, depth: int = 0) -> Iterator[tuple[str, bytes]]:
     for info in archive.infolist():
         if info.is_dir():
             continue
-        total, count = total + info.file_size, count + 1
-        if total > MAX_BYTES or count > MAX_FILES or info.filename.startswith(("/", "\\")) or ".." in re.split(r"[/\\]", info.filename):
+        count += 1
+        if total + info.file_size > MAX_BYTES or count > MAX_FILES or info.filename.startswith(("/", "\\")) or ".." in re.split(r"[/\\]", info.filename):
             return
         try:
-            member = archive.read(info)
+            with archive.open(info) as opened:
+                member = opened.read(MAX_BYTES - total + 1)  # what is really there, whatever the archive says
         except (zipfile.BadZipFile, RuntimeError, NotImplementedError, OSError):
             continue
+        total += len(member)
+        if total > MAX_BYTES:
+            return
         if info.filename.lower().endswith(".zip"):
             yield from unzip(member, depth + 1)
         elif info.filename.lower().endswith(KEPT):
@@ -71,19 +80,19 @@ def unzip(content: bytes, depth: int = 0) -> Iterator[tuple[str, bytes]]:
 
 def expand(files: DataFrame) -> DataFrame:
     """Files with archives replaced by their members: ``(path, original_filename, file_type, content)``; members are named ``archive::member``."""
+    columns = ["path", "original_filename", "file_type", "content"]
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             for path, name, kind, content in zip(batch.path, batch.original_filename, batch.file_type, batch.content):
                 kind = kind_of_zip(content) if kind == "zip" else kind
                 if kind != "zip":
-                    out.append((path, name, kind, content))
+                    yield pd.DataFrame([(path, name, kind, content)], columns=columns)
                     continue
                 for member, inner in unzip(content):
                     head = inner[:8]
                     sort = "unknown" if not inner else "pdf" if head.startswith(b"%PDF") else kind_of_zip(inner) if head.startswith(b"PK\x03\x04") else "doc" if head == bytes.fromhex("D0CF11E0A1B11AE1") else "txt"
-                    out.append((path, f"{name}::{member}", sort, inner))
-            yield pd.DataFrame(out, columns=["path", "original_filename", "file_type", "content"])
+                    yield pd.DataFrame([(path, f"{name}::{member}", sort, inner)], columns=columns)  # a member at a time is held
 
     named = files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("original_filename"), file_type(F.col("content")).alias("file_type"), "content")
     archives = named.filter("file_type = 'zip'").mapInPandas(rows, "path string, original_filename string, file_type string, content binary")

@@ -87,6 +87,13 @@ def test_code_is_fenced_again_and_taken_out(spark):
     assert {r.doc_id: r.text for r in rest.collect()} == {"k": "before\n\nafter ", "n": None, "p": "plain"}
 
 
+def test_code_is_masked_in_place(spark):
+    text = "before\n```python\nx = 1\n```\nafter ```js\nopen"
+    docs = spark.createDataFrame([("k", text), ("n", None), ("p", "plain")], "doc_id string, text string")
+    got = {r.doc_id: r.text for r in C.without_code(docs, "text").collect()}
+    assert len(got["k"]) == len(text) and got["k"].split() == ["before", "after"] and got["k"].index("after") == text.index("after") and got["n"] is None and got["p"] == "plain"
+
+
 def test_heading_paths_and_sections(spark):
     text = "pre\nA\nbody a\nB\nbody b\nC\nbody c"
     heads = [(2, "B", text.index("B\n")), (1, "A", text.index("A\n")), (1, "C", text.index("C\n"))]

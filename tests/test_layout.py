@@ -27,3 +27,19 @@ def test_body_size_of_ties_and_nothing(spark):
     frame = spark.createDataFrame([("d", 1, 0, 0, 0, "abcd", 12.2, False, 0.0, 0.0, 1.0, 1.0), ("d", 1, 0, 1, 0, "efgh", 9.0, False, 0.0, 0.0, 1.0, 1.0)], SPAN)
     assert layout.body_size(frame).first().body == 12.0
     assert layout.body_size(frame.limit(0)).count() == 0
+
+
+def test_headings_from_a_table_of_contents_or_from_spans(spark):
+    spans = [(d, p, 0, n, 0, "plain body text of the page", 10.0, False, 50.0, 200.0 + 12 * n, 300.0, 210.0 + 12 * n) for d in ("t", "s") for p in (1, 2, 3, 4) for n in range(3)]
+    spans += [(d, 2, 1, 9, 0, "2.1 Results", 14.0, True, 50.0, 150.0, 200.0, 164.0) for d in ("t", "s")]
+    pages = spark.createDataFrame([(d, p, 600.0, 800.0, p % 2) for d in ("t", "s") for p in (1, 2, 3, 4)], "doc string, page int, width double, height double, n_drawings int")
+    tables = spark.createDataFrame([], "doc string, page int, x0 double, y0 double, x1 double, y1 double")
+    toc = spark.createDataFrame([("t", 0, 1, "Opening", 1), ("t", 1, 2, " 2.1 Results ", 2), ("t", 2, 1, " ", 3), ("t", 3, 1, "Gone", 9)], "doc string, ord int, level int, title string, page int")
+    texts = spark.createDataFrame([(d, p, "body 2.1 Results" if p == 2 else "body", 100 * p) for d in ("t", "s") for p in (1, 2, 3, 4)], "doc string, page int, text string, page_start int")
+    got = {r.doc: (r.structure_tier, [tuple(h) for h in r.headings]) for r in layout.headings_of(frame(spark, spans), pages, tables, toc, texts).collect()}
+    assert got == {"t": (1, [(1, "Opening", 100), (2, "2.1 Results", 205)]), "s": (2, [(1, "2.1 Results", 205)])}
+    assert layout.table_pages(pages).count() == 4
+
+
+def frame(spark, spans):
+    return spark.createDataFrame(spans, SPAN)

@@ -4,8 +4,8 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from ravelin.functions.plugins import EngineConfig, EchoModel
-from ravelin.operators import knowledge_base as kb
+from ravelin.functions.plugins import EngineConfig, EchoModel, hash_encoder, ocr_parser
+from ravelin.operators import knowledge_base as kb, lexical
 from ravelin.plans import pipeline
 from ravelin.sources import files, tables
 from ravelin.streaming.ingest import file_stream, ingest_stream
@@ -102,8 +102,8 @@ def test_texts_without_latin_letters_are_indexed(spark, tmp_path):
     assert sizes.count() == records.count() == store.read("vectors").count()
     posts = store.read("postings").groupBy("global_chunk_id").agg(F.sum("tf").alias("n"))
     assert sizes.join(posts, "global_chunk_id", "left").filter("dl <> coalesce(n, 0)").count() == 0
-    assert kb.alignment(records, store.read("postings"), records, sizes).first().aligned
-    assert not kb.alignment(records, store.read("postings").limit(1), records, sizes).first().aligned
+    assert kb.alignment(store.read("vectors"), records, store.read("manifest")).first().aligned
+    assert not kb.alignment(store.read("vectors").limit(1), records, store.read("manifest")).first().aligned
 
 
 def test_cache_encodes_each_text_once(spark):
@@ -136,3 +136,45 @@ def test_log_newest_first(spark, tmp_path):
 def test_next_kb(spark):
     rows = spark.createDataFrame([("kb_009",), ("kb_x",), ("brochure",)], "kb_id string")
     assert rows.agg(tables.next_kb(F.col("kb_id")).alias("n")).first().n == "kb_010"
+
+
+def test_paths_that_are_not_there(spark, tmp_path):
+    assert files.scan(spark, [str(tmp_path / "none")]).count() == 0
+
+
+def test_retrieval_stays_in_its_knowledge_base_and_is_logged(spark, tmp_path):
+    base, log = str(tmp_path / "kb"), str(tmp_path / "log")
+    rows = [(f"d{n}", "txt_parser", f"f{n}", f"h{n}", t) for n, t in enumerate(["The ceramic pump needs an inspection. " * 12, "The boiler was cleaned by the clerk. " * 12, "a | b | c | d\ne | f | g | h\ni | j | k | l\n```py\ndef f():\n    return 'fenced'\n```\nThe table stands above. " * 2])]
+    docs = spark.createDataFrame(rows, "doc_id string, parser_used string, original_filename string, content_hash string, full_text string").select(
+        "*", F.lit(None).cast("string").alias("title"), F.array().cast("array<struct<level:int,text:string,char_offset:int>>").alias("headings"), F.array().cast("array<struct<page:int,markdown:string,char_start:int,char_end:int>>").alias("tables")
+    )
+    seen = []
+    encode = hash_encoder(EngineConfig().dim)
+    for batch, kb_id, part in (("b0", "k1", docs.filter("doc_id <> 'd1'")), ("b1", "k2", docs.filter("doc_id <> 'd0'"))):
+        assert pipeline.ingest(spark, base, batch, kb_id, part, encode=encode, progress=lambda p, s: seen.append((p, s))).first().aligned
+    assert seen[0] == (10, "parsing") and seen[-1] == (100, "done")
+    store = kb.KnowledgeBase(spark, base)
+    texts = store.read("records").select("doc_id", "chunk_type", "chunk_text", "kb_id").collect()
+    assert {r.chunk_type for r in texts if r.doc_id == "d2"} == {"table", "code", "text"}
+    assert not any("fenced" in r.chunk_text for r in texts if r.chunk_type == "text")
+    cached = store.read("cache").groupBy("embed_text_hash").count()
+    assert cached.filter("count > 1").count() == 0 and cached.count() == store.read("records").select("embed_text_hash").distinct().count()
+    ranked, _ = pipeline.retrieve(spark, base, docs, "the boiler and the ceramic pump", kb_id="k1", encode=encode)
+    assert ranked.count() and "d1" not in {r.doc_id for r in ranked.collect()}
+    posts = store.read("postings")
+    stored = {(r.global_chunk_id, r.score) for r in lexical.bm25_stored(["ceramic pump the", "boiler"], posts, store.read("doc_len"), "global_chunk_id", 9).collect()}
+    assert stored and stored == {(r.global_chunk_id, r.score) for r in lexical.bm25(["ceramic pump the", "boiler"], store.read("records"), "global_chunk_id", "chunk_text", 9).collect()}
+    got = pipeline.ask(spark, base, docs, "ceramic pump inspection", "k1", [EchoModel()], log)
+    assert got["model_used"] == "echo" and set(got["timings"]) == {"retrieval", "generation"} and "ceramic pump" in got["answer"]
+    assert [r.kb_used for r in tables.read_log(spark, log).collect()] == ["k1"]
+    again = pipeline.ingest(spark, base, "b1", "k2", docs.filter("doc_id <> 'd0'")).first()
+    assert again.aligned and again.n_documents == 2 and store.read("records").count() == len(texts)
+
+
+def test_ocr_is_a_parser(spark):
+    class Reads:
+        def read(self, picture):
+            return picture.decode()
+
+    parse = ocr_parser(lambda content: [content[:4], content[4:]], Reads())
+    assert parse(b"%PDFtext") | {} == {"full_text": "%PDF\ntext", "structure_tier": 3, "title_source": "none", "page_count": 2, "ocr_used": True, "parser_used": "ocr"}
