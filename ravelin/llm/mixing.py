@@ -22,8 +22,9 @@ def flight(share: np.ndarray, size: np.ndarray, rng: np.random.Generator, heavy:
 
     Of three open items a vector in the null space of the two constraints is followed, forwards
     or backwards with the chances that keep every expectation, until one of them is 0 or 1. The
-    first ``heavy`` items (the largest, as the rows come sorted) are settled in pairs before, by
-    the weighted sum alone: beside smaller ones they would stay open to the end.
+    first ``heavy`` items (the largest, as the rows come sorted) are settled among themselves
+    before, for beside smaller ones they would stay open to the end; the last two of them go by the
+    weighted sum alone.
     """
     p = share.astype(float).copy()
     size = size.astype(float)
@@ -49,27 +50,30 @@ def flight(share: np.ndarray, size: np.ndarray, rng: np.random.Generator, heavy:
             p[active] = q + up * u if rng.random() < down / (up + down) else q - down * u
             active = [k for k in active if EPSILON < p[k] < 1 - EPSILON]
 
+    settle(np.arange(min(heavy, len(p))), 3)
     settle(np.arange(min(heavy, len(p))), 2)
     settle(np.arange(len(p)), 3)
     return np.where(p < EPSILON, 0.0, np.where(p > 1 - EPSILON, 1.0, p))
 
 
-def landing(share: np.ndarray, size: np.ndarray, owed: float) -> np.ndarray:
+def landing(share: np.ndarray, size: np.ndarray, owed: float, owed_items: float) -> np.ndarray:
     """0 or 1 for the items that are left open and the settled ones lent to the landing.
 
-    Their size comes nearest to ``owed``; a settled item that changes costs a hundredth of the
-    mean size, so few do.
+    Their size comes nearest to ``owed`` and their number to ``owed_items``, one more or less of
+    which counts as a tenth of the mean size; a settled item that changes costs a hundredth of it,
+    so few do.
     """
     if not len(share):
         return share
     choices = (np.arange(1 << len(share))[:, None] >> np.arange(len(share)) & 1).astype(float)
     settled = (share == 0) | (share == 1)
     changed = (np.abs(choices - share) * settled).sum(axis=1)
-    return choices[np.argmin(np.abs(choices @ size - owed) + 0.01 * size.mean() * changed)]
+    amiss = np.abs(choices @ size - owed) + 0.1 * size.mean() * np.abs(choices.sum(axis=1) - owed_items)
+    return choices[np.argmin(amiss + 0.01 * size.mean() * changed)]
 
 
 def plan(counted: DataFrame, targets: DataFrame) -> DataFrame:
-    """A row per target source: documents, tokens, quota of tokens, whether it can be reached, copies per document.
+    """A row per target source: documents, tokens, quota of tokens, copies per document.
 
     The mix has as many tokens as all documents that have a source; a source's quota is its
     share of them. Sums are made with map-side combine, a row per source.
@@ -78,7 +82,7 @@ def plan(counted: DataFrame, targets: DataFrame) -> DataFrame:
     whole = held.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("whole")).first().whole
     wanted = targets.select(F.col("source").alias("name"), F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats")
     out = wanted.join(held, "source", "left").fillna(0, ["tokens", "documents"])
-    out = out.withColumn("quota", F.col("target_share") * F.lit(float(whole))).withColumn("reachable", F.col("tokens") * F.col("max_repeats") >= F.col("quota"))
+    out = out.withColumn("quota", F.col("target_share") * F.lit(float(whole)))
     return out.withColumn("rate", F.when(F.col("tokens") > 0, F.least(F.col("max_repeats").cast("double"), F.col("quota") / F.col("tokens"))).otherwise(0.0))
 
 
@@ -103,8 +107,9 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: i
     land nearest its quota.
     A source of any size is many blocks; rounds shrink the open items by thousands.
 
-    Report: ``source, target_share, tokens, quota, reachable, reached_tokens, reached_share``. A
-    source that cannot reach its share uses every document ``max_repeats`` times. Null sources,
+    Report: ``source, target_share, tokens, quota, reachable, reached_tokens, reached_share,
+    documents, quota_documents, reached_documents``. A source that cannot reach its share uses every
+    document ``max_repeats`` times; one that came to that and is below its quota is not reachable. Null sources,
     and sources without a target, are not used (the latter count in the total); texts without
     tokens are used like others. Repeated rows of a doc_id are one document. Empty tables give
     no copies and a report of zeros.
@@ -117,7 +122,7 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: i
     used = counted.withColumn("rate", F.try_element_at(rate, F.col("source"))).filter("rate is not null")
     used = used.withColumn("base", F.floor(F.col("rate") + EPSILON)).withColumn("share", F.greatest(F.lit(0.0), F.col("rate") - F.col("base")))
     open_ = used.select("doc_id", "source", "n_tokens", "share")
-    settled, owed, turn = [], cut(open_.groupBy("source").agg(F.sum(F.col("share") * F.col("n_tokens")).alias("owed"))), 0
+    settled, owed, turn = [], cut(open_.groupBy("source").agg(F.sum(F.col("share") * F.col("n_tokens")).alias("owed"), F.sum("share").alias("owed_items"))), 0
     while True:
         sizes = {r.source: r["count"] for r in open_.groupBy("source").count().collect()}
         blocks = {s: max(1, -(-n // block_items)) for s, n in sizes.items()}
@@ -142,11 +147,12 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: i
     lent = lent[0].unionByName(lent[1]).distinct()
     last = cut(open_.unionByName(lent))
     kept = done.join(last.select("doc_id"), "doc_id", "left_anti")
-    reached = kept.groupBy("source").agg(F.sum(F.col("share") * F.col("n_tokens")).alias("got"))
-    rest = last.join(owed.join(reached, "source", "left").select("source", (F.col("owed") - F.coalesce("got", F.lit(0.0))).alias("owed")), "source")
+    reached = kept.groupBy("source").agg(F.sum(F.col("share") * F.col("n_tokens")).alias("got"), F.sum("share").alias("got_items"))
+    left = [(F.col(w) - F.coalesce(g, F.lit(0.0))).alias(w) for w, g in (("owed", "got"), ("owed_items", "got_items"))]
+    rest = last.join(owed.join(reached, "source", "left").select("source", *left), "source")
 
     def land(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.assign(share=landing(rows.share.to_numpy(), rows.n_tokens.to_numpy(), float(rows.owed.iloc[0])).astype(float))[["doc_id", "source", "n_tokens", "share"]]
+        return rows.assign(share=landing(rows.share.to_numpy(), rows.n_tokens.to_numpy(), float(rows.owed.iloc[0]), float(rows.owed_items.iloc[0])).astype(float))[["doc_id", "source", "n_tokens", "share"]]
 
     landed = rest.groupBy("source").applyInPandas(land, "doc_id long, source string, n_tokens long, share double")
     extra = kept.unionByName(landed).select("doc_id", F.col("share").alias("more"))
@@ -154,8 +160,10 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: i
         used.join(extra, "doc_id", "left").select("doc_id", "source", "n_tokens", (F.col("base") + F.coalesce("more", F.lit(0.0))).cast("int").alias("copies"))
         .filter("copies > 0")
     )
-    got = copies.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("reached_tokens"))
+    got = copies.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("reached_tokens"), F.sum("copies").alias("reached_documents"))
     mixed = got.agg(F.sum("reached_tokens").alias("mixed")).first().mixed or 0
-    report = planned.join(got, "source", "left").fillna(0, ["reached_tokens"])
+    report = planned.join(got, "source", "left").fillna(0, ["reached_tokens", "reached_documents"])
+    spent = F.col("reached_documents") >= F.col("documents") * F.col("max_repeats")
     share = F.col("reached_tokens") / F.lit(float(mixed)) if mixed else F.lit(0.0)
-    return copies, report.select(F.col("name").alias("source"), "target_share", "tokens", "quota", "reachable", "reached_tokens", share.alias("reached_share"))
+    return copies, report.select(F.col("name").alias("source"), "target_share", "tokens", "quota", (~spent | (F.col("reached_tokens") >= F.col("quota"))).alias("reachable"), "reached_tokens", share.alias("reached_share"),
+        "documents", (F.col("documents") * F.col("rate")).alias("quota_documents"), "reached_documents")

@@ -91,8 +91,22 @@ def pack(docs: DataFrame, capacity: int, apart: Sequence[tuple[str, str]] = (),
 
 
 def oversized(packed: DataFrame) -> DataFrame:
-    """Documents that filled more than one container."""
-    return packed.filter("piece_no = 1").select("doc_id")
+    """Documents that lie in more than one container."""
+    return packed.groupBy("doc_id").agg(F.min("container_id").alias("first"), F.max("container_id").alias("last")).filter("first <> last").select("doc_id")
+
+
+def conflict_report(packed: DataFrame, docs: DataFrame, capacity: int, apart: Sequence[tuple[str, str]] = (), tokenizer: str = TOKENIZER) -> DataFrame:
+    """One row of what must be 0: containers over their capacity, with copies, with sources kept apart; tokens that are not in the containers."""
+    kinds = token_counts(docs, tokenizer).groupBy("doc_id").agg(F.max(F.struct("n_tokens", "cluster", "source")).alias("d")).select("doc_id", F.col("d.n_tokens").alias("whole"), "d.cluster", "d.source")
+    kinds = cut(kinds)
+    placed = packed.join(kinds, "doc_id").withColumn("cluster", F.when(F.col("token_start") + F.col("n_tokens") == F.col("whole"), F.col("cluster")))
+    bins = placed.groupBy("container_id", "cluster").agg(F.sum("n_tokens").alias("t"), F.count("cluster").alias("copies"), F.collect_set("source").alias("sources"))
+    bins = bins.groupBy("container_id").agg(F.sum("t").alias("t"), F.max("copies").alias("copies"), F.array_distinct(F.flatten(F.collect_list("sources"))).alias("sources"))
+    mixed = F.lit(False)
+    for a, b in apart:
+        mixed = mixed | (F.array_contains("sources", a) & F.array_contains("sources", b))
+    out = bins.agg(F.count_if(F.col("t") > capacity).alias("over_capacity"), F.count_if(F.col("copies") > 1).alias("copies_together"), F.count_if(mixed).alias("sources_together"), F.coalesce(F.sum("t"), F.lit(0)).alias("packed"))
+    return out.join(kinds.agg(F.coalesce(F.sum("whole"), F.lit(0)).alias("given"))).select("over_capacity", "copies_together", "sources_together", (F.col("given") - F.col("packed")).alias("lost_tokens"))  # one row each
 
 
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:

@@ -11,7 +11,7 @@ from ravelin.llm.history import refuse_repetitions
 from ravelin.llm.leximin import leximin_rank
 from ravelin.llm.mixing import mix
 from ravelin.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
-from ravelin.llm.packing import fill_report, oversized, pack
+from ravelin.llm.packing import conflict_report, fill_report, oversized, pack
 from ravelin.llm.scanned import scan_defects, scan_paragraphs
 from ravelin.llm.sentences import split_sentences
 from ravelin.llm.splitting import sized_items, split_oversized
@@ -106,6 +106,14 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p7_containers(spark, sf_dir), _capacity(spark, sf_dir))
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a packing that keeps the first two sources of the mix apart must not have, counted."""
+    docs = _table(spark, sf_dir, "documents")
+    first, second = (r.source for r in _table(spark, sf_dir, "mix_targets").select(F.lower(F.trim("source")).alias("source")).orderBy("source").limit(2).collect())
+    packed = pack(docs, _capacity(spark, sf_dir), apart=[(first, second)])
+    return conflict_report(packed, docs, _capacity(spark, sf_dir), apart=[(first, second)])
+
+
 def p8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is used in the mix."""
     return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[0]
@@ -116,6 +124,14 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each source has its tokens (within 1 %) and its documents (within 2 % or 8), unless all it has was used."""
+    spent = ~F.col("reachable")
+    tokens = F.abs(F.col("reached_tokens") - F.col("quota")) <= 0.01 * F.col("quota")
+    documents = F.abs(F.col("reached_documents") - F.col("quota_documents")) <= F.greatest(F.lit(8.0), 0.02 * F.col("quota_documents"))
+    return p8_shares(spark, sf_dir).select("source", (spent | tokens).alias("tokens_met"), (spent | documents).alias("documents_met"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that cannot reach their share."""
     return p8_shares(spark, sf_dir).filter("not reachable").select("source")
@@ -127,7 +143,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_order, p2_found, p2_paragraphs, p3_found, p4_found, p4_neighbours, p5_found, p5_classes, p6_found, p6_pieces, p7_found, p7_containers, p7_fill, p8_found, p8_copies, p8_shares, p9_found)
+    f.__name__: f for f in (p1_found, p1_order, p2_found, p2_paragraphs, p3_found, p4_found, p4_neighbours, p5_found, p5_classes, p6_found, p6_pieces, p7_found, p7_containers, p7_fill, p7_checks, p8_checks, p8_found, p8_copies, p8_shares, p9_found)
 }
 
 _MARKS = """
@@ -151,5 +167,7 @@ items AS (SELECT 'document' item_kind, doc_id item_id, length(full_text) n FROM
 ORACLE_SQL: dict[str, str] = {
     "p1_found": f"WITH {_MARKS} SELECT query_id, chunk_id FROM placed WHERE place <= 3",
     "p1_order": f"WITH {_MARKS} SELECT query_id, chunk_id, place FROM placed",
+    "p7_checks": "SELECT 0::BIGINT AS over_capacity, 0::BIGINT AS copies_together, 0::BIGINT AS sources_together, 0::BIGINT AS lost_tokens",
+    "p8_checks": "SELECT source, true AS tokens_met, true AS documents_met FROM mix_targets",
     "p6_found": f"WITH {_OVERSIZED} SELECT DISTINCT item_kind, item_id FROM items JOIN size_limits USING (item_kind) WHERE ceil(n / 4.0) > max_tokens",
 }

@@ -67,6 +67,16 @@ def test_flight_keeps_totals(seed, n):
     assert open_.sum() <= 2 and abs(flown.sum() - share.sum()) < 1e-5 and abs(flown @ size - share @ size) < 1e-2
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.integers(0, 600))
+def test_the_shipped_flight_keeps_totals(seed, n):
+    rng = np.random.default_rng(seed)
+    share, size = rng.random(n), np.sort(rng.pareto(1.2, n) * 100).round()[::-1]
+    flown = M.flight(share, size, rng)
+    open_ = (flown > 0) & (flown < 1)
+    assert open_.sum() <= 3 and abs(flown.sum() - share.sum()) < 2 and abs(flown @ size - share @ size) < 1e-6 * (size.sum() + 1)
+
+
 def test_inclusion_chances_are_kept():
     share, size = np.full(6, 0.3), np.array([1.0, 2, 3, 4, 5, 6])
     flown = np.mean([M.flight(share, size, np.random.default_rng(n), heavy=2) for n in range(3000)], axis=0)
