@@ -164,7 +164,45 @@ items AS (SELECT 'document' item_kind, doc_id item_id, length(full_text) n FROM
   FROM parent_windows JOIN docs USING (doc_id)
   UNION ALL SELECT 'chunk', chunk_id, length(chunk_text) FROM chunks)
 """
+_HASH = r"regexp_replace(regexp_replace(lower(trim(content_hash)), '^(sha-?256\s*[:=\-]?\s*|0x)', ''), '[\s:\-]', '', 'g')"
+#: The rule taken record by record: a recursion that carries the accepted records of each knowledge base.
+_REFUSED = f"""
+rows_ AS (SELECT doc_id, coalesce(batch_no, 0) AS b, arrival_no AS a, kb_id, {_HASH} AS h FROM parsed_documents WHERE doc_id IS NOT NULL),
+recs AS (SELECT doc_id, min(row(b, a, kb_id)) AS place, max(CASE WHEN regexp_matches(h, '^[0-9a-f]{{62,66}}$') AND h <> repeat(h[1], length(h)) THEN h END) AS h FROM rows_ GROUP BY doc_id),
+placed AS (SELECT doc_id, h, place[3] AS kb, row_number() OVER (PARTITION BY place[3] ORDER BY place[1], place[2], doc_id) AS n FROM recs),
+own AS (SELECT DISTINCT metadata.doc_id AS doc_id, sha256(embed_text) AS t FROM chunks WHERE embed_text IS NOT NULL),
+held AS (SELECT kb, n, t, count(*) OVER (PARTITION BY kb, n) AS k FROM own JOIN placed USING (doc_id)),
+near AS (SELECT x.kb, x.n, y.n AS m FROM held x JOIN held y ON x.kb = y.kb AND x.t = y.t AND y.n < x.n GROUP BY x.kb, x.n, y.n, x.k, y.k HAVING 2 * count(*) >= least(x.k, y.k)
+  UNION SELECT x.kb, x.n, y.n FROM placed x JOIN placed y ON x.kb = y.kb AND x.h = y.h AND y.n < x.n),
+rivals AS (SELECT p.kb, p.n, list(m) FILTER (WHERE m IS NOT NULL) AS ms FROM placed p LEFT JOIN near USING (kb, n) GROUP BY p.kb, p.n),
+steps AS (SELECT kb, 1::BIGINT AS n, [1::BIGINT] AS kept FROM rivals WHERE n = 1
+  UNION ALL SELECT s.kb, s.n + 1, CASE WHEN list_has_any(s.kept, coalesce(r.ms, [])) THEN s.kept ELSE list_append(s.kept, s.n + 1) END FROM steps s JOIN rivals r ON r.kb = s.kb AND r.n = s.n + 1),
+last_ AS (SELECT kb, arg_max(kept, n) AS kept FROM steps GROUP BY kb)
+"""
+_COSINES = """
+ok AS (SELECT coalesce(lower(embed_text_hash), h) AS hash, dense_vector AS v, generated_at FROM embedded_chunks LEFT JOIN (SELECT DISTINCT chunk_id, sha256(embed_text) AS h FROM chunks) USING (chunk_id)
+  WHERE len(dense_vector) = 64 AND len(list_filter(dense_vector, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(dense_vector, lambda x: x <> 0)) > 0),
+u AS (SELECT hash, arg_max(v, generated_at)::DOUBLE[64] AS v FROM ok WHERE hash IS NOT NULL GROUP BY hash),
+near AS (SELECT a.hash AS x, b.hash AS y, array_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.hash <> b.hash QUALIFY row_number() OVER (PARTITION BY x ORDER BY s DESC, y) <= 5)
+"""
+_SHINGLES = r"""
+recs AS (SELECT 'document' AS record_kind, doc_id AS id, full_text AS t FROM parsed_documents UNION ALL SELECT 'chunk', chunk_id, chunk_text FROM chunks),
+words AS (SELECT DISTINCT record_kind, id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM recs WHERE id IS NOT NULL AND t IS NOT NULL),
+sh AS (SELECT DISTINCT record_kind, id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM words, unnest(range(1, len(w) - 1)) r(i)),
+n AS (SELECT record_kind, id, count(*) AS n FROM sh GROUP BY ALL),
+c AS (SELECT a.record_kind, a.id AS id_a, b.id AS id_b, count(*) AS c FROM sh a JOIN sh b ON a.record_kind = b.record_kind AND a.g = b.g AND a.id < b.id GROUP BY ALL)
+"""
+#: Sizes as bytes over four: what p7_found and p8_found tell lies clearly on one side for every tokenizer.
+_SIZES = """
+doc AS (SELECT doc_id, max(strlen(coalesce(text, ''))) / 4.0 AS t, max(lower(trim(source))) AS source FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+have AS (SELECT source, sum(t) AS t FROM doc WHERE source IS NOT NULL GROUP BY source)
+"""
 ORACLE_SQL: dict[str, str] = {
+    "p3_found": f"WITH RECURSIVE {_REFUSED} SELECT doc_id FROM placed JOIN last_ USING (kb) WHERE NOT list_contains(kept, n)",
+    "p4_found": f"WITH {_COSINES} SELECT a.x AS hash_a, a.y AS hash_b FROM near a JOIN near b ON a.x = b.y AND a.y = b.x WHERE a.x < a.y AND a.s >= 0.92",
+    "p5_found": f"WITH {_SHINGLES} SELECT c.record_kind, id_a, id_b FROM c JOIN n x ON x.record_kind = c.record_kind AND x.id = id_a JOIN n y ON y.record_kind = c.record_kind AND y.id = id_b WHERE 2 * c >= x.n + y.n - c",
+    "p7_found": f"WITH {_SIZES} SELECT doc_id FROM doc WHERE t > (SELECT max_tokens FROM size_limits WHERE item_kind = 'container')",
+    "p8_found": f"WITH {_SIZES} SELECT m.source FROM mix_targets m LEFT JOIN have h ON h.source = lower(trim(m.source)) WHERE coalesce(h.t, 0) * max_repeats < target_share * (SELECT sum(t) FROM have)",
     "p1_found": f"WITH {_MARKS} SELECT query_id, chunk_id FROM placed WHERE place <= 3",
     "p1_order": f"WITH {_MARKS} SELECT query_id, chunk_id, place FROM placed",
     "p7_checks": "SELECT 0::BIGINT AS over_capacity, 0::BIGINT AS copies_together, 0::BIGINT AS sources_together, 0::BIGINT AS lost_tokens",
