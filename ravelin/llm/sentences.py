@@ -18,16 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 SENTENCE = "doc_id long, sent_start int, sent_end int"
 SAMPLE_DOCUMENTS = 2000
 SAMPLE_CHARACTERS = 20_000
-COUNT_SLOTS = 1 << 18
+COUNT_SLOTS = 1 << 19
 WEIGHTS = 1 << 17
 
-#: Abbreviations that stand before what they name or count, and so end no sentence.
-LEADING = frozenset(
-    "dr mr mrs ms prof messrs st fig figs sec app no nos nr abb kap vol ch chap par art cf vgl acc approx incl inkl evtl ca bzw z sr sra srta núm pág p pp mme mlle m éd env "
-    "см рис разд стр с им т δρ βλ εικ κεφ д डॉ श्री د jan feb mar apr jun jul aug sep sept oct nov dec rev gen col capt ing dipl aprox ej mwst hr hrn fr bspw".split()
-)
-#: Words before an ordinal number written with a period.
-ORDINAL_BEFORE = frozenset("am im vom zum beim den der dem des das die zur bis ab seit".split())
 #: Marks that open and close a quotation or bracket.
 PAIRS = {"(": ")", "（": "）", "[": "]", "【": "】", "«": "»", "「": "」", "『": "』", "“": "”", "„": "“", "《": "》"}
 CLOSERS = "".join(sorted({*PAIRS.values(), '"', "”"}))
@@ -249,7 +242,7 @@ def _slot(kind: str, token: str) -> int:
 
 @dataclass
 class Counts:
-    """How often words end and begin paragraphs, stand before a period, and stand anywhere; in fixed space."""
+    """How often words end and begin paragraphs, stand before a period, before a period and a number, behind a question, before a number and a period, and stand anywhere; in fixed space."""
 
     table: np.ndarray
     classes: dict[str, tuple] = field(default_factory=dict)
@@ -261,7 +254,7 @@ class Counts:
             if len(self.classes) > 300_000:
                 self.classes.clear()
             after = self.classes[c.after] = (shape(c.after), self.starts(c.after), _script(c.after[0]) if c.after else "")
-        return c.mark, c.left, context(c), after, c.spaced, c.closed
+        return c.mark, c.left, context(c, self), after, c.spaced, c.closed
 
     def of(self, kind: str, token: str) -> int:
         return int(self.table[_slot(kind, token)])
@@ -270,6 +263,21 @@ class Counts:
         n, last = self.of("p", left), self.of("e", left)
         return "rare" if n < 8 else "never" if last * 400 < n else "seldom" if last * 33 < n else "often"
 
+    def leads(self, left: str) -> bool:
+        """Whether a word is one that stands before what it names or counts: hardly ever without its period, or often with a number behind that, and hardly ever at a paragraph's end. Long words need more evidence."""
+        n = self.of("p", left)
+        return n >= 5 << max(0, len(left) - 4) and self.of("e", left) * 33 < n and (self.of("d", left) * 4 > n or self.of("w", left) * 4 < n * 5)
+
+    def answers(self, left: str) -> bool:
+        """Whether a word with a period is often all that stands behind a question."""
+        n = self.of("q", left)
+        return n >= 3 and n * 20 > self.of("p", left)
+
+    def ordinal(self, before: str) -> bool:
+        """Whether a word stands before a number and a period, as before an ordinal, more often than numbers do at a paragraph's end."""
+        n = self.of("o", before)
+        return n >= 5 and self.of("l", before) * 33 < n
+
     def starts(self, after: str) -> str:
         token = after.rstrip(".,;:!?")
         n, first = self.of("w", token), self.of("s", token)
@@ -280,13 +288,13 @@ class Counts:
         return "rare" if n < 4 else "mostly" if dots * 10 > n * 9 else "half" if dots * 2 > n else "less"
 
 
-def context(c: Candidate) -> str:
+def context(c: Candidate, counts: Counts) -> str:
     """What the word before the last one says: an abbreviation, a question that the last word answers, an ordinal's article."""
     before, left = c.before, c.left
     if left[:1].isdigit():
-        if before.lower() in ORDINAL_BEFORE:
+        if counts.ordinal(before.lower()):
             return "ordinal"
-    elif before and before[-1] in ASKING and before.rstrip(CLOSERS)[-1:] in ("?", "؟", "？") and left.isalpha() and (left.lower() not in LEADING or left.lower() == "no"):
+    elif before and before[-1] in ASKING and before.rstrip(CLOSERS)[-1:] in ("?", "؟", "？") and left.isalpha() and counts.answers(left):
         return "answer"
     return "chain" if before.endswith(".") else "plain"
 
@@ -294,8 +302,8 @@ def context(c: Candidate) -> str:
 def features(c: Candidate, counts: Counts) -> list[int]:
     left, after = shape(c.left), shape(c.after)
     ends, starts, dotted = counts.ends(c.left), counts.starts(c.after), counts.dotted(c.left)
-    chain = context(c)
-    lead = "leading" if c.left.lower().strip(".") in LEADING and c.mark == "." else "other"
+    chain = context(c, counts)
+    lead = "leading" if c.mark == "." and counts.leads(c.left) else "other"
     size = "dots" if "." in c.left.strip(".") else str(min(len(c.left), 5))
     script = f"{_script(c.left[-1]) if c.left else ''}>{_script(c.after[0]) if c.after else ''}"
     mark = "." if c.mark == "." else "strong" if c.mark in "!?؟।॥;wide۔" else c.mark
@@ -324,15 +332,15 @@ def reliable(c: Candidate, counts: Counts) -> int | None:
         return None
     if c.mark in "!?؟।॥;۔":
         return 1 if after in ("upper", "digit", "camel", "letter", "initial") or c.mark in "؟।;" else None
-    if c.before and c.before.rstrip(CLOSERS)[-1:] in "?؟？" and after in ("upper", "camel") and c.left.isalpha() and len(c.left) > 1 and (c.left.lower() not in LEADING or c.left.lower() == "no"):
+    if c.before and c.before.rstrip(CLOSERS)[-1:] in "?؟？" and after in ("upper", "camel") and c.left.isalpha() and len(c.left) > 1 and counts.answers(c.left):
         return 1
-    if c.left.lower().strip(".") in LEADING:
+    if counts.leads(c.left):
         return 0
     if after == "digit" and counts.ends(c.left) == "never" and counts.dotted(c.left) == "mostly":
         return 0
     if c.left and _script(c.left[-1]) == "nagari" and after == "nagari":
         return 0  # the script has a full stop of its own
-    if left == "digit" and c.before.lower() in ORDINAL_BEFORE:
+    if left == "digit" and counts.ordinal(c.before.lower()):
         return 0
     if left == "letter" and c.before.endswith("."):
         return 0
@@ -427,6 +435,10 @@ def boundary_counts(documents: DataFrame) -> Counts:
             words: Counter[str] = Counter()
             first: Counter[str] = Counter()
             last: Counter[str] = Counter()
+            counted: Counter[str] = Counter()
+            answers: Counter[str] = Counter()
+            ordinals: Counter[str] = Counter()
+            numbers: Counter[str] = Counter()
             for text in batch.text:
                 if not text:
                     continue
@@ -436,6 +448,12 @@ def boundary_counts(documents: DataFrame) -> Counts:
                         words.update(parts)
                         first[parts[0]] += 1
                         last[parts[-1]] += 1
+                        counted.update(a for a, b in zip(parts, parts[1:]) if a[-1] == "." and b[0].isdigit())
+                        answers.update(b for a, b in zip(parts, parts[1:]) if b[-1] == "." and (a[-1] in "?؟？" or a[-1] in CLOSERS and a.rstrip(CLOSERS)[-1:] in ("?", "؟", "？")))
+                        numbered = [a for a, b in zip(parts, parts[1:]) if b[-1] == "." and b[:-1].isdigit()]
+                        ordinals.update(numbered)
+                        if numbered and parts[-1][:-1].isdigit() and parts[-1][-1] == ".":
+                            numbers[parts[-2]] += 1
             for word, n in words.items():
                 for token in TOKEN.findall(composed(word)):
                     bare = token.rstrip(".,;:!?…")
@@ -452,6 +470,14 @@ def boundary_counts(documents: DataFrame) -> Counts:
                 if (tokens := TOKEN.findall(composed(word))) and tokens[-1].endswith("."):
                     bare = tokens[-1].rstrip(".")
                     table[_slot("e", bare if len(bare) == 1 and bare.isupper() else bare.lower())] += n
+            for kind, seen in (("d", counted), ("q", answers)):
+                for word, n in seen.items():
+                    if tokens := TOKEN.findall(composed(word)):
+                        bare = tokens[-1].rstrip(".,;:!?…")
+                        table[_slot(kind, bare if len(bare) == 1 and bare.isupper() else bare.lower())] += n
+            for kind, seen in (("o", ordinals), ("l", numbers)):
+                for word, n in seen.items():
+                    table[_slot(kind, word.lower())] += n
         at = np.flatnonzero(table)
         yield pd.DataFrame({"slot": at, "n": table[at]})
 
