@@ -59,8 +59,10 @@ def valid_vector(v: Column, dim: int) -> Column:
 
 
 def sparse_clean(m: Column) -> Column:
-    """Without zero weights."""
-    return F.map_filter(m, lambda k, w: w.isNotNull() & (w != 0))
+    """Without zero weights; keys are stripped, and of equal ones the last stays."""
+    entries = F.transform(F.filter(F.map_entries(m), lambda e: e["value"].isNotNull() & (e["value"] != 0)), lambda e: F.struct(strip(e["key"]).alias("key"), e["value"].alias("value")))
+    later = lambda e, i: F.exists(entries, lambda x: (x["key"] == e["key"]) & (F.array_position(entries, x) > i + 1) & (x != e))
+    return F.map_from_entries(F.array_distinct(F.filter(entries, lambda e, i: ~later(e, i))))
 
 
 def valid_table(markdown: Column) -> Column:

@@ -336,8 +336,68 @@ ctx AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY best
 _INDEXED = """rec AS (SELECT chunk_id, any_value(metadata.doc_id) AS doc_id, any_value(metadata.chunk_type) AS chunk_type, any_value(chunk_text) AS chunk_text FROM chunks
   WHERE chunk_id IN (SELECT chunk_id FROM embedded_chunks WHERE len(dense_vector) = 64) GROUP BY chunk_id)"""
 
+_LAYOUT = f"""{_PARSED}, raw AS (SELECT doc_id AS doc, headings, string_split(full_text, chr(10)) AS ls FROM parsed),
+ln AS (SELECT doc, i - 1 AS n, ls[i] AS text, list_filter(headings, lambda h: h.text = ls[i])[1].level AS level FROM raw, unnest(range(1, len(ls) + 1)) r(i)),
+sp AS (SELECT doc, (n // 40 + 1)::INT AS page, (n % 40)::INT AS line, text, CASE level WHEN 1 THEN 16.0::DOUBLE WHEN 2 THEN 13.0::DOUBLE ELSE 10.0::DOUBLE END AS size, level IS NOT NULL AS bold,
+  60 + (n % 40) * 18.0::DOUBLE AS y0, 72 + (n % 40) * 18.0::DOUBLE AS y1, (60 + least(length(text) * 5, 480))::DOUBLE AS x1, trim(text, ' ') AS t, regexp_replace(lower(trim(text, ' ')), '\\s+', ' ', 'g') AS folded
+  FROM ln WHERE trim(text, ' ') <> ''),
+hist AS (SELECT doc, size, sum(length(text)) AS c, min((page, line)) AS f FROM sp GROUP BY doc, size),
+body AS (SELECT doc, size AS body FROM hist QUALIFY row_number() OVER (PARTITION BY doc ORDER BY c DESC, f) = 1),
+pg AS (SELECT doc, count(DISTINCT page) AS pages FROM sp GROUP BY doc),
+share AS (SELECT doc, folded, count(DISTINCT page) * 1.0 / any_value(pages) AS share FROM sp JOIN pg USING (doc) GROUP BY doc, folded),
+box AS (SELECT doc, page, min(y0) AS ty0, max(y1) AS ty1, max(x1) AS tx1 FROM sp WHERE text LIKE '|%' GROUP BY doc, page),
+zone AS (SELECT doc, page, 0.0 AS a, 40.0 AS b FROM sp UNION SELECT doc, page, 760.0, 800.0 FROM sp
+  UNION SELECT doc, page, a, b FROM (SELECT DISTINCT doc, page, line, size, y0, y1 FROM sp WHERE page <= 3), (VALUES (0.0, 96.0), (704.0, 800.0)) v(a, b) WHERE (y0 + y1) / 2 BETWEEN a AND b
+  GROUP BY doc, page, a, b HAVING count(DISTINCT line) BETWEEN 2 AND 8 AND count(DISTINCT size) > 1),
+dense AS (SELECT doc, page, size FROM sp GROUP BY doc, page, size HAVING count(DISTINCT line) > 4),
+full_ AS (SELECT doc, page FROM sp GROUP BY doc, page HAVING count(*) > 20),
+j AS (SELECT sp.*, size / body AS ratio, share, EXISTS (SELECT 1 FROM box b WHERE b.doc = sp.doc AND b.page = sp.page AND 60 < tx1 AND x1 > 60 AND y0 < ty1 AND y1 > ty0) AS in_table,
+  EXISTS (SELECT 1 FROM zone z WHERE z.doc = sp.doc AND z.page = sp.page AND (y0 + y1) / 2 BETWEEN a AND b) AS in_zone,
+  EXISTS (SELECT 1 FROM dense d JOIN full_ f ON f.doc = d.doc AND f.page = d.page WHERE d.doc = sp.doc AND d.page = sp.page AND d.size = sp.size) AS thick,
+  regexp_matches(t, '(?i)^(?:(?:chapter|appendix|section|part|annex)\\s+[\\dA-Z]|\\d+(?:\\.\\d+)*\\.?\\s+\\S)') AS numbered FROM sp JOIN body USING (doc) JOIN share USING (doc, folded)),
+sc AS (SELECT doc, page, line, CASE WHEN length(t) < 2 OR length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g')) < 2 OR (ratio < 1.05 AND NOT bold AND NOT numbered)
+    OR regexp_matches(t, '(?i)^(?:(?:figure|fig\\.?|table|tbl\\.?|chart|exhibit|plate|scheme)\\s*[\\p{{L}}\\p{{N}}_]|page\\s+\\d+|\\d{{1,4}}$|(?:et\\s+al|ibid|op\\.?\\s*cit)\\b|[^\\p{{L}}\\p{{N}}]{{3,}}$)') THEN 0.0::DOUBLE
+  ELSE (ratio >= 1.1)::INT * 1.5::DOUBLE + (ratio >= 1.3)::INT * 1.0 + bold::INT * 1.5 + numbered::INT * 2.0 + (length(t) <= 80)::INT * 1.0 + (abs((60 + x1) / 2 - 300) <= 90 AND length(t) <= 120)::INT * 0.5
+    + (length(t) > 3 AND upper(t) = t AND lower(t) <> t)::INT * 0.5 - (share >= 0.3)::INT * 3.5 - in_table::INT * 5.0 - in_zone::INT * 2.5 - thick::INT * 1.5 END AS score FROM j)"""
+_SECTIONS = f"""{_PARSED}, hs AS (SELECT doc_id, full_text AS x, length(full_text) AS n, list_sort(list_transform(range(1, len(coalesce(headings, [])) + 1), lambda i: {{'o': headings[i].char_offset, 'i': i, 'l': headings[i].level, 't': headings[i].text}})) AS h FROM parsed WHERE full_text IS NOT NULL),
+hd AS (SELECT doc_id, k, h[k].l AS l, h[k].t AS t FROM hs, unnest(range(1, len(h) + 1)) r(k)),
+paths AS (SELECT a.doc_id, a.k, string_agg(b.t, ' > ' ORDER BY b.k) AS path FROM hd a JOIN hd b ON a.doc_id = b.doc_id AND b.k <= a.k
+  AND NOT EXISTS (SELECT 1 FROM hd c WHERE c.doc_id = a.doc_id AND c.k > b.k AND c.k <= a.k AND c.l <= b.l) GROUP BY a.doc_id, a.k),
+sec AS (SELECT doc_id, k, x, CASE WHEN k = 0 THEN 0 ELSE least(h[k].o, n) END AS a, coalesce(least(h[k + 1].o, n), n) AS b FROM hs, unnest(range(0, len(h) + 1)) r(k)),
+body AS (SELECT doc_id, k, a, b, regexp_replace(substring(x, a + 1, b - a), '^\\s+|\\s+$', '', 'g') AS y FROM sec WHERE b > a),
+par AS (SELECT doc_id, k, a, b, CASE WHEN ceil(length(y) / 4.0) > 4000 THEN string_split(y, chr(10) || chr(10)) ELSE [y] END AS ps FROM body WHERE y <> ''),
+it AS (SELECT doc_id, k, a, b, i, ps[i] AS p, ceil(length(ps[i]) / 4.0)::INT AS t FROM par, unnest(range(1, len(ps) + 1)) r(i)),
+f AS (SELECT doc_id, k, i, 1::BIGINT AS s, t::BIGINT AS m FROM it WHERE i = 1
+  UNION ALL SELECT f.doc_id, f.k, it.i, CASE WHEN f.m + it.t > 4000 THEN it.i ELSE f.s END, CASE WHEN f.m + it.t > 4000 THEN it.t ELSE f.m + it.t END FROM f JOIN it ON it.doc_id = f.doc_id AND it.k = f.k AND it.i = f.i + 1),
+g AS (SELECT doc_id, k, a, b, s, string_agg(p, chr(10) || chr(10) ORDER BY i) AS z FROM f JOIN it USING (doc_id, k, i) GROUP BY doc_id, k, a, b, s)"""
+_STARTS = f"""{_PARSED}, tb AS (SELECT doc_id, full_text AS x, i, tables[i].char_start AS given,
+  coalesce(list_filter(regexp_split_to_array(tables[i].markdown, '[|\\s]+'), lambda w: length(w) > 1 AND NOT regexp_matches(w, '^[-:|]+$'))[1], '') AS w FROM parsed, unnest(range(1, len(tables) + 1)) r(i)),
+f AS (SELECT doc_id, 0::BIGINT AS i, 0 AS place, 0 AS c FROM tb WHERE i = 1
+  UNION ALL SELECT doc_id, i, place, place + length(w) FROM (SELECT tb.doc_id, tb.i, w, coalesce(given, CASE WHEN w = '' THEN c WHEN strpos(substring(x, c + 1), w) > 0 THEN c + strpos(substring(x, c + 1), w) - 1
+    WHEN strpos(x, w) > 0 THEN strpos(x, w) - 1 ELSE c END)::INT AS place FROM f JOIN tb ON tb.doc_id = f.doc_id AND tb.i = f.i + 1))"""
+_ANSWERS = r"""asked AS (SELECT * FROM (VALUES (1, E'```json\n["a one", "q", " ", "b two"]\n```', 'q'), (2, E'- first\n* second\n1. third\n2) fourth\n\n', 'q'), (3, '["x", "y"]', 'q'), (4, '', 'q')) v(id, response, query)),
+bare AS (SELECT id, query, regexp_replace(regexp_replace(regexp_replace(response, '^\s+|\s+$', '', 'g'), '^```(?:json)?\s*|\s*```$', '', 'g'), '^\s+|\s+$', '', 'g') AS b FROM asked),
+items AS (SELECT id, query, CASE WHEN starts_with(b, '[') THEN b::JSON::VARCHAR[] ELSE list_transform(string_split(b, chr(10)), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^(?:[-*]\s+|\d+[.)]\s*)', ''), '^\s+|\s+$', '', 'g')) END AS xs FROM bare),
+vs AS (SELECT id, list_concat([query], list_filter(xs, lambda x: trim(x) <> '' AND x <> query))[1:4] AS v FROM items)"""
+
+_TABLE_ROWS = f"""{_PARSED}, tc AS (SELECT doc_id, i, tables[i].markdown AS m, list_filter(string_split(tables[i].markdown, chr(10)), lambda x: regexp_matches(x, '\\S')) AS l FROM parsed, unnest(range(1, len(tables) + 1)) r(i)
+  WHERE len(list_filter(regexp_split_to_array(tables[i].markdown, '[|\\s]+'), lambda x: NOT regexp_matches(x, '^[-: ]*$') AND NOT regexp_matches(x, '^Col\\d+$'))) >= 4),
+hd AS (SELECT *, CASE WHEN len(l) > 1 AND contains(l[2], '---') THEN 2 ELSE 1 END AS k, ceil(length(m) / 4.0) <= 100 OR len(l) <= 3 AS whole FROM tc WHERE len(l) > 0),
+rw AS (SELECT doc_id, i, m, whole, array_to_string(l[1:k], chr(10)) AS h, l[k + 1:] AS rs FROM hd),
+it AS (SELECT doc_id, i, j, rs[j] AS p, ceil(length(rs[j]) / 4.0)::INT AS t, ceil(length(h) / 4.0)::INT AS c FROM rw, unnest(range(1, len(rs) + 1)) r(j) WHERE NOT whole),
+f AS (SELECT doc_id, i, j, 1::BIGINT AS s, t::BIGINT AS n FROM it WHERE j = 1
+  UNION ALL SELECT f.doc_id, f.i, it.j, CASE WHEN f.n + it.t + it.c > 100 THEN it.j ELSE f.s END, CASE WHEN f.n + it.t + it.c > 100 THEN it.t ELSE f.n + it.t END FROM f JOIN it ON it.doc_id = f.doc_id AND it.i = f.i AND it.j = f.j + 1),
+g AS (SELECT doc_id, i, s, string_agg(p, chr(10) ORDER BY j) AS z FROM f JOIN it USING (doc_id, i, j) GROUP BY doc_id, i, s),
+pc AS (SELECT doc_id, 0 AS chunk_no, m AS z FROM rw WHERE whole UNION ALL SELECT g.doc_id, (row_number() OVER (PARTITION BY g.doc_id, g.i ORDER BY s) - 1)::INT, h || chr(10) || z FROM g JOIN rw USING (doc_id, i))"""
+
 
 ORACLE_SQL: dict[str, str] = {
+    "table_chunks": f"WITH RECURSIVE {_TABLE_ROWS} SELECT doc_id, chunk_no::INT AS chunk_no, ceil(length(z) / 4.0)::INT AS token_count, sha256(z) AS chunk_hash FROM pc",
+    "heading_scores": f"WITH {_LAYOUT} SELECT doc, page, line, score, score >= 4 AS accepted FROM sc WHERE score <> 0",
+    "heading_segments": f"""WITH RECURSIVE {_SECTIONS} SELECT g.doc_id, coalesce(path, '') AS path, a::INT AS char_start, b::INT AS char_end, (row_number() OVER (PARTITION BY g.doc_id, k ORDER BY s) - 1)::INT AS part_no,
+  sha256(z) AS segment_hash, ceil(length(z) / 4.0)::INT AS token_count FROM g LEFT JOIN paths USING (doc_id, k)""",
+    "table_starts": f"WITH RECURSIVE {_STARTS} SELECT doc_id, (i - 1)::INT AS table_no, place AS char_start FROM f WHERE i > 0",
+    "rewrite_parse": f"WITH {_ANSWERS} SELECT id, (i - 1)::INT AS pos, v[i] AS variant FROM vs, unnest(range(1, len(v) + 1)) r(i)",
     "tokenize_tf": f"WITH {_TF} SELECT doc_id, term, tf FROM tf",
     "bm25_term_stats": f"WITH {_IDF} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_topk": f"WITH {_BM25} SELECT doc_id, score, rank FROM lex WHERE q_ord = 0 AND rank <= 10",

@@ -98,3 +98,8 @@ def test_generation_falls_back_and_refuses():
     assert generate("q", [], [], [EchoModel()]) == {"answer": REFUSAL, "sources": [], "model_used": "none"}
     got = generate("q", ["[Document 1] d\ntext\n"], [("d", "w")], [Broken(), EchoModel()])
     assert got["model_used"] == "echo" and got["sources"] == [("d", "w")]
+
+
+def test_sparse_keys_are_stripped_and_the_last_stays(spark):
+    row = spark.sql("SELECT map(' a', 1.0D, 'b', 2.0D, 'a ', 3.0D, 'c', 0.0D, 'd', 2.0D) AS m, map() AS e").select(T.sparse_clean(F.col("m")).alias("m")).first()
+    assert row.m == {"a": 3.0, "b": 2.0, "d": 2.0}
