@@ -169,6 +169,13 @@ class HistoryIndex:
         the same hash; those of another length than ``lengths`` say nothing. Records without
         hashes match by content only. Nulls: a null scope is the scope of nulls; a record with a
         null doc_id is ignored, null hashes say nothing.
+        """
+        refused = self.refused(records, hashes).withColumn("accepted", F.lit(False))
+        recs = records.filter("doc_id is not null").select("doc_id", "scope")
+        return recs.join(refused, "doc_id", "left").select("doc_id", "scope", F.coalesce("accepted", F.lit(True)).alias("accepted"))
+
+    def refused(self, records: DataFrame, hashes: DataFrame) -> DataFrame:
+        """As ``take``, but only the records that are refused, ``(doc_id)``.
 
         A batch is one slice unless a hash has more than ``MEETING`` sets that look for partners
         under it: then the records up to there are settled and appended first, and the others,
@@ -181,18 +188,18 @@ class HistoryIndex:
         posted = own.unionByName(recs.filter("bytes is not null").select("doc_id", "at", F.concat(F.lit("b/"), "scope").alias("scope"), F.col("bytes").alias("s")))
         posted = cut(posted.join(self._canonical(posted.select("scope", "s").distinct()), ["scope", "s"]))
         sets = posted.groupBy("doc_id", "scope", "at").agg(F.array_sort(F.collect_set(F.xxhash64("scope", "canon"))).alias("keys"))
-        left = owns = cut(sets.select("doc_id", "at", F.xxhash64("scope", "keys").alias("node"), "keys"))
-        accepted = recs.join(owns, "doc_id", "left_anti").select("doc_id")
+        left = cut(sets.select("doc_id", "at", F.xxhash64("scope", "keys").alias("node"), "keys"))
+        refused = self.spark.createDataFrame([], "doc_id string")
         while True:
             posts = self._posts(left)
             until = self._until(posts, left)
             part = left if until is None else cut(left.filter(F.col("at") < until))
             here = posts if until is None else posts.join(part.select("node").withColumn("old", F.lit(False)).distinct(), ["node", "old"], "left_semi").unionByName(posts.filter("old"))
-            taken = self._resolve(part, self._links(here, part))
-            self._append(posted, posts, part, taken)
-            accepted = accepted.unionByName(taken)
+            state = self._resolve(part, self._links(here, part))
+            self._append(posted, posts, part, state.filter("accepted").select("doc_id").distinct())
+            refused = refused.unionByName(state.filter("not accepted").select("doc_id").distinct())
             if until is None:
-                return recs.select("doc_id", "scope").join(accepted.withColumn("accepted", F.lit(True)), "doc_id", "left").select("doc_id", "scope", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+                return refused
             left = cut(left.join(part.select("doc_id").distinct(), "doc_id", "left_anti"))
 
     def _posts(self, owns: DataFrame) -> DataFrame:
@@ -210,6 +217,8 @@ class HistoryIndex:
 
     def _until(self, posts: DataFrame, left: DataFrame) -> Column | None:
         """The place from which on records wait, because too many before it meet under one string; None if none do."""
+        if (posts.filter("lead and not old").agg(F.max("df")).first()[0] or 0) <= MEETING:
+            return None
         leads = posts.filter("lead and not old and df > 1")
         hot = leads.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > MEETING)
         if hot.isEmpty():
@@ -239,7 +248,7 @@ class HistoryIndex:
         return linked.select("old", F.explode(ways).alias("w")).select("w.node", "w.other", "old")
 
     def _resolve(self, owns: DataFrame, links: DataFrame) -> DataFrame:
-        """Greedy acceptance in order, ``(doc_id)``, in rounds over the records still open.
+        """Greedy acceptance in order, ``(doc_id, accepted, ...)``, in rounds over the records still open.
 
         Only the earliest accepted record of a node can matter to later ones, so a round compares
         each record with one place per node, never the pairs of a group of copies. A record with an
@@ -256,7 +265,7 @@ class HistoryIndex:
             ).select("doc_id", F.when(F.col("refused"), False).when(~F.col("blocked"), True).alias("now"))
             state = cut(state.join(judged, "doc_id", "left").withColumn("accepted", F.coalesce("accepted", "now")).drop("now"))
             if state.filter("accepted is null").isEmpty():
-                return state.filter("accepted").select("doc_id").distinct()
+                return state
 
     def _append(self, posted: DataFrame, posts: DataFrame, part: DataFrame, accepted: DataFrame) -> None:
         """Add what the accepted records bring: their nodes, the postings of these, the segments of new strings."""
@@ -293,8 +302,7 @@ def refuse_repetitions(documents: DataFrame, chunks: DataFrame, tau: int = TAU)
     refused = spark.createDataFrame([], "doc_id string")
     for (batch,) in records.select("batch").distinct().orderBy("batch").collect():  # a row per batch
         here = F.col("batch") == batch
-        verdict = cut(index.take(records.filter(here), hashes.filter(here)).filter("not accepted").select("doc_id"))
-        refused = refused.unionByName(verdict)
+        refused = refused.unionByName(index.refused(records.filter(here), hashes.filter(here)))
         release(spark)
     refused = cut(refused)
     index.drop()
