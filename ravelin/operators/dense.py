@@ -24,3 +24,13 @@ def dense_topk(queries: dict[int, list[float]], vectors: DataFrame, key: str, ve
     scored = usable.select(key, "v", F.explode(asked).alias("a")).select(F.col("a.q_ord").alias("q_ord"), key, F.round(dot(F.col("v"), F.col("a.q")), 6).alias("score"))
     order = W.partitionBy("q_ord").orderBy(F.col("score").desc(), key)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def dense_search(queries: dict[int, list[float]], vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """``dense_topk`` of any number of queries: in blocks of ``MOST_QUERIES``, each a pass over the vectors."""
+    listed = sorted(queries.items())
+    blocks = [dict(listed[at : at + MOST_QUERIES]) for at in range(0, max(1, len(listed)), MOST_QUERIES)]
+    found = [dense_topk(block, vectors, key, vector, k) for block in blocks]
+    for more in found[1:]:
+        found[0] = found[0].unionByName(more)
+    return found[0]

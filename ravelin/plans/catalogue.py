@@ -51,6 +51,12 @@ def embedding_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(T.valid_vector(F.col("dense_vector"), 64).alias("valid"), F.coalesce(F.size("sparse_vector") == 0, F.lit(True)).alias("no_sparse")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _every_50th(spark: SparkSession, sf_dir: str) -> dict[int, list[float]]:
+    """The stated query set: every vector whose id 50 divides."""
+    rows = _table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 50 == 0).select("vec_id", "embedding").collect()
+    return {int(r.vec_id): list(r.embedding) for r in rows}
+
+
 def _query_vectors(spark: SparkSession, sf_dir: str, n: int) -> dict[int, list[float]]:
     rows = _table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < n).select("vec_id", "embedding").limit(n).collect()  # n rows by key
     return {int(r.vec_id): list(r.embedding) for r in rows}
@@ -62,7 +68,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = dense.dense_topk(_query_vectors(spark, sf_dir, QUERY_VECTORS), _table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20)
+    hits = dense.dense_search(_every_50th(spark, sf_dir), _table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20)
     return hits.select(F.col("q_ord").cast("int").alias("q_ord"), "vec_id", "score", "rank")
 
 
@@ -407,7 +413,7 @@ ORACLE_SQL: dict[str, str] = {
 SELECT chunk_id, round(n, 5) AS norm, CASE WHEN n = 0 THEN 0.0 ELSE 1.0 END AS unit_norm FROM v""",
     "embedding_validation": "SELECT coalesce(len(dense_vector) = 64, false) AS valid, coalesce(cardinality(sparse_vector) = 0, true) AS no_sparse, count(*) AS n FROM embedded_chunks GROUP BY ALL",
     "dense_topk": f"WITH {_DENSE} SELECT vec_id, score, rank FROM den WHERE q_ord = 0 AND rank <= 10",
-    "dense_multi_query": f"WITH {_DENSE} SELECT q_ord::INT AS q_ord, vec_id, score, rank FROM den WHERE rank <= 20",
+    "dense_multi_query": f"WITH {_DENSE.replace('vec_id < 4', 'vec_id % 50 = 0')} SELECT q_ord::INT AS q_ord, vec_id, score, rank FROM den WHERE rank <= 20",
     "rrf_fusion": f"WITH {_fused_sql(1, 15)} SELECT id, rrf_score, coalesce(dense_rank, 0) AS dense_rank, coalesce(bm25_rank, 0) AS bm25_rank, place FROM placed",
     "rrf_multi_query": f"WITH {_fused_sql(4, 50)} SELECT id, rrf_score, coalesce(dense_rank, 0) AS dense_rank, coalesce(bm25_rank, 0) AS bm25_rank, n_queries, sources, place FROM placed",
     "hydrate": f"WITH {_fused_sql(1, 15)} SELECT doc_id, title, source, sha256(text) AS text_hash, place FROM placed JOIN documents ON id = doc_id",
