@@ -78,10 +78,10 @@ def plan(counted: DataFrame, targets: DataFrame) -> DataFrame:
     The mix has as many tokens as all documents that have a source; a source's quota is its
     share of them. Sums are made with map-side combine, a row per source.
     """
-    held = counted.filter("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
+    held = counted.filter("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("n_tokens").alias("largest"))
     whole = held.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("whole")).first().whole
     wanted = targets.select(F.col("source").alias("name"), F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats")
-    out = wanted.join(held, "source", "left").fillna(0, ["tokens", "documents"])
+    out = wanted.join(held, "source", "left").fillna(0, ["tokens", "documents", "largest"])
     out = out.withColumn("quota", F.col("target_share") * F.lit(float(whole)))
     return out.withColumn("rate", F.when(F.col("tokens") > 0, F.least(F.col("max_repeats").cast("double"), F.col("quota") / F.col("tokens"))).otherwise(0.0))
 
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: i
     A source of any size is many blocks; rounds shrink the open items by thousands.
 
     Report: ``source, target_share, tokens, quota, reachable, reached_tokens, reached_share,
-    documents, quota_documents, reached_documents``. A source that cannot reach its share uses every
+    largest, documents, quota_documents, reached_documents`` (``largest``: tokens of the largest document). A source that cannot reach its share uses every
     document ``max_repeats`` times; one that came to that and is below its quota is not reachable. Null sources,
     and sources without a target, are not used (the latter count in the total); texts without
     tokens are used like others. Repeated rows of a doc_id are one document. Empty tables give
@@ -166,4 +166,4 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: i
     spent = F.col("reached_documents") >= F.col("documents") * F.col("max_repeats")
     share = F.col("reached_tokens") / F.lit(float(mixed)) if mixed else F.lit(0.0)
     return copies, report.select(F.col("name").alias("source"), "target_share", "tokens", "quota", (~spent | (F.col("reached_tokens") >= F.col("quota"))).alias("reachable"), "reached_tokens", share.alias("reached_share"),
-        "documents", (F.col("documents") * F.col("rate")).alias("quota_documents"), "reached_documents")
+        "largest", "documents", (F.col("documents") * F.col("rate")).alias("quota_documents"), "reached_documents")

@@ -125,9 +125,9 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each source has its tokens (within 1 %) and its documents (within 2 % or 8), unless all it has was used."""
+    """Whether each source has its tokens (within 1 % or half its largest document, as few documents allow no less) and its documents (within 2 % or 8), unless all it has was used."""
     spent = ~F.col("reachable")
-    tokens = F.abs(F.col("reached_tokens") - F.col("quota")) <= 0.01 * F.col("quota")
+    tokens = F.abs(F.col("reached_tokens") - F.col("quota")) <= F.greatest(0.01 * F.col("quota"), F.col("largest") / 2)
     documents = F.abs(F.col("reached_documents") - F.col("quota_documents")) <= F.greatest(F.lit(8.0), 0.02 * F.col("quota_documents"))
     return p8_shares(spark, sf_dir).select("source", (spent | tokens).alias("tokens_met"), (spent | documents).alias("documents_met"))
 
