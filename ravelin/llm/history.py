@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ravelin.session import cut, drop_path, release, scratch_path
+from ravelin.session import cut, drop_path, planned_once, release, scratch_path
 
 TAU = 1
 ORDER = ("batch_no", "arrival_no", "doc_id")
 #: The most sets of a slice that may look for partners under one hash.
 MEETING = 256
+#: Records and hashes of a batch to a partition of its steps, of which there are no more than the session's shuffle partitions.
+SHARE = 2048
 #: Lengths of the strings of an index, unless given: a SHA-256 in hex, and up to two digits lost or added.
 LENGTHS = (62, 63, 64, 65, 66)
 #: Table, columns (the first is the one its buckets are made by).
@@ -189,7 +192,7 @@ class HistoryIndex:
         posted = cut(posted.join(self._canonical(posted.select("scope", "s").distinct()), ["scope", "s"]))
         sets = posted.groupBy("doc_id", "scope", "at").agg(F.array_sort(F.collect_set(F.xxhash64("scope", "canon"))).alias("keys"))
         left = cut(sets.select("doc_id", "at", F.xxhash64("scope", "keys").alias("node"), "keys"))
-        refused = self.spark.createDataFrame([], "doc_id string")
+        refused = []
         while True:
             posts = self._posts(left)
             until = self._until(posts, left)
@@ -197,9 +200,9 @@ class HistoryIndex:
             here = posts if until is None else posts.join(part.select("node").withColumn("old", F.lit(False)).distinct(), ["node", "old"], "left_semi").unionByName(posts.filter("old"))
             state = self._resolve(part, self._links(here, part))
             self._append(posted, posts, part, state.filter("accepted").select("doc_id").distinct())
-            refused = refused.unionByName(state.filter("not accepted").select("doc_id").distinct())
+            refused.append(state.filter("not accepted").select("doc_id").distinct())
             if until is None:
-                return refused
+                return reduce(DataFrame.unionByName, refused)
             left = cut(left.join(part.select("doc_id").distinct(), "doc_id", "left_anti"))
 
     def _posts(self, owns: DataFrame) -> DataFrame:
@@ -297,14 +300,19 @@ def refuse_repetitions(documents: DataFrame, chunks: DataFrame, tau: int = TAU)
     staged = {"records": records, "hashes": hashes.join(records.select("doc_id", "batch_no"), "doc_id")}
     for name, rows in staged.items():  # each batch by itself, as it would arrive
         rows.withColumn("batch", F.col("batch_no")).repartition("batch", F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.partitionBy("batch").parquet(f"{path}/{name}")
-    records, hashes = (spark.read.schema(rows.schema.add("batch", "integer")).parquet(f"{path}/{name}") for name, rows in staged.items())
-    index = HistoryIndex(spark, f"{path}/index", tau)
-    refused = spark.createDataFrame([], "doc_id string")
-    for (batch,) in records.select("batch").distinct().orderBy("batch").collect():  # a row per batch
+    steps = planned_once(spark)
+    records, hashes = (steps.read.schema(rows.schema.add("batch", "integer")).parquet(f"{path}/{name}") for name, rows in staged.items())
+    index = HistoryIndex(steps, f"{path}/index", tau)
+    batches = records.select("batch").unionByName(hashes.select("batch")).groupBy("batch").count().orderBy("batch").collect()  # a row per batch
+    refused = []
+    for batch, rows in batches:
+        steps.conf.set("spark.sql.shuffle.partitions", str(min(index.buckets, -(-rows // SHARE))))
         here = F.col("batch") == batch
-        refused = refused.unionByName(index.refused(records.filter(here), hashes.filter(here)))
+        refused.append(index.refused(records.filter(here), hashes.filter(here)))
         release(spark)
-    refused = cut(refused)
+    if refused:
+        reduce(DataFrame.unionByName, refused).write.parquet(f"{path}/refused")
     index.drop()
+    found = cut(spark.read.schema("doc_id string").parquet(f"{path}/refused") if refused else spark.createDataFrame([], "doc_id string"))
     drop_path(spark, path)
-    return refused
+    return found

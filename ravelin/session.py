@@ -1,4 +1,4 @@
-"""Session helpers: shared scratch space, lineage cuts."""
+"""Session helpers: shared scratch space, lineage cuts, plans made once."""
 
 from __future__ import annotations
 
@@ -38,6 +38,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def planned_once(spark: SparkSession) -> SparkSession:
+    """A session beside the caller's, with its settings, but whose plans are not made anew after every shuffle.
+
+    For loops of many small steps: each plan made anew leaves its text and metrics with the driver and each
+    shuffle a thread for a minute. What replanning would do for them, few partitions for few rows, the loop
+    sets itself, in ``spark.sql.shuffle.partitions`` of this session. The caller's session stays as it is.
+    """
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    return own
+
+
 def release(spark: SparkSession) -> None:
     """Let go of what finished steps left: shuffle files, broadcasts and checkpoints nobody holds are only dropped when the driver's garbage is collected, which a long loop cannot wait for."""
     gc.collect()

@@ -113,6 +113,20 @@ def test_a_hot_group_is_settled_in_slices(spark, monkeypatch):
     assert got == reference(docs, chunks) and len(got) > 60
 
 
+def test_steps_of_a_batch_are_planned_once_and_the_session_is_left_alone(spark):
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    settings, active = dict(spark.conf.getAll), spark._jvm.org.apache.spark.sql.SparkSession.active()
+    bus.waitUntilEmpty(60_000)
+    seen = {e.executionId() for e in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.executionsList())}
+    docs = [(f"d{n}", "k", n % 3, n, sha(f"bytes {n % 7}")) for n in range(12)]
+    found = H.refuse_repetitions(spark.createDataFrame(docs, DOC), spark.createDataFrame([("d1", "a"), ("d4", "a")], "doc_id string, embed_text string"))
+    assert {r.doc_id for r in found.collect()} == reference(docs, [("d1", "a"), ("d4", "a")])
+    bus.waitUntilEmpty(60_000)
+    plans = [e.physicalPlanDescription() for e in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.executionsList()) if e.executionId() not in seen]
+    assert len(plans) > 20 and sum("AdaptiveSparkPlan" in p for p in plans) <= 2
+    assert found.sparkSession is spark and dict(spark.conf.getAll) == settings and spark._jvm.org.apache.spark.sql.SparkSession.active().equals(active)
+
+
 def test_history_of_nothing(spark):
     assert H.refuse_repetitions(spark.createDataFrame([], DOC), spark.createDataFrame([], "doc_id string, embed_text string")).count() == 0
 
