@@ -172,7 +172,8 @@ def _postings(texts: DataFrame, threshold: float) -> DataFrame:
                 own = np.empty(len(keys), POSTING)
                 own["key"], own["doc"], own["size"] = keys, doc, _log_size(n) << 2 | flags
                 own["rest"] = np.ceil((n - place[at]) * (255 / n))
-                packed.append(own)
+                if len(own):
+                    packed.append(own)
             if len(seen) > 1_000_000:
                 seen.clear()
             if packed:

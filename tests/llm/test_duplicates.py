@@ -175,6 +175,13 @@ def test_near_duplicates_of_nothing(spark):
     assert N.near_duplicate_pairs(frame, 3, 0.5).count() == 0 and N.near_duplicate_classes(frame).count() == 0
 
 
+def test_texts_with_nothing_in_common(spark):
+    rows = [("chunk", f"u{n}", " ".join(f"w{n}x{k}" for k in range(9))) for n in range(12)]
+    frame = spark.createDataFrame(rows, "record_kind string, id string, text string")
+    assert N.near_duplicate_pairs(frame, 3, 0.5).count() == 0
+    assert N.near_duplicate_classes(frame).select("class_id").distinct().count() == 12
+
+
 def test_no_link_at_the_threshold_is_lost(spark):
     rows, expected = [], set()
     for n in range(400):
