@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ravelin.session import cut
+from ravelin.session import cut, release
 
 WORD = re.compile(r"[^\W_]+")
 #: Counters of word runs, and the pages they travel in.
@@ -247,9 +247,10 @@ def similar_texts(texts: DataFrame, threshold: float) -> DataFrame:
 
     met = posts.mapInArrow(merged, "a long, b long, met int, needed int").repartition("a")  # meetings of one text travel side by side
     pairs = cut(met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("needed").alias("needed")).filter("met >= needed").select("a", "b"))
+    release(texts.sparkSession, at_once=True)  # counts, postings and meetings are no longer needed on disk
     sets = texts.filter(F.length("shingles") > 0).groupBy("doc").agg(F.first("shingles").alias("shingles"), F.first("record_kind").alias("kind"))
     left, right = (sets.select(F.col("doc").alias(d), F.col("shingles").alias(x), F.col("kind").alias(k)) for d, x, k in (("a", "x", "kx"), ("b", "y", "ky")))
-    both = pairs.join(left, "a").join(right, "b").filter(F.col("kx").eqNullSafe(F.col("ky")))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", F.col("kx").eqNullSafe(F.col("ky")).alias("alike"))  # as a filter it would be a key of the join, and all sets shuffled again
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -258,9 +259,9 @@ def similar_texts(texts: DataFrame, threshold: float) -> DataFrame:
                 u, v = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 common = len(np.intersect1d(u, v, assume_unique=True))
                 sims[n] = common / (len(u) + len(v) - common)
-            yield pd.DataFrame({"a": rows.a, "b": rows.b, "similarity": sims})[sims >= threshold]
+            yield pd.DataFrame({"a": rows.a, "b": rows.b, "similarity": sims})[(sims >= threshold) & rows.alike.to_numpy(bool)]
 
-    return both.select("a", "b", "x", "y").mapInPandas(exact, "a long, b long, similarity double")
+    return both.mapInPandas(exact, "a long, b long, similarity double")
 
 
 def near_duplicates(records: DataFrame, words: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +54,19 @@ def planned_once(spark: SparkSession) -> SparkSession:
     return own
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of what finished steps left: shuffle files, broadcasts and checkpoints nobody holds are only dropped when the driver's garbage is collected, which a long loop cannot wait for."""
+def release(spark: SparkSession, at_once: bool = False) -> None:
+    """Let go of what finished steps left: shuffle files, broadcasts and checkpoints nobody holds are only dropped when the driver's garbage is collected, which a long loop cannot wait for.
+
+    The JVM learns with a delay of up to a second what Python dropped, and its listeners hold the query that ended last
+    until another has ended. ``at_once`` sees to both, so that the last step is let go of too.
+    """
+    if at_once:
+        spark.range(1).collect()
     gc.collect()
+    if at_once:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        untold, until = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", ()), time.monotonic() + 5
+        while untold and time.monotonic() < until:
+            time.sleep(0.05)
+        time.sleep(0.1)  # the one taken last is on its way
     spark.sparkContext._jvm.System.gc()

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -203,3 +204,31 @@ def test_unfinished_classes_are_an_error(spark):
     with pytest.raises(RuntimeError, match="after 1 rounds"):
         N.near_duplicate_classes(frame, 3, 0.5, rounds=1)
     assert N.near_duplicate_classes(frame, 3, 0.5).select("class_id").distinct().count() == 1
+
+
+def test_finished_steps_leave_the_disk_and_sets_travel_once(spark):
+    def shuffles():
+        return {int(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().keys().mkString(",").split(",") if x}
+
+    def moved():
+        return sum(e.totalShuffleWrite() for e in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+
+    rows = [("chunk", f"t{n:03}", " ".join(f"w{n // 2 if n % 40 < 4 else n}x{k}" for k in range(1000 + n % 2))) for n in range(200)]
+    texts = N.cut(N.prepared(spark.createDataFrame(rows, "record_kind string, id string, text string"), 3)).select("record_kind", "doc", "shingles")
+    size = texts.selectExpr("sum(length(shingles))").first()[0]
+    before = shuffles()
+    links = N.similar_texts(texts, 0.5)
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for key in settings:
+            spark.conf.set(key, "-1")
+        start = moved()
+        assert links.count() == 10
+        assert moved() - start < 1.5 * size
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
